@@ -83,23 +83,33 @@ def parse_operation(c) -> Column:
         F.coalesce(nonempty(F.get_json_object(raw, "$.value")), F.lit("")).alias("value"))
 
 
+def let(values: dict, body) -> Column:
+    """``body`` of a struct of values that are computed once per row, not once per use."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def char_f1(a, b) -> Column:
     """F1 of two strings seen as bags of characters, blanks ignored.
 
-    Shared characters are counted per distinct character: how often a character occurs is
-    the length lost when it is removed, so no nested loop over both strings is needed.
+    How often a character occurs is the length lost when it is removed, so shared characters
+    are counted per distinct character and not per pair of positions.
     """
+    def score(v):
+        def times(s, n, ch):
+            return n - F.length(F.replace(s, ch, F.lit("")))
+
+        common = F.aggregate(v["chars"], F.lit(0), lambda acc, ch: acc + F.least(
+            times(v["x"], v["lx"], ch), times(v["y"], v["ly"], ch)))
+        return let({"c": common, "lx": v["lx"], "ly": v["ly"]}, lambda t: _f1(t["c"], t["lx"], t["ly"]))
+
     x, y = F.replace(col(a), F.lit(" ")), F.replace(col(b), F.lit(" "))
-    lx, ly = F.length(x), F.length(y)
+    chars = F.filter(F.array_distinct(F.split(x, "")), lambda ch: ch != "")
+    return F.coalesce(let({"x": x, "y": y, "lx": F.length(x), "ly": F.length(y), "chars": chars}, score), F.lit(0.0))
 
-    def times(s, n, ch):
-        return n - F.length(F.replace(s, ch, F.lit("")))
 
-    common = F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0),
-                         lambda acc, ch: acc + F.when(ch == "", F.lit(0))
-                         .otherwise(F.least(times(x, lx, ch), times(y, ly, ch))))
-    p, r = F.try_divide(common, ly), F.try_divide(common, lx)
-    return F.when(F.coalesce(common, F.lit(0)) == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
+def _f1(common: Column, n_a: Column, n_b: Column) -> Column:
+    p, r = F.try_divide(common, n_b), F.try_divide(common, n_a)
+    return F.when(common > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
 def char_bag(c) -> Column:
@@ -108,22 +118,21 @@ def char_bag(c) -> Column:
     Two bags share exactly the characters (with repetition) that the texts share, so a text
     that takes part in many comparisons is taken apart only once.
     """
-    x = F.replace(col(c), F.lit(" "))
-    n = F.length(x)
-
-    def copies(ch):
-        times = n - F.length(F.replace(x, ch, F.lit("")))
-        code = F.ascii(ch).cast("long") * F.lit(1 << 32)
-        return F.transform(F.sequence(F.lit(1), times), lambda k: code + k)
+    def numbered(v):
+        def copies(ch):
+            times = v["n"] - F.length(F.replace(v["x"], ch, F.lit("")))
+            return F.transform(F.sequence(F.lit(1), times), lambda k: F.ascii(ch).cast("long") * F.lit(1 << 32) + k)
+        return F.flatten(F.transform(v["chars"], copies))
 
-    return F.flatten(F.transform(F.filter(F.array_distinct(F.split(x, "")), lambda ch: ch != ""), copies))
+    x = F.replace(col(c), F.lit(" "))
+    chars = F.filter(F.array_distinct(F.split(x, "")), lambda ch: ch != "")
+    return let({"x": x, "n": F.length(x), "chars": chars}, numbered)
 
 
 def bag_f1(a, b) -> Column:
     """F1 of two character bags; equals ``char_f1`` of their texts."""
-    common = F.size(F.array_intersect(a, b))
-    p, r = F.try_divide(common, F.size(b)), F.try_divide(common, F.size(a))
-    return F.when(common > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    return let({"c": F.size(F.array_intersect(a, b)), "a": F.size(a), "b": F.size(b)},
+               lambda v: _f1(v["c"], v["a"], v["b"]))
 
 
 def text_key(*cols) -> Column:

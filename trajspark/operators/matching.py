@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import geometry as G
 from ..functions.stats import round_exact
-from ..functions.strings import bag_f1, char_bag, is_blank
+from ..functions.strings import bag_f1, char_bag, is_blank, let
 from ..session import broadcast_if_small, pin
 
 MAX_LEVEL = 10          # finest grid: 1024 cells per side
@@ -135,13 +135,15 @@ def best_match(reference, predicted, score=bag_f1, prepare=char_bag) -> Column:
     ref, got = (F.col(c) if isinstance(c, str) else c for c in (reference, predicted))
     if prepare is not None:
         ref, got = F.transform(ref, lambda t: prepare(t)), F.transform(got, lambda t: prepare(t))
-    return F.transform(ref, lambda r: F.coalesce(F.array_max(F.transform(got, lambda g: score(r, g))), F.lit(0.0)))
+    return let({"ref": ref, "got": got}, lambda v: F.transform(v["ref"], lambda r: F.coalesce(
+        F.array_max(F.transform(v["got"], lambda g: score(r, g))), F.lit(0.0))))
 
 
 def plan_coverage(reference, predicted, score=bag_f1, prepare=char_bag) -> Column:
     """Mean of the best scores; 0 for an empty reference or prediction."""
     best = best_match(reference, predicted, score, prepare)
-    return F.coalesce(F.try_divide(F.aggregate(best, F.lit(0.0), lambda a, x: a + x), F.size(best)), F.lit(0.0))
+    return F.coalesce(let({"b": best}, lambda v: F.try_divide(
+        F.aggregate(v["b"], F.lit(0.0), lambda a, x: a + x), F.size(v["b"]))), F.lit(0.0))
 
 
 def _fold(primary: Column, candidates: Column, limit: float) -> Column:

@@ -176,12 +176,12 @@ def run_outcome(steps: DataFrame, run: str, order, signature: Column, max_steps:
     """
     d = is_stuck(steps, run, order, signature, "changed", repeat_limit, hot_rows)
     d = failure_runs(d, run, order, F.col("ok"), retry_limit, hot_rows)
-    d = OrderedRows(d, run, order, hot_rows).position("n").df()
+    d = OrderedRows(d, run, order, hot_rows).position("_place").df()
     ok = F.col("ok")
     why = (F.when(ok & (F.col("type") == "finished"), "finished").when(ok & (F.col("type") == "call_user"), "call_user")
            .when(~ok & F.col("aborts"), "abort").when(ok & F.col("stuck"), "stuck")
-           .when(F.col("n") >= max_steps, "step_limit"))
-    first = F.min(F.when(why.isNotNull(), F.struct(F.col("n").alias("n"), why.alias("why"))))
+           .when(F.col("_place") >= max_steps, "step_limit"))
+    first = F.min(F.when(why.isNotNull(), F.struct(F.col("_place").alias("n"), why.alias("why"))))
     out = d.groupBy(run).agg(first.alias("e"), F.count(F.lit(1)).alias("logged_steps"))
     return out.select(run, F.col("e.n").alias("end_step"), F.col("e.why").alias("outcome"),
                       F.when(F.col("e.why").isNotNull(), F.col("e.why") == "finished").alias("success"), "logged_steps")

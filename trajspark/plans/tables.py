@@ -20,6 +20,11 @@ def number_in(props="props"):
     return F.get_json_object(props, "$.k").cast("int")
 
 
+def micros(ts: str):
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+
+
 # --- events: one user is one run, one event one step ------------------------------
 
 TYPE_OF = {"click": "click", "view": "scroll", "signup": "type", "purchase": "hotkey", "error": "wait"}
