@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .geometry import in_unit
 from .stats import fixed
-from .strings import col, is_blank, nonempty
+from .strings import col, is_blank, let, nonempty
 
 ACTION_SCHEMA = ("struct<type:string,point:struct<x:double,y:double>,point2:struct<x:double,y:double>,"
                  "text:string,direction:string,thought:string>")
@@ -72,14 +72,16 @@ def action_to_json(a) -> Column:
 
 def action_from_json(c) -> Column:
     """Read an action back; unknown keys are ignored, aliases resolved."""
-    j = F.from_json(col(c), ACTION_JSON_SCHEMA)
-
     def pair(p):
         return F.when(F.size(p) == 2, F.struct(F.try_element_at(p, F.lit(1)).alias("x"),
                                                F.try_element_at(p, F.lit(2)).alias("y")))
 
-    return F.when(j.isNotNull(), action(canonical_type(j["type"]), pair(j["point"]), pair(j["point2"]), j["text"],
-                                        j["direction"], F.coalesce(j["thought"], F.lit(""))))
+    def read(v):
+        j = v["j"]
+        return F.when(j.isNotNull(), action(canonical_type(j["type"]), pair(j["point"]), pair(j["point2"]), j["text"],
+                                            j["direction"], F.coalesce(j["thought"], F.lit(""))))
+
+    return let({"j": F.from_json(col(c), ACTION_JSON_SCHEMA)}, read)
 
 
 def quoted(c) -> Column:
@@ -182,11 +184,12 @@ def normalize_hotkey(c, known=V.KNOWN_KEYS, aliases: dict | None = None) -> Colu
         return F.struct(keys.alias("keys"), F.array().cast("array<string>").alias("unknown"))
 
     def expand(t):
-        k = alias(t)
-        joined = alias(F.replace(k, F.lit("_"), F.lit("")))
-        split = F.transform(F.filter(F.split(k, "_"), lambda p: p != ""), alias)
-        return (F.when(k.isin(*known) | ~k.contains("_"), F.array(k))
-                .when(joined.isin(*known), F.array(joined)).otherwise(split))
-
-    keys = F.flatten(F.transform(tokens, expand))
-    return F.struct(keys.alias("keys"), F.filter(keys, lambda k: ~k.isin(*known)).alias("unknown"))
+        def choose(v):
+            k, joined = v["k"], v["joined"]
+            split = F.transform(F.filter(F.split(k, "_"), lambda p: p != ""), alias)
+            return (F.when(~k.contains("_") | k.isin(*known), F.array(k))
+                    .when(joined.isin(*known), F.array(joined)).otherwise(split))
+        return let({"k": alias(t), "joined": alias(F.replace(alias(t), F.lit("_"), F.lit("")))}, choose)
+
+    return let({"keys": F.flatten(F.transform(tokens, expand))}, lambda v: F.struct(
+        v["keys"].alias("keys"), F.filter(v["keys"], lambda k: ~k.isin(*known)).alias("unknown")))

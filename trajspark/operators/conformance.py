@@ -43,16 +43,13 @@ def parse_outputs(df: DataFrame, raw: str = "raw", elements: DataFrame | None =
     d = read_outputs(df, raw).withColumn("element", F.col("out.element"))
     w = model_w if model_w is not None else F.lit(None).cast("double")
     h = model_h if model_h is not None else F.lit(None).cast("double")
-    with_id, rest = d.filter(F.col("element").isNotNull()), d.filter(F.col("element").isNull())
-    pt = "struct<x:double,y:double>"
+    asked = F.col("element").isNotNull()
     if elements is not None:
-        with_id = resolve_element_ids(with_id, elements, screen).withColumnRenamed("point", "element_point")
+        d = resolve_element_ids(d, elements, screen).withColumnRenamed("point", "element_point")
     else:
-        with_id = with_id.withColumns({"element_id": F.lit(None).cast("long"), "element_point": F.lit(None).cast(pt),
-                                       "reject_reason": F.lit("element_unknown")})
-    rest = rest.withColumns({"element_id": F.lit(None).cast("long"), "element_point": F.lit(None).cast(pt),
-                             "reject_reason": F.lit(None).cast("string")})
-    d = with_id.unionByName(rest)
+        d = d.withColumn("element_point", F.lit(None).cast("struct<x:double,y:double>")).withColumn(
+            "reject_reason", F.lit("element_unknown"))
+    d = d.withColumn("reject_reason", F.when(asked, F.col("reject_reason")))
     o = F.col("out")
     text = repair_keyboard_target(o["type"], o["text"], o["target"]) if repair_target else o["text"]
     bad_shape = ((o["point"].isNotNull() & (F.size(o["point"]) != 2))

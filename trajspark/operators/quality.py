@@ -59,12 +59,16 @@ def command_segments(text) -> Column:
     return F.filter(F.transform(F.split(t, r"[\n\r;&|]+"), strip), lambda s: s != "")
 
 
+def _starts_with(pattern: str) -> Callable[[Column], Column]:
+    return lambda s: s.rlike(pattern)
+
+
 def blocked_pattern(text, patterns=V.BLOCKED_TEXT) -> Column:
     """First destructive pattern that some segment of the text starts with, else null."""
     segs = command_segments(text)
     out = None
     for p in patterns:
-        hit = F.exists(segs, lambda s, p=p: s.rlike(p))
+        hit = F.exists(segs, _starts_with(p))
         out = F.when(hit, F.lit(p)) if out is None else out.when(hit, F.lit(p))
     return out
 
