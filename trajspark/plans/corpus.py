@@ -97,7 +97,7 @@ def _(s, sf):
     return AU.audit(audited(s, sf), test_images(s, sf), text_overlap=True)
 
 
-@query("audit_val_not_held_out_q21", FULL_SQL.replace("{shared}", "CAST(0 AS BIGINT)"))
+@query("audit_val_not_held_out_q21", FULL_SQL.replace("{shared}", "0 * count(*)"))
 def _(s, sf):
     return AU.audit(audited(s, sf), test_images(s, sf), val_is_held_out=False, text_overlap=True)
 
@@ -162,7 +162,7 @@ def _(s, sf):
 
 
 @query("plan_samples_p34", """WITH w AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, E' \\n')), lambda x: x <> '') AS w FROM conversations WHERE turn % 2 = 0)
-SELECT conv_id, turn, '["' || array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[:8], '","') || '"]' AS response FROM w WHERE len(w) > 0""")
+SELECT conv_id, turn, CAST(to_json(list_filter(w, lambda x, i: list_position(w, x) = i)[:8]) AS VARCHAR) AS response FROM w WHERE len(w) > 0""")
 def _(s, sf):
     c = D.table(s, sf, "conversations").withColumn("subtasks", F.when(F.col("turn") % 2 == 0, F.split("text", " ")).otherwise(
         F.array(F.lit(" "), F.lit("")))).withColumn("instruction", F.col("text"))
@@ -231,3 +231,52 @@ def _(s, sf):
                  nul.alias("confirmed_task"), F.array("url").alias("action_reprs"), (i % 10).cast("int").alias("target_action_index"), nul.alias("target_action_reprs"))
     return web_steps(d).select("annotation_id", "operation", "value", "website", "step_index")
 
+
+
+# --- end to end -------------------------------------------------------------------
+
+def prepared(s, sf):
+    """Events as session documents (one user is one session), prepared as a whole."""
+    from ..plans.jobs import prepare_sessions
+    from .records import raw_events
+    e = raw_events(s, sf).withColumn("file_name", F.concat(F.lpad(F.expr("event_id div 50").cast("string"), 9, "0"), F.when(
+        F.expr("event_id div 50") % 9 == 0, "_neg_plan.json").otherwise(".json")))
+    docs = e.groupBy("user_id", "file_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "raw"))), lambda x: x["raw"]).alias("actions"))
+    u = F.col("user_id")
+    none = F.lit(None).cast("string")
+    docs = docs.select(
+        F.when(u % 5 == 0, "test").otherwise("train").alias("split"), u.cast("string").alias("session_id"), "file_name", "actions",
+        F.concat(F.lit("img"), (u % 40).cast("string")).alias("image"), F.lit(1024).alias("width"), F.lit(768).alias("height"),
+        F.lit("task").alias("task_prompt"), none.alias("task_prompt_en"), none.alias("task_prompt_zh"), none.alias("send_prompt"),
+        none.alias("send_prompt_zh"), F.concat(F.lit("because "), "file_name", F.lit(" ```json```")).alias("LLM_response_editer"))
+    return prepare_sessions(docs)
+
+
+PREP_SQL = r"""raw AS (SELECT event_id, user_id, event_type AS t, k, value * 4 / 1024 AS px, k * 10.0::DOUBLE / 768 AS py, (event_id // 50) % 9 = 0 AS negative
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
+ok AS (SELECT * FROM raw WHERE CASE WHEN t = 'click' THEN k % 7 <> 6 AND k % 11 <> 10 AND px BETWEEN 0 AND 1 AND py BETWEEN 0 AND 1 WHEN t = 'view' THEN true
+   WHEN t = 'signup' THEN k % 10 <> 0 WHEN t = 'purchase' THEN k % 6 IN (1, 2, 5) ELSE k % 3 = 0 END),
+ids AS (SELECT u, row_number() OVER (ORDER BY md5('42:' || u)) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT user_id AS u FROM ok WHERE user_id % 5 <> 0)),
+m AS (SELECT u, CASE WHEN rk <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM ids)"""
+
+
+@query("prepare_sessions_end_to_end", with_(PREP_SQL) + """SELECT coalesce(split, 'test') AS split, count(*) AS steps, count(DISTINCT user_id) AS sessions, count(*) FILTER (WHERE NOT negative) AS with_thought
+FROM ok LEFT JOIN m ON u = user_id GROUP BY 1""")
+def _(s, sf):
+    return prepared(s, sf).steps.groupBy("split").agg(F.count(F.lit(1)).alias("steps"), F.count_distinct("session_id").alias("sessions"),
+                                                     F.count_if(F.col("thought") != "").alias("with_thought"))
+
+
+@query("build_corpus_end_to_end", with_(PREP_SQL) + """, k AS (SELECT ok.*, m.split FROM ok JOIN m ON u = user_id WHERE NOT negative),
+h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM k)
+SELECT split, CASE WHEN t IN ('click', 'view') THEN 'pointed' ELSE 'plain' END AS form, count(*) AS n FROM h WHERE t NOT IN ('click', 'view') OR (t = 'view') OR (px <= 0.5 AND py <= 0.8) GROUP BY ALL""")
+def _(s, sf):
+    from ..functions.geometry import box
+    from ..plans.jobs import build_corpus
+    p = prepared(s, sf)
+    img = D.table(s, sf, "events").select(F.concat(F.lit("img"), (F.col("user_id") % 40).cast("string")).alias("image")).distinct()
+    boxes = img.select("image", F.lit(1).alias("box_id"), F.lit(1).alias("ord"), box(F.lit(0.0), F.lit(0.0), F.lit(0.5), F.lit(0.8)).alias("bbox"), F.lit("left").alias("text"))
+    steps = p.steps.withColumn("instruction", F.concat("instruction", F.lit(" "), "session_id", F.lit(" "), "file_name", F.lit(" "), F.col("action_index").cast("string")))
+    c = build_corpus(steps, boxes)
+    form = F.when(F.col("response").contains('"target"'), "pointed").otherwise("plain")
+    return c.groupBy("split", form.alias("form")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,0 +1,74 @@
+"""Driver-table queries for the live log: the events are written as a log and streamed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..streaming import live as L
+from . import tables as D
+from .ordering import FAIL_SQL, STUCK_SQL, VERDICT_SQL
+from .registry import query, with_
+from .storage import log_lines
+
+
+def log_stream(s, sf, files: int = 3):
+    """The events as a log of several files in order of time, streamed one file per batch."""
+    folder = scratch_path(s, "live")
+    st = D.steps(s, sf)
+    js = F.to_json(F.struct((F.col("n") / 10.0).alias("t"), F.lit("step").alias("event"), F.col("n").cast("int").alias("n"), "ok", "error", "changed", "elapsed",
+                            F.col("run").cast("string").alias("run_id"), F.struct("type").alias("action"),
+                            F.when(F.col("k") % 10 < 6, "need_retry").when(F.col("k") % 10 < 9, "sub_task_success").otherwise("need_reformulate").alias("situation")))
+    lines = st.select("ts", "n", js.alias("value")).repartitionByRange(files, "ts", "n").sortWithinPartitions("ts", "n")
+    lines.select("value").write.text(folder)
+    return L.stream_events(s, folder, max_files=files + 1)
+
+
+def drained(s, stream, mode="append"):
+    return L.drain(stream, scratch_path(s, "out"), scratch_path(s, "progress"), mode)
+
+
+@query("stream_events_r1", with_(D.STEPS_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, CAST(n AS INT) AS n, ok, changed FROM steps WHERE n % 97 <> 0")
+def _(s, sf):
+    folder = scratch_path(s, "live")
+    log_lines(s, sf).write.text(folder)
+    return drained(s, L.stream_events(s, folder).select("run_id", "n", "ok", "changed"))
+
+
+@query("stream_stuck_r2", with_(STUCK_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, n, stuck FROM stuck")
+def _(s, sf):
+    return drained(s, L.stream_stuck(log_stream(s, sf), F.col("action.type")))
+
+
+@query("stream_failures_r3", with_(FAIL_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, n, fail_run, fail_run > 2 AS aborts FROM fails")
+def _(s, sf):
+    return drained(s, L.stream_failures(log_stream(s, sf)))
+
+
+@query("stream_stalls_r4", with_(VERDICT_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, n, effective FROM eff")
+def _(s, sf):
+    return drained(s, L.stream_stalls(log_stream(s, sf)))
+
+
+@query("stream_run_summary_r5", with_(D.STEPS_SQL) + """SELECT CAST(run AS VARCHAR) AS run_id, count(*) AS n_steps, count(*) FILTER (WHERE changed) AS changed_steps, count(*) FILTER (WHERE changed = false) AS unchanged_steps,
+ count(*) FILTER (WHERE NOT ok) AS errors, round(sum(elapsed), 6) AS wall_time FROM steps GROUP BY run""")
+def _(s, sf):
+    d = drained(s, L.stream_run_summary(log_stream(s, sf)), "complete")
+    return d.withColumn("wall_time", F.round("wall_time", 6))
+
+
+@query("stream_last_beats_r6", "SELECT CAST(user_id AS VARCHAR) AS worker, round(max(event_id) / 10.0::DOUBLE, 6) AS last_beat FROM events GROUP BY user_id")
+def _(s, sf):
+    beats = log_stream(s, sf).select(F.col("run_id").alias("worker"), F.col("t").alias("beat"))
+    return drained(s, L.stream_stale_workers(beats), "complete").withColumn("last_beat", F.round("last_beat", 6))
+
+
+@query("write_events_r7_s13", with_(D.STEPS_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, CAST(n AS INT) AS n, ok FROM steps")
+def _(s, sf):
+    folder, out = scratch_path(s, "live"), scratch_path(s, "table")
+    st = D.steps(s, sf)
+    js = F.to_json(F.struct(F.col("n").cast("int").alias("n"), "ok", F.col("run").cast("string").alias("run_id")))
+    lines = st.select("n", js.alias("value"))
+    lines.select("value").unionByName(lines.filter("n % 3 = 0").select("value")).write.text(folder)   # a third arrives twice
+    L.write_events(L.stream_events(s, folder).select("run_id", "n", "ok"), out, scratch_path(s, "progress")).awaitTermination()
+    return s.read.parquet(out)

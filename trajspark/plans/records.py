@@ -64,9 +64,9 @@ def raw_events(s, sf):
     return e.select("event_id", "user_id", "event_type", raw.alias("raw"), F.lit(1024).alias("width"), F.lit(768).alias("height"))
 
 
-def documents_of_actions(s, sf):
-    """Ten consecutive events make one session document."""
-    e = raw_events(s, sf).withColumn("doc", F.expr("event_id div 10"))
+def documents_of_actions(s, sf, size: int = 10):
+    """``size`` consecutive events make one session document."""
+    e = raw_events(s, sf).withColumn("doc", F.expr(f"event_id div {int(size)}"))
     docs = e.groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "raw"))), lambda x: x["raw"]).alias("actions"))
     docs = docs.withColumn("width", F.lit(1024)).withColumn("height", F.lit(768)).withColumn(
         "file_name", F.when(F.col("doc") % 9 == 0, F.concat(F.col("doc"), F.lit("_neg_plan.json"))).otherwise(F.concat(F.col("doc"), F.lit(".json"))))

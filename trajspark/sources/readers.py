@@ -28,14 +28,14 @@ def _path_part(path, back: int):
     return F.try_element_at(F.split(path, "/"), F.lit(-back))
 
 
-def read_sessions(spark: SparkSession, root: str, schema: str = DOCUMENT_SCHEMA) -> DataFrame:
+def read_sessions(spark: SparkSession, root: str, schema: str = DOCUMENT_SCHEMA, pattern: str = "*.json") -> DataFrame:
     """One JSON document per file under ``root/<split>/.../<session>/<name>.json``.
 
     Adds path, file_name, split and a session id (the folder's name where the document has
     none). A file that cannot be read comes through with ``_corrupt_record`` set.
     """
     d = (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-         .option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(root)
+         .option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").json(root)
          .withColumn("path", F.col("_metadata.file_path")))
     base = root.rstrip("/").split("/")[-1]
     rest = F.split(F.regexp_extract("path", f".*/{base}/(.*)$", 1), "/")
@@ -88,10 +88,14 @@ def read_web_steps(spark: SparkSession, *paths: str, columns=WEB_COLUMNS) -> Dat
 
 
 def list_shards(spark: SparkSession, folder: str, split: str, limit: int | None = None) -> list[str]:
-    """Sorted shard paths ``<split>-*.parquet``; the content column is pruned, only names are listed."""
-    d = (spark.read.format("binaryFile").option("pathGlobFilter", f"{split}-*.parquet").load(folder)
-         .select("path").orderBy("path"))
-    return [r.path for r in (d.limit(limit) if limit else d).collect()]
+    """Sorted shard paths ``<split>-*.parquet`` (files or folders); only names are listed, nothing is opened."""
+    try:
+        found = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{split}-*.parquet")
+    except AnalysisException:
+        return []
+    shard = F.regexp_extract("path", rf"^(.*/{split}-[^/]*\.parquet)", 1)
+    d = found.select(shard.alias("shard")).distinct().orderBy("shard")
+    return [r.shard for r in (d.limit(limit) if limit else d).collect()]
 
 
 def read_shards(spark: SparkSession, folder: str, split: str, limit: int | None = None, columns=None) -> DataFrame:
