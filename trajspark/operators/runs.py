@@ -89,8 +89,9 @@ def summarize_by_task(facts: DataFrame, by=()) -> DataFrame:
 
 def compare_configs(facts: DataFrame, configs=None) -> DataFrame:
     """One row per task, one ``passed/runs`` cell per configuration, null where it was not run."""
-    cell = F.concat(F.count_if(F.coalesce(F.col("passed"), F.lit(False))).cast("string"), F.lit("/"),
-                    F.count(F.lit(1)).cast("string"))
+    n = F.count(F.lit(1))
+    cell = F.when(n > 0, F.concat(F.count_if(F.coalesce(F.col("passed"), F.lit(False))).cast("string"), F.lit("/"),
+                                  n.cast("string")))
     return facts.groupBy("task").pivot("config", list(configs) if configs else None).agg(cell)
 
 

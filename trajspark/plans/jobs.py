@@ -17,6 +17,7 @@ from ..operators import runs as R
 from ..operators import samples as SM
 from ..operators import sessions as W
 from ..operators import splits as U
+from ..session import pin
 from ..sources import sinks as OUT
 
 
@@ -50,7 +51,8 @@ def prepare_sessions(docs: DataFrame, inventory: DataFrame | None = None, val_ra
     facts = N.document_facts(N.mark_negative(good, "file_name"))
     keep = ["split", "session_id", "file_name", "image", "width", "height", "instruction", "instruction_zh",
             "subtask", "thought", "negative"]
-    exploded = N.explode_actions(facts, keep)
+    # five tables and the leak check come from this one, so it is written once
+    exploded = pin(N.explode_actions(facts, keep))
     rejects = C.reject_report(N.rejected(exploded).select("split", "reject_reason").unionByName(dropped), "split")
     pool, held_out = U.respect_holdout(N.accepted(exploded))
     if check_leak:
@@ -73,7 +75,7 @@ def build_corpus(steps: DataFrame, boxes: DataFrame, plans: DataFrame | None = N
     """
     wanted = train_split.split("+")
     hist = W.with_history(steps.filter(F.col("split").isin(*wanted, "val")), "session_id", list(order))
-    ident = hist.withColumn("point_id", F.xxhash64("session_id", *order)).withColumn("point", F.col("action.point"))
+    ident = pin(hist.withColumn("point_id", F.xxhash64("session_id", *order)).withColumn("point", F.col("action.point")))
     names = J.locate_points(ident.filter("point is not null").select("image", "point_id", "point"), boxes, "image", pad)
     named = ident.join(names.select("point_id", "box_text"), "point_id", "left")
     d = SM.to_target_samples(named).filter(F.col("reject_reason").isNull()).withColumn("ord", F.col("point_id"))
