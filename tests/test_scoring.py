@@ -220,11 +220,12 @@ def test_covered_hit_and_ids(spark):
                    "8": (8, "element_unknown"), None: (None, "element_not_integer")}
 
 
-def test_lookup_join_salted_equals_broadcast(spark):
+def test_lookup_join_with_hot_keys_equals_broadcast(spark):
     rows = spark.range(500).withColumn("k", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7))
     t = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    a, b = (sorted(map(tuple, J.lookup_join(rows, t, "k", max_rows=m).select("id", "k", "v").collect()), key=str) for m in (100, 0))
-    assert a == b and len(a) == 500
+    a, b, c = (sorted(map(tuple, J.lookup_join(rows, t, "k", max_rows=m, hot_rows=h).select("id", "k", "v").collect()), key=str)
+               for m, h in ((100, 100), (0, 100), (0, 10_000)))
+    assert a == b == c and len(a) == 500
 
 
 def test_plan_coverage(spark):

@@ -143,14 +143,21 @@ def history_status(ok, changed, error) -> Column:
             .otherwise(F.lit(V.HISTORY_OK)))
 
 
-def render_elements(elements) -> Column:
-    """One line per element: id, label (or a stand-in) and centre."""
-    lines = F.transform(col(elements), lambda e: F.format_string(
+def element_line(e: Column) -> Column:
+    """Id, label (or a stand-in) and centre of one element."""
+    return F.format_string(
         V.ELEMENT_FORMAT, e["id"].cast("string"),
         F.when(is_blank(e["text"]), F.lit(V.ELEMENT_UNNAMED)).otherwise(e["text"]),
-        fixed((e["bbox"]["x1"] + e["bbox"]["x2"]) / 2, 2), fixed((e["bbox"]["y1"] + e["bbox"]["y2"]) / 2, 2)))
-    return F.when(F.coalesce(F.size(col(elements)), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise(
-        F.lit(V.ELEMENTS_EMPTY))
+        fixed((e["bbox"]["x1"] + e["bbox"]["x2"]) / 2, 2), fixed((e["bbox"]["y1"] + e["bbox"]["y2"]) / 2, 2))
+
+
+def join_lines(lines) -> Column:
+    return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.array_join(lines, "\n")).otherwise(F.lit(V.ELEMENTS_EMPTY))
+
+
+def render_elements(elements) -> Column:
+    """One line per element; a stand-in for an empty list."""
+    return let({"lines": F.transform(col(elements), element_line)}, lambda v: join_lines(v["lines"]))
 
 
 def render_history(history) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, share
 from ..functions.strings import nonempty
+from ..session import pin
 from .ordered import OrderedRows
 
 
@@ -49,19 +50,27 @@ def series_table(df: DataFrame, group: str, series: str, value: Column, names=No
     return df.groupBy(group).pivot(series, list(names) if names else None).agg(value)
 
 
+def counted_values(df: DataFrame, value: str, by=()) -> DataFrame:
+    """How often each value occurs per group (``_v``, ``_n``): pinned, so what it came from runs once."""
+    return pin(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_n")))
+
+
 def medians(df: DataFrame, value: str, by=()) -> DataFrame:
     """Exact medians per group: ``median_upper`` (item n // 2) and ``median_mid`` (interpolated).
 
     Equal values are counted before anything is ordered; a group with very many distinct
     values is cut into pieces by ``OrderedRows``.
     """
+    return medians_of(counted_values(df, value, by), by)
+
+
+def medians_of(counted: DataFrame, by=()) -> DataFrame:
     by = list(by)
     keys = by or ["_all"]
-    d = df if by else df.withColumn("_all", F.lit(0))
-    counted = (d.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-               .agg(F.count(F.lit(1)).alias("_n")))
-    cum = OrderedRows(counted, keys, "_v").running({"_cum": ("sum", F.col("_n"))}).df()
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    c = counted if by else counted.withColumn("_all", F.lit(0))
+    cum = OrderedRows(c, keys, "_v").running({"_cum": ("sum", F.col("_n"))}).df()
+    totals = c.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     lo, hi = F.expr("(_total + 1) div 2"), F.expr("_total div 2 + 1")
     out = cum.join(totals, keys).groupBy(*keys).agg(
         F.max("_total").alias("n_values"),

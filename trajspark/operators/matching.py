@@ -10,24 +10,29 @@ from ..functions import geometry as G
 from ..functions.stats import round_exact
 from ..functions.strings import bag_f1, char_bag, is_blank, let
 from ..session import broadcast_if_small, pin
+from .ordered import HOT_ROWS, OrderedRows
 
 MAX_LEVEL = 10          # finest grid: 1024 cells per side
-SALTS = 16
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on, how: str = "left", max_rows: int = 200_000) -> DataFrame:
-    """Join ``rows`` to a table with one row per key: broadcast when it is small, else salted.
+def lookup_join(rows: DataFrame, table: DataFrame, on, how: str = "left", max_rows: int = 200_000,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join ``rows`` to a table with one row per key, whatever a key's share of the rows is.
 
-    Salting sends the rows of one key to ``SALTS`` tasks and copies the (single) table row
-    to each, so a key that holds a third of all rows does not end up in one task.
+    A small table is broadcast. Otherwise only the table rows of hot keys are (there are at most
+    all rows / ``hot_rows`` of them), and the rest is an ordinary shuffle join.
     """
     on = [on] if isinstance(on, str) else list(on)
     small = broadcast_if_small(table, max_rows)
     if small is not None:
         return rows.join(small, on, how)
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return left.join(right, on + ["_salt"], how).drop("_salt")
+    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*on)
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(table.join(hot, on, "left_semi"))
+    cold = rows.join(hot, on, "left_anti").join(table, on, how)
+    return cold.unionByName(rows.join(hot, on, "left_semi").join(few, on, how))
 
 
 def _level(side: Column) -> Column:
@@ -112,8 +117,8 @@ def attach_test_rows(cases: DataFrame, test: DataFrame, key: str = "i") -> DataF
 
 
 def build_cases(truth: DataFrame, preds: DataFrame, key: str = "i", pointed=V.POINTED_TYPES,
-                failed: str = V.PARSE_FAILED) -> DataFrame:
-    """Truth (i, action) and predictions (i, pred_action) as scored cases.
+                failed: str = V.PARSE_FAILED, keep=()) -> DataFrame:
+    """Truth (i, action, ``keep``) and predictions (i, pred_action) as scored cases.
 
     A row without a prediction is a failure. The distance exists only if both actions point;
     ``dist`` is rounded to three digits, ``dist_raw`` is not.
@@ -122,7 +127,7 @@ def build_cases(truth: DataFrame, preds: DataFrame, key: str = "i", pointed=V.PO
     d = G.distance(g["point"], p["point"])
     d = F.when(g["type"].isin(*pointed) & p["type"].isin(*pointed), d)
     return truth.join(preds, key, "left").select(
-        key, g["type"].alias("gt"), F.coalesce(p["type"], F.lit(failed)).alias("pred"),
+        key, *keep, g["type"].alias("gt"), F.coalesce(p["type"], F.lit(failed)).alias("pred"),
         round_exact(d, 3).alias("dist"), d.alias("dist_raw"), g["text"].alias("gt_text"), p["text"].alias("pred_text"))
 
 
@@ -196,7 +201,6 @@ def _overlaps(both: DataFrame, screen: str, limit: float) -> DataFrame:
 
 
 def _merge_rounds(both: DataFrame, screen: str, limit: float) -> DataFrame:
-    from .ordered import OrderedRows
     both = pin(both.withColumn("k", F.struct("tier", "ord")))
     pairs = pin(_overlaps(both, screen, limit).filter("z.tier = 1"))
     kept = both.filter("tier = 0").select(screen, "k")

@@ -13,7 +13,7 @@ from .. import fixed_values as V
 from ..functions.stats import f1, ratio, share
 from ..functions.strings import strip
 from ..session import pin
-from .counts import medians, value_counts
+from .counts import counted_values, medians, medians_of, value_counts
 
 
 def text_ok(gt_text="gt_text", pred_text="pred_text") -> Column:
@@ -39,14 +39,29 @@ def step_ok(threshold=V.JOINT_DISTANCE, keyboard=V.KEYBOARD_TYPES, require_text:
     return (op_ok(keyboard) if require_text else type_ok()) & near(threshold)
 
 
+def case_cube(cases: DataFrame, by=(), keyboard=V.KEYBOARD_TYPES, thresholds=V.STEP_THRESHOLDS) -> DataFrame:
+    """Cases counted per (by, gt, pred): n, op_ok and the steps done right at each threshold.
+
+    A few rows per group, from which the per-class and overall metrics follow; the cases are
+    read and shuffled once.
+    """
+    return cases.groupBy(*by, "gt", "pred").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(op_ok(keyboard)).alias("op_ok"),
+        F.count("pred_text").alias("with_text"),
+        *[F.count_if(step_ok(t, keyboard)).alias(f"step_ok_{j}") for j, t in enumerate(thresholds)])
+
+
 def op_f1(cases: DataFrame, by=(), keyboard=V.KEYBOARD_TYPES, failed: str = V.PARSE_FAILED) -> DataFrame:
     """Per class: precision, recall, F1 and counts. A failed row counts against its true class only."""
-    one, zero = F.lit(1), F.lit(0)
+    return op_f1_of(case_cube(cases, by, keyboard, ()), by, failed)
+
+
+def op_f1_of(cube: DataFrame, by=(), failed: str = V.PARSE_FAILED) -> DataFrame:
+    zero = F.lit(0).cast("long")
     entry = F.explode(F.array(
-        F.struct(F.col("gt").alias("cls"), one.alias("gt"), zero.alias("pred"), zero.alias("hit")),
-        F.struct(F.col("pred").alias("cls"), zero.alias("gt"), one.alias("pred"),
-                 F.coalesce(op_ok(keyboard), F.lit(False)).cast("int").alias("hit"))))
-    c = (cases.select(*by, entry.alias("e")).filter(F.col("e.cls") != failed)
+        F.struct(F.col("gt").alias("cls"), F.col("n").alias("gt"), zero.alias("pred"), zero.alias("hit")),
+        F.struct(F.col("pred").alias("cls"), zero.alias("gt"), F.col("n").alias("pred"), F.col("op_ok").alias("hit"))))
+    c = (cube.select(*by, entry.alias("e")).filter(F.col("e.cls") != failed)
          .groupBy(*by, F.col("e.cls").alias("cls"))
          .agg(F.sum("e.gt").alias("gt"), F.sum("e.pred").alias("pred"), F.sum("e.hit").alias("hit")))
     c = (c.withColumn("precision", F.coalesce(ratio("hit", "pred"), F.lit(0.0)))
@@ -76,7 +91,7 @@ def step_success(cases: DataFrame, thresholds=V.STEP_THRESHOLDS, by=(), keyboard
 
 
 def accuracy_summary(cases: DataFrame, by=(), keyboard=V.KEYBOARD_TYPES, threshold=V.JOINT_DISTANCE,
-                     require_text: bool = False, failed: str = V.PARSE_FAILED) -> DataFrame:
+                     require_text: bool = False, failed: str = V.PARSE_FAILED, extra=()) -> DataFrame:
     """Type accuracy, joint accuracy, keyboard recall (failures not in its base), failure rate."""
     is_kb = F.col("gt").isin(*keyboard) & (F.col("pred") != failed)
     return cases.groupBy(*by).agg(
@@ -87,15 +102,20 @@ def accuracy_summary(cases: DataFrame, by=(), keyboard=V.KEYBOARD_TYPES, thresho
         share(F.col("pred") == failed).alias("unexecutable_rate"),
         F.count_if(is_kb).alias("keyboard_total"),
         F.try_divide(F.count_if(is_kb & F.col("pred").isin(*keyboard)).cast("double"),
-                     F.count_if(is_kb).cast("double")).alias("keyboard_recall"))
+                     F.count_if(is_kb).cast("double")).alias("keyboard_recall"), *extra)
 
 
 def distance_summary(cases: DataFrame, by=(), thresholds=V.HIT_THRESHOLDS) -> DataFrame:
-    """Pairs, mean, both medians and the share within each threshold (``hit_0_05`` ...)."""
-    d = cases.filter(F.col("dist").isNotNull())
-    hits = [share(F.col("dist") <= t).alias("hit_" + str(t).replace(".", "_")) for t in thresholds]
-    base = d.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.avg("dist").alias("mean_dist"), *hits)
-    m = medians(d, "dist", by).drop("n_values")
+    """Pairs, mean, both medians and the share within each threshold (``hit_0_05`` ...).
+
+    Distances have three digits, so everything is taken from counts per distinct distance.
+    """
+    c = counted_values(cases, "dist", by)
+    n = F.sum("_n")
+    hits = [F.try_divide(F.sum(F.when(F.col("_v") <= t, F.col("_n")).otherwise(0)).cast("double"), n.cast("double"))
+            .alias("hit_" + str(t).replace(".", "_")) for t in thresholds]
+    base = c.groupBy(*by).agg(n.alias("pairs"), F.try_divide(F.sum(F.col("_v") * F.col("_n")), n).alias("mean_dist"), *hits)
+    m = medians_of(c, by).drop("n_values")
     if by:
         return base.join(m, list(by))
     return base.withColumn("_j", F.lit(0)).join(m.withColumn("_j", F.lit(0)), "_j").drop("_j")
@@ -141,26 +161,24 @@ def f1_matrix(cases: DataFrame, config: str, keyboard=V.KEYBOARD_TYPES, thin: in
 
 def leaderboard(cases: DataFrame, config: str, keyboard=V.KEYBOARD_TYPES) -> DataFrame:
     """All configurations with their headline metrics, best step success first."""
-    f = op_f1_summary(cases, (config,), keyboard)
-    lo, hi = V.STEP_THRESHOLDS
-    s = cases.groupBy(config).agg(
-        F.count(F.lit(1)).alias("n"),
-        share(step_ok(lo, keyboard)).alias("step_sr_010"), share(step_ok(hi, keyboard)).alias("step_sr_014"),
-        share(F.col("pred") == V.PARSE_FAILED).alias("unexecutable"),
-        F.bool_or(F.col("pred_text").isNotNull()).alias("text_compared"))
-    return s.join(f, config).orderBy(F.desc("step_sr_010"), config)
+    cube = case_cube(cases, (config,), keyboard)
+    n = F.sum("n")
+    s = cube.groupBy(config).agg(
+        n.alias("n"), F.try_divide(F.sum("step_ok_0"), n).alias("step_sr_010"),
+        F.try_divide(F.sum("step_ok_1"), n).alias("step_sr_014"),
+        F.try_divide(F.sum(F.when(F.col("pred") == V.PARSE_FAILED, F.col("n")).otherwise(0)), n).alias("unexecutable"),
+        (F.sum("with_text") > 0).alias("text_compared"))
+    return s.join(f1_summary(op_f1_of(cube, (config,)), (config,)), config).orderBy(F.desc("step_sr_010"), config)
 
 
 def compare_variants(cases: DataFrame, variant: str, latency: str | None = None,
                      keyboard=V.KEYBOARD_TYPES) -> DataFrame:
     """One row per prompt variant: accuracies, recall, median distance, failures, latency."""
-    a = accuracy_summary(cases, (variant,), keyboard)
+    extra = [F.avg(latency).alias("sec_per_sample")] if latency else []
+    a = accuracy_summary(cases, (variant,), keyboard, extra=extra)
     m = medians(cases, "dist", (variant,)).select(
         variant, F.col("n_values").alias("pointed_pairs"), F.col("median_mid").alias("median_distance"))
-    out = a.join(m, variant, "left")
-    if latency:
-        out = out.join(cases.groupBy(variant).agg(F.avg(latency).alias("sec_per_sample")), variant)
-    return out
+    return a.join(m, variant, "left")
 
 
 def best_step(log: DataFrame, by=()) -> DataFrame:
@@ -178,14 +196,14 @@ def output_profile(outputs: DataFrame, by=(), at_cap: int = 250) -> DataFrame:
     """
     raw = F.col("raw")
     cjk = raw.rlike("\"thought\"\\s*:\\s*\"[^\"]*[一-鿿]")
-    base = outputs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(raw.contains("```")).alias("fenced"),
-        F.count_if(raw.contains("<think>") | raw.contains("</think>")).alias("reasoning"),
-        F.count_if(F.col("tokens") >= at_cap).alias("at_cap"), F.count_if(cjk).alias("thought_cjk"),
-        F.count_if("has_json").alias("parses"), F.count_if("has_action").alias("has_action"),
-        F.count_if(F.col("pred") == F.col("gt")).alias("type_right"),
-        F.max("tokens").cast("long").alias("max_tokens"))
-    m = medians(outputs, "tokens", by).select(*by, F.col("median_upper").cast("long").alias("median_tokens"))
+    # flags per output are pinned, so the parsing behind them runs once
+    flags = {"fenced": raw.contains("```"), "reasoning": raw.contains("<think>") | raw.contains("</think>"),
+             "at_cap": F.col("tokens") >= at_cap, "thought_cjk": cjk, "parses": F.col("has_json"),
+             "has_action": F.col("has_action"), "type_right": F.col("pred") == F.col("gt")}
+    d = pin(outputs.select(*by, "tokens", *[c.alias(k) for k, c in flags.items()]))
+    base = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k).alias(k) for k in flags],
+                              F.max("tokens").cast("long").alias("max_tokens"))
+    m = medians(d, "tokens", by).select(*by, F.col("median_upper").cast("long").alias("median_tokens"))
     if by:
         return base.join(m, list(by))
     return base.withColumn("_j", F.lit(0)).join(m.withColumn("_j", F.lit(0)), "_j").drop("_j")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.actions import normalize_hotkey
 from ..functions.stats import share
-from ..functions.strings import strip
+from ..functions.strings import let, strip
 from ..functions.udfs import approx_tokens
 
 
@@ -65,12 +65,14 @@ def _starts_with(pattern: str) -> Callable[[Column], Column]:
 
 def blocked_pattern(text, patterns=V.BLOCKED_TEXT) -> Column:
     """First destructive pattern that some segment of the text starts with, else null."""
-    segs = command_segments(text)
-    out = None
-    for p in patterns:
-        hit = F.exists(segs, _starts_with(p))
-        out = F.when(hit, F.lit(p)) if out is None else out.when(hit, F.lit(p))
-    return out
+    def first_hit(v):
+        out = None
+        for p in patterns:
+            hit = F.exists(v["segments"], _starts_with(p))
+            out = F.when(hit, F.lit(p)) if out is None else out.when(hit, F.lit(p))
+        return out
+
+    return let({"segments": command_segments(text)}, first_hit)
 
 
 def blocked_hotkey(combo, blocked=V.BLOCKED_HOTKEYS, known=V.KNOWN_KEYS) -> Column:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import geometry as G
-from ..functions.actions import clean_plan, render_elements, render_history
+from ..functions.actions import clean_plan, element_line, join_lines, render_history
 from ..functions.stats import round_exact
 from ..functions.strings import describe_target, is_blank, strip
 from ..functions.udfs import approx_tokens
 from .quality import fit_limit, reject_cascade
-from .selection import select_array_with_quota
+from .selection import split_named, take_with_quota
 
 
 def fill_template(template: str, values: dict) -> Column:
@@ -78,27 +78,29 @@ def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["bas
 
     steps: instruction, thought, action, history, elements (array), image and what else is to stay.
     """
-    plain = response_json("thought", "action")
+    def prompt_of(lines):
+        return fill_template(template, {"instruction": "instruction", "history": "_history", "elements": join_lines(lines)})
 
-    def prompt_at(k):
-        shown = select_array_with_quota("elements", k)
-        return fill_template(template, {"instruction": "instruction", "history": render_history("history"),
-                                        "elements": render_elements(shown)})
+    # every element is rendered once; the limits to try only cut the list of lines
+    d = steps.withColumn("_plain", response_json("thought", "action")).withColumn("_history", render_history("history"))
+    d = d.withColumn("_e", split_named(F.transform("elements", lambda e: F.struct(
+        e["id"].alias("id"), e["bbox"].alias("bbox"), e["text"].alias("text"), e["source"].alias("source"),
+        element_line(e).alias("line")))))
+
+    def shown_at(k):
+        return take_with_quota(F.col("_e.named"), F.col("_e.other"), k)
 
-    d = steps.withColumn("_plain", plain)
     d = d.withColumn("elements_shown", fit_limit(
-        lambda k: count(prompt_at(k)) + count(F.col("_plain")), limits, budget))
-    d = d.withColumn("_shown", select_array_with_quota("elements", F.col("elements_shown")))
+        lambda k: count(prompt_of(F.transform(shown_at(k), lambda e: e["line"]))) + count(F.col("_plain")), limits, budget))
+    d = d.withColumn("_shown", shown_at(F.col("elements_shown")))
     d = d.withColumn("_hit", containing_element("_shown", F.struct(
         round_exact(F.col("action.point.x"), 4).alias("x"), round_exact(F.col("action.point.y"), 4).alias("y"))))
     d = d.withColumn("_hit", F.when(F.col("action.point").isNotNull(), F.col("_hit")))
     by_id = response_json("thought", "action", point=F.lit(None).cast(NO_POINT), element=F.col("_hit.id"))
-    prompt = fill_template(template, {"instruction": "instruction", "history": render_history("history"),
-                                      "elements": render_elements("_shown")})
-    return (d.withColumn("prompt", prompt)
+    return (d.withColumn("prompt", prompt_of(F.transform("_shown", lambda e: e["line"])))
             .withColumn("response", F.when(F.col("_hit").isNotNull(), by_id).otherwise(F.col("_plain")))
             .withColumn("kind", F.lit("action")).withColumn("source", F.lit(source))
-            .drop("_plain", "_shown", "_hit"))
+            .drop("_plain", "_history", "_e", "_shown", "_hit"))
 
 
 def target_decision(action_col: str = "action", box_text: str = "box_text") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import geometry as G
-from ..functions.strings import is_blank
+from ..functions.strings import is_blank, let
 from .ordered import HOT_ROWS, OrderedRows
 from .ranking import global_rank, hash_cutoffs, below, seed_hash, top_n
 
@@ -107,16 +107,26 @@ def select_with_quota(elements: DataFrame, screen: str = "screen_id", order: str
     return d.filter(ok).withColumn("shown", place.cast("int")).drop("_named", "_rn", "_a", "_b", "_keep")
 
 
-def select_array_with_quota(elements, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
-    """The same over an array column (one screen per row); ``limit`` is a number or a column."""
+def split_named(elements) -> Column:
+    """``struct(named, other)``: elements with text, and icon boxes without."""
     e = F.col(elements) if isinstance(elements, str) else elements
+    return F.struct(F.filter(e, lambda x: ~is_blank(x["text"])).alias("named"),
+                    F.filter(e, lambda x: is_blank(x["text"]) & (x["source"] == "cv")).alias("other"))
+
+
+def take_with_quota(named: Column, other: Column, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
     k = F.lit(limit) if isinstance(limit, int) else limit
-    named = F.filter(e, lambda x: ~is_blank(x["text"]))
-    other = F.filter(e, lambda x: is_blank(x["text"]) & (x["source"] == "cv"))
     half = F.least(F.lit(reserved), F.floor(k / 2).cast("int"))
     room = F.least(F.greatest(half, k - F.size(named)), k)
-    kept = F.slice(other, F.lit(1), room)
-    return F.concat(F.slice(named, F.lit(1), k - F.size(kept)), kept)
+    kept = F.least(room, F.size(other))
+    return F.concat(F.slice(named, F.lit(1), k - kept), F.slice(other, F.lit(1), kept))
+
+
+def select_array_with_quota(elements, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
+    """The same over an array column (one screen per row); ``limit`` is a number or a column."""
+    k = F.lit(limit) if isinstance(limit, int) else limit
+    return let({"e": split_named(elements), "k": k}, lambda v: take_with_quota(
+        v["e"]["named"], v["e"]["other"], v["k"], reserved))
 
 
 def two_stage_topk(df: DataFrame, bbox: str, order: str, by=(), n: int = V.CV_MAX_ELEMENTS,

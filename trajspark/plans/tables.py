@@ -63,13 +63,13 @@ STEPS_SQL = """steps AS (
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
     """Truth is a step's action, the prediction is the action before it in the same run."""
-    o = OrderedRows(steps(spark, sf), "run", ["ts", "n"]).previous("_p", F.col("action"), 1)
-    s = o.df().select(F.col("n").alias("i"), "run", "k", "elapsed", "action",
-                      F.try_element_at("_p", F.lit(1)).alias("pred_action"))
-    c = build_cases(s.select("i", "action"), s.select("i", "pred_action").filter("pred_action is not null"))
-    extra = s.select("i", "run", "elapsed", F.concat(F.lit("cfg"), (F.col("k") % 5).cast("string")).alias("config"),
-                     F.concat(F.lit("app"), (F.col("k") % 7).cast("string")).alias("app"))
-    return c.drop("dist_raw").join(extra, "i")
+    st = steps(spark, sf)
+    before = OrderedRows(st.select("run", "ts", "n", "action"), "run", ["ts", "n"]).previous("_p", F.col("action"), 1).df()
+    preds = before.filter(F.size("_p") > 0).select(F.col("n").alias("i"), F.try_element_at("_p", F.lit(1)).alias("pred_action"))
+    truth = st.select(F.col("n").alias("i"), "run", "elapsed", "action",
+                      F.concat(F.lit("cfg"), (F.col("k") % 5).cast("string")).alias("config"),
+                      F.concat(F.lit("app"), (F.col("k") % 7).cast("string")).alias("app"))
+    return build_cases(truth, preds, keep=("run", "elapsed", "config", "app")).drop("dist_raw")
 
 
 CASES_SQL = STEPS_SQL + """,
