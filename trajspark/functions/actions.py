@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .geometry import in_unit
 from .stats import fixed
-from .strings import col, is_blank, let, nonempty
+from .strings import col, is_blank, let, nonempty, strip
 
 ACTION_SCHEMA = ("struct<type:string,point:struct<x:double,y:double>,point2:struct<x:double,y:double>,"
                  "text:string,direction:string,thought:string>")
@@ -170,12 +170,12 @@ def repair_keyboard_target(type_, text, target) -> Column:
     """A keyboard action that put its content into ``target`` takes it as text."""
     kind = canonical_type(type_)
     misplaced = kind.isin(*V.KEYBOARD_TYPES) & ~is_blank(target) & is_blank(text)
-    return F.when(misplaced, F.regexp_replace(col(target), r"(?U)^\s+|\s+$", "")).otherwise(col(text))
+    return F.when(misplaced, strip(target)).otherwise(col(text))
 
 
 def clean_plan(subtasks, limit: int = V.MAX_SUBTASKS) -> Column:
     """Trimmed, non-blank, first occurrences only, at most ``limit`` (the format's own maximum)."""
-    trimmed = F.transform(col(subtasks), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(col(subtasks), lambda s: strip(s))
     return F.slice(F.array_distinct(F.filter(trimmed, lambda s: s != "")), 1, limit)
 
 

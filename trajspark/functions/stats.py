@@ -41,8 +41,14 @@ def fixed(c, digits: int) -> Column:
 
 
 def round_exact(c, digits: int) -> Column:
-    """Rounding half to even on the exact binary value, as a double."""
-    return fixed(c, digits).cast("double")
+    """Rounding half to even on the exact binary value, as a double.
+
+    Away from a tie scaling and rounding to a whole number gives the same, and much faster.
+    """
+    x, scale = col(c).cast("double"), float(10 ** digits)
+    y = x * scale
+    tie = F.abs(y - F.floor(y) - 0.5) < 1e-6
+    return F.when(tie, fixed(x, digits).cast("double")).otherwise(F.rint(y) / scale)
 
 
 def f1(precision, recall) -> Column:

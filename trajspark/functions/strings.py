@@ -12,9 +12,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# fixed value: every character that counts as white space at the end of a text
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+               + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c) -> Column:
-    """Remove white space of any script from both ends (``trim`` only knows the blank)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Remove white space of any script from both ends (``trim`` alone only knows the blank)."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def is_blank(c) -> Column:

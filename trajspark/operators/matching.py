@@ -233,7 +233,7 @@ def resolve_element_ids(cases: DataFrame, elements: DataFrame, screen: str = "sc
     d = cases.withColumn("element_id", F.when(good, v.cast("long")))
     e = elements.select(screen, F.col("id").cast("long").alias("element_id"), G.box_center("bbox").alias("point"))
     # answers without an id get one of many keys that no element has: a null key would gather them in one task
-    spread = -1 - F.pmod(F.xxhash64(screen, "element_id", *[c for c in cases.columns if c != screen]), F.lit(1024))
+    spread = -1 - F.pmod(F.xxhash64(screen, "element_id", *[c for c, t in cases.dtypes if c != screen and "map<" not in t]), F.lit(1024))
     d = d.withColumn("_eid", F.coalesce("element_id", spread))
     d = lookup_join(d, e.withColumnRenamed("element_id", "_eid"), [screen, "_eid"]).drop("_eid")
     return d.withColumn("reject_reason", F.when(F.col("element_id").isNull(), "element_not_integer")

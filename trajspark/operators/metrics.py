@@ -56,17 +56,20 @@ def op_f1(cases: DataFrame, by=(), keyboard=V.KEYBOARD_TYPES, failed: str = V.PA
     return op_f1_of(case_cube(cases, by, keyboard, ()), by, failed)
 
 
-def op_f1_of(cube: DataFrame, by=(), failed: str = V.PARSE_FAILED) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    entry = F.explode(F.array(
-        F.struct(F.col("gt").alias("cls"), F.col("n").alias("gt"), zero.alias("pred"), zero.alias("hit")),
-        F.struct(F.col("pred").alias("cls"), zero.alias("gt"), F.col("n").alias("pred"), F.col("op_ok").alias("hit"))))
+def op_f1_of(cube: DataFrame, by=(), failed: str = V.PARSE_FAILED, carry=()) -> DataFrame:
+    """The same from a cube; ``carry`` columns of the cube are summed up with the true class."""
+    def part(cls, gt, pred, hit, own):
+        none = F.lit(0).cast("long")
+        return F.struct(F.col(cls).alias("cls"), *[(F.col(v) if v else none).alias(k) for k, v in (
+            ("gt", gt), ("pred", pred), ("hit", hit))], *[(F.col(c) if own else none).alias(c) for c in carry])
+
+    entry = F.explode(F.array(part("gt", "n", None, None, True), part("pred", None, "n", "op_ok", False)))
     c = (cube.select(*by, entry.alias("e")).filter(F.col("e.cls") != failed)
          .groupBy(*by, F.col("e.cls").alias("cls"))
-         .agg(F.sum("e.gt").alias("gt"), F.sum("e.pred").alias("pred"), F.sum("e.hit").alias("hit")))
+         .agg(*[F.sum(f"e.{k}").alias(k) for k in ("gt", "pred", "hit", *carry)]))
     c = (c.withColumn("precision", F.coalesce(ratio("hit", "pred"), F.lit(0.0)))
          .withColumn("recall", F.coalesce(ratio("hit", "gt"), F.lit(0.0))))
-    return c.select(*by, "cls", "gt", "pred", "hit", "precision", "recall", f1("precision", "recall").alias("f1"))
+    return c.select(*by, "cls", "gt", "pred", "hit", "precision", "recall", f1("precision", "recall").alias("f1"), *carry)
 
 
 def f1_summary(per_class: DataFrame, by=()) -> DataFrame:
@@ -160,15 +163,19 @@ def f1_matrix(cases: DataFrame, config: str, keyboard=V.KEYBOARD_TYPES, thin: in
 
 
 def leaderboard(cases: DataFrame, config: str, keyboard=V.KEYBOARD_TYPES) -> DataFrame:
-    """All configurations with their headline metrics, best step success first."""
-    cube = case_cube(cases, (config,), keyboard)
-    n = F.sum("n")
-    s = cube.groupBy(config).agg(
-        n.alias("n"), F.try_divide(F.sum("step_ok_0"), n).alias("step_sr_010"),
-        F.try_divide(F.sum("step_ok_1"), n).alias("step_sr_014"),
-        F.try_divide(F.sum(F.when(F.col("pred") == V.PARSE_FAILED, F.col("n")).otherwise(0)), n).alias("unexecutable"),
-        (F.sum("with_text") > 0).alias("text_compared"))
-    return s.join(f1_summary(op_f1_of(cube, (config,)), (config,)), config).orderBy(F.desc("step_sr_010"), config)
+    """All configurations with their headline metrics, best step success first.
+
+    One scan: cases to cube, cube to classes, classes to configurations.
+    """
+    cube = case_cube(cases, (config,), keyboard).withColumn(
+        "failed", F.when(F.col("pred") == V.PARSE_FAILED, F.col("n")).otherwise(F.lit(0).cast("long")))
+    per = op_f1_of(cube, (config,), carry=("step_ok_0", "step_ok_1", "failed", "with_text"))
+    n = F.sum("gt")
+    return per.groupBy(config).agg(
+        n.alias("n"), F.avg(F.when(F.col("gt") > 0, F.col("f1"))).alias("macro_f1"),
+        F.try_divide(F.sum("hit"), n).alias("micro_f1"), F.try_divide(F.sum("step_ok_0"), n).alias("step_sr_010"),
+        F.try_divide(F.sum("step_ok_1"), n).alias("step_sr_014"), F.try_divide(F.sum("failed"), n).alias("unexecutable"),
+        (F.sum("with_text") > 0).alias("text_compared")).orderBy(F.desc("step_sr_010"), config)
 
 
 def compare_variants(cases: DataFrame, variant: str, latency: str | None = None,

@@ -25,6 +25,7 @@ def hash_cutoffs(df: DataFrame, hash_col: str, want, by=()) -> DataFrame:
     """
     by = list(by)
     d = df.select(*by, F.col(hash_col).alias("_h"), F.substring(hash_col, 1, PREFIX).alias("_b"))
+    d = d.filter(F.col("_b").isNotNull())       # said outright, so that both uses below share one plan
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     one = [F.lit(1).alias("_one")] if not by else []
     part = by or ["_one"]

@@ -107,6 +107,22 @@ def select_with_quota(elements: DataFrame, screen: str = "screen_id", order: str
     return d.filter(ok).withColumn("shown", place.cast("int")).drop("_named", "_rn", "_a", "_b", "_keep")
 
 
+def screen_lists(elements: DataFrame, screen: str = "screen_id", order: str = "id", limit: int = V.MAX_ELEMENTS,
+                 name: str = "elements") -> DataFrame:
+    """One array per screen with all that a list of up to ``limit`` elements can show.
+
+    Of either kind only the first ``limit`` can ever be chosen, so arrays hold at most twice that
+    many, however many elements a screen has; the rest is pruned inside each task.
+    """
+    named = ~is_blank("text")
+    d = elements.withColumn("_named", named).filter(F.col("_named") | (F.col("source") == "cv"))
+    w = W.partitionBy(screen, "_named").orderBy(order)
+    d = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    item = F.struct(F.col(order).alias("_o"), "id", "bbox", "text", "source")
+    return d.groupBy(screen).agg(F.transform(F.sort_array(F.collect_list(item)), lambda e: F.struct(
+        e["id"].alias("id"), e["bbox"].alias("bbox"), e["text"].alias("text"), e["source"].alias("source"))).alias(name))
+
+
 def split_named(elements) -> Column:
     """``struct(named, other)``: elements with text, and icon boxes without."""
     e = F.col(elements) if isinstance(elements, str) else elements
@@ -132,13 +148,16 @@ def select_array_with_quota(elements, limit, reserved: int = V.RESERVED_FOR_UNNA
 def two_stage_topk(df: DataFrame, bbox: str, order: str, by=(), n: int = V.CV_MAX_ELEMENTS,
                    typical: float = V.CV_TYPICAL_SIDE) -> DataFrame:
     """The ``n`` largest boxes per group, then ranked by how close they are to icon size."""
-    by = list(by) or [F.lit(0)]
-    area = W.partitionBy(*by).orderBy(F.desc("_area"), order)
+    by = list(by)
     d = df.withColumn("_area", G.box_area(bbox))
-    d = d.withColumn("_rn", F.row_number().over(area)).filter(F.col("_rn") <= n)
-    like = W.partitionBy(*by).orderBy("_like", "_rn")          # at most n rows per group
+    if by:
+        area = W.partitionBy(*by).orderBy(F.desc("_area"), order)
+        d = d.withColumn("_rn", F.row_number().over(area)).filter(F.col("_rn") <= n).drop("_rn")
+    else:
+        d = d.orderBy(F.desc("_area"), order).limit(n)
+    like = W.partitionBy(*(by or [F.lit(0)])).orderBy("_like", F.desc("_area"), order)      # at most n rows per group
     d = d.withColumn("_like", G.icon_likeness(bbox, typical))
-    return d.withColumn("id", (F.row_number().over(like) - 1).cast("int")).drop("_area", "_rn", "_like")
+    return d.withColumn("id", (F.row_number().over(like) - 1).cast("int")).drop("_area", "_like")
 
 
 def filter_detections(df: DataFrame, screen: str = "screen_id", order=("id",), min_conf: float = V.MIN_CONFIDENCE,

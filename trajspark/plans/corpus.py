@@ -11,6 +11,7 @@ from ..operators import samples as SM
 from ..operators import sessions as W
 from ..operators.matching import locate_points
 from ..operators.normalize import web_steps
+from ..operators.selection import screen_lists
 from . import tables as D
 from .registry import query, with_
 
@@ -134,9 +135,11 @@ def _(s, sf):
 
 def element_steps(s, sf):
     """Each order is a screen with its lines as elements, and one click on it."""
-    per = D.elements(s, sf).groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("id", "bbox", "text", "source"))).alias("elements"))
+    per = screen_lists(D.elements(s, sf))
     o = D.table(s, sf, "orders").select(F.col("o_orderkey").alias("screen_id"), point((F.col("o_custkey") % 100) / 100.0, (F.col("o_orderkey") % 70) / 100.0).alias("p"))
-    d = o.join(per, "screen_id")
+    seen = D.elements(s, sf).select("screen_id").distinct()
+    none = F.array().cast(per.schema["elements"].dataType)
+    d = o.join(seen, "screen_id", "left_semi").join(per, "screen_id", "left").withColumn("elements", F.coalesce("elements", none))
     return d.select("screen_id", "elements", F.lit("do it").alias("instruction"), F.lit("why").alias("thought"),
                     F.array().cast("array<struct<n:bigint,line:string,status:string>>").alias("history"), action(F.lit("click"), F.col("p")).alias("action"))
 
@@ -155,10 +158,22 @@ def _(s, sf):
     return d.select("screen_id", "elements_shown", "response")
 
 
-@query("element_samples_budget_p33_q8")
+BUDGET_SQL = with_(D.ELEMENTS_SQL) + """, o AS (SELECT o_orderkey AS screen_id, length('{"thought":"why","action":{"type":"click","point":[' || CAST(o_custkey % 100 AS DOUBLE) / 100 || ',' || CAST(o_orderkey % 70 AS DOUBLE) / 100 || ']}}') AS plain
+  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+k AS (SELECT *, trim(text) <> '' AS named, length('  [' || id || '] ' || CASE WHEN trim(text) = '' THEN '（图标，未识别出文字）' ELSE text END || printf('  (位置 %.2f, %.2f)', (x1 + x2) / 2, (y1 + y2) / 2)) AS len
+  FROM elements WHERE trim(text) <> '' OR source = 'cv'),
+c AS (SELECT *, row_number() OVER (PARTITION BY screen_id, named ORDER BY id) AS rn, count(*) FILTER (WHERE named) OVER (PARTITION BY screen_id) AS a,
+        count(*) FILTER (WHERE NOT named) OVER (PARTITION BY screen_id) AS b FROM k),
+t AS (SELECT screen_id, lim, sum(len) + count(*) - 1 AS listing FROM (SELECT *, least(least(greatest(least(16, lim // 2), lim - a), lim), b) AS keep FROM c, (VALUES (60), (45), (30), (20), (12), (6), (0)) v(lim))
+  WHERE CASE WHEN named THEN rn <= least(a, lim - keep) ELSE rn <= keep END GROUP BY ALL),
+fit AS (SELECT o.screen_id, lim FROM o, (VALUES (60), (45), (30), (20), (12), (6), (0)) v(lim) LEFT JOIN t USING (screen_id, lim)
+  WHERE ceil((length('Task: do it') + 2 + length('Done so far:') + 1 + length('  （这是第一步）') + 2 + length('Elements on screen:') + 1 + coalesce(listing, length('  （没有识别到文字元素）')) + 1) / 4.0) + ceil(plain / 4.0) <= 110)
+SELECT screen_id, CAST(coalesce(max(lim), 0) AS INT) AS elements_shown FROM o LEFT JOIN fit USING (screen_id) GROUP BY screen_id"""
+
+
+@query("element_samples_budget_p33_q8", BUDGET_SQL)
 def _(s, sf):
-    d = SM.to_element_samples(element_steps(s, sf), budget=110)
-    return d.groupBy("elements_shown").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("prompt")).alias("longest_prompt"))
+    return SM.to_element_samples(element_steps(s, sf), budget=110).select("screen_id", "elements_shown")
 
 
 @query("plan_samples_p34", """WITH w AS (SELECT conv_id, turn, text, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, E' \\n')), lambda x: x <> '') AS w FROM conversations WHERE turn % 2 = 0)

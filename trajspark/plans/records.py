@@ -15,7 +15,7 @@ from ..operators import metrics as M
 from ..operators import normalize as N
 from ..operators import quality as Q
 from ..operators.samples import render_prompts
-from ..operators.selection import select_array_with_quota
+from ..operators.selection import screen_lists, select_array_with_quota
 from . import tables as D
 from .registry import query, with_
 
@@ -189,13 +189,13 @@ def _(s, sf):
     return D.steps(s, sf).select("n", A.step_status("ok", "changed", "error").alias("log"), A.history_status("ok", "changed", "error").alias("history"))
 
 
-@query("render_elements_p27", with_(D.ELEMENTS_SQL) + """, lines AS (SELECT screen_id, id, '  [' || id || '] ' || CASE WHEN trim(text) = '' THEN '（图标，未识别出文字）' ELSE text END
-  || printf('  (位置 %.2f, %.2f)', (x1 + x2) / 2, (y1 + y2) / 2) AS line FROM elements)
-SELECT o_orderkey AS screen_id, coalesce(string_agg(line, chr(10) ORDER BY id), '  （没有识别到文字元素）') AS listing FROM orders LEFT JOIN lines ON screen_id = o_orderkey GROUP BY 1""")
+@query("render_elements_p27", with_(D.ELEMENTS_SQL) + """, lines AS (SELECT screen_id, id, trim(text) = '' AS unnamed, '  [' || id || '] ' || CASE WHEN trim(text) = '' THEN '（图标，未识别出文字）' ELSE text END
+  || printf('  (位置 %.2f, %.2f)', (x1 + x2) / 2, (y1 + y2) / 2) AS line FROM elements WHERE trim(text) <> '' OR source = 'cv')
+SELECT o_orderkey AS screen_id, coalesce(string_agg(line, chr(10) ORDER BY unnamed, id), '  （没有识别到文字元素）') AS listing FROM orders LEFT JOIN lines ON screen_id = o_orderkey GROUP BY 1""")
 def _(s, sf):
-    per = D.elements(s, sf).groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("id", "bbox", "text", "source"))).alias("elements"))
+    per = screen_lists(D.elements(s, sf))
     o = D.table(s, sf, "orders").select(F.col("o_orderkey").alias("screen_id"))
-    return o.join(per, "screen_id", "left").select("screen_id", A.render_elements("elements").alias("listing"))
+    return o.join(per, "screen_id", "left").select("screen_id", A.render_elements(select_array_with_quota("elements", 60)).alias("listing"))
 
 
 @query("render_prompts_p30", """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Do ' || text || '!' || chr(10) || turn ELSE 'Plan {x}: ' || turn || ' ' || text END AS prompt FROM conversations""")
@@ -229,7 +229,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY screen_id, named ORDER BY id) AS
 q AS (SELECT *, least(least(greatest(2, 5 - a), 5), b) AS keep FROM c)
 SELECT screen_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY NOT named, rn) AS ids FROM q WHERE CASE WHEN named THEN rn <= least(a, 5 - keep) ELSE rn <= keep END GROUP BY screen_id""")
 def _(s, sf):
-    per = D.elements(s, sf).groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("id", "bbox", "text", "source"))).alias("e"))
+    per = screen_lists(D.elements(s, sf), limit=5, name="e")
     ids = F.transform(select_array_with_quota("e", 5, 16), lambda x: x["id"].cast("string"))
     return per.select("screen_id", F.array_join(ids, ",").alias("ids")).filter("ids <> ''")
 

@@ -157,10 +157,10 @@ def written_logs(s, sf):
                    F.coalesce("wall_time", F.lit(0.0)).alias("wall_time"), F.col("retries").cast("int").alias("retries"),
                    F.when(F.col("ran"), F.struct(F.transform(F.sequence(F.lit(1), F.col("n_steps").cast("int")), lambda i: F.struct(
                        (i > F.col("error_steps")).alias("ok"))).alias("steps"))).alias("trajectory"))
-    # a log document is one file of the source format; here each holds the records of one task
-    logs = f.groupBy("config", "task").agg(F.collect_list(rec).alias("records")).withColumn("live", F.col("task") != "task3")
+    # a log document holds the records of one batch of runs: a thousand run numbers at most
+    logs = f.groupBy("config", "task", F.expr("run div 1000").alias("batch")).agg(F.collect_list(rec).alias("records")).withColumn("live", F.col("task") != "task3")
     logs = logs.withColumn("records", F.when(F.col("task") == "task5", F.array().cast(logs.schema["records"].dataType)).otherwise(F.col("records")))
-    logs.write.partitionBy("config", "task").json(root)
+    logs.drop("batch").write.partitionBy("config", "task").json(root)
     return root
 
 
