@@ -166,7 +166,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY screen_id, named ORDER BY id) AS
         count(*) FILTER (WHERE NOT named) OVER (PARTITION BY screen_id) AS b FROM k),
 t AS (SELECT screen_id, lim, sum(len) + count(*) - 1 AS listing FROM (SELECT *, least(least(greatest(least(16, lim // 2), lim - a), lim), b) AS keep FROM c, (VALUES (60), (45), (30), (20), (12), (6), (0)) v(lim))
   WHERE CASE WHEN named THEN rn <= least(a, lim - keep) ELSE rn <= keep END GROUP BY ALL),
-fit AS (SELECT o.screen_id, lim FROM o, (VALUES (60), (45), (30), (20), (12), (6), (0)) v(lim) LEFT JOIN t USING (screen_id, lim)
+fit AS (SELECT o.screen_id, v.lim FROM o JOIN (VALUES (60), (45), (30), (20), (12), (6), (0)) v(lim) ON true LEFT JOIN t ON t.screen_id = o.screen_id AND t.lim = v.lim
   WHERE ceil((length('Task: do it') + 2 + length('Done so far:') + 1 + length('  （这是第一步）') + 2 + length('Elements on screen:') + 1 + coalesce(listing, length('  （没有识别到文字元素）')) + 1) / 4.0) + ceil(plain / 4.0) <= 110)
 SELECT screen_id, CAST(coalesce(max(lim), 0) AS INT) AS elements_shown FROM o LEFT JOIN fit USING (screen_id) GROUP BY screen_id"""
 
