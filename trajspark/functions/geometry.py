@@ -64,7 +64,7 @@ def auto_unit(p, w, h) -> Column:
 
 def rescale_box(b, w, h, rw, rh) -> Column:
     b = col(b)
-    sx, sy = col(rw) / col(w), col(rh) / col(h)
+    sx, sy = F.try_divide(col(rw), col(w)), F.try_divide(col(rh), col(h))
     return box(b["x1"] * sx, b["y1"] * sy, b["x2"] * sx, b["y2"] * sy)
 
 
@@ -101,8 +101,8 @@ def scale_factor(w, h, long_edge, max_pixels) -> Column:
 def quad_to_box(quad, w, h) -> Column:
     """Axis-aligned unit box around corner points (array of x,y structs), every side clamped."""
     xs, ys = F.transform(col(quad), lambda p: p["x"]), F.transform(col(quad), lambda p: p["y"])
-    return box(clamp(F.array_min(xs) / col(w)), clamp(F.array_min(ys) / col(h)),
-               clamp(F.array_max(xs) / col(w)), clamp(F.array_max(ys) / col(h)))
+    return box(clamp(F.try_divide(F.array_min(xs), col(w))), clamp(F.try_divide(F.array_min(ys), col(h))),
+               clamp(F.try_divide(F.array_max(xs), col(w))), clamp(F.try_divide(F.array_max(ys), col(h))))
 
 
 def box_center(b) -> Column:

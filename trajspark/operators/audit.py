@@ -38,7 +38,8 @@ def flag_samples(samples: DataFrame) -> DataFrame:
     bad_target = is_blank(a["target"]) | F.arrays_overlap(keys, F.array(F.lit("point"), F.lit("element")))
     act = action(a["type"], _pair(a["point"]), _pair(a["point2"]), a["text"], a["direction"])
     thought = F.coalesce(F.col("_r.thought"), F.lit(""))
-    pt, bb = F.col("_r.point"), F.col("_r.bbox_2d")
+    pt = F.col("_r.point")
+    bb = [F.get("_r.bbox_2d", F.lit(i)) for i in range(4)]          # null where a number is missing
     point_bad = F.exists(pt, lambda v: ~v.between(0, 1))
     box_ok = ((bb[0] >= 0) & (bb[0] < bb[2]) & (bb[2] <= F.col("width"))
               & (bb[1] >= 0) & (bb[1] < bb[3]) & (bb[3] <= F.col("height")))

@@ -42,7 +42,7 @@ def _level(side: Column) -> Column:
 
 
 def _cell(v: Column, level: Column) -> Column:
-    return F.floor(v * F.pow(F.lit(2.0), level)).cast("int")
+    return F.floor(v * F.pow(F.lit(2.0), level))
 
 
 def box_cells(boxes: DataFrame, bbox: str = "bbox", pad: float = 0.0, level: Column | None = None) -> DataFrame:
@@ -81,19 +81,24 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, screen, point: str = "p
 def locate_points(points: DataFrame, boxes: DataFrame, screen: str = "screen_id", pad: float = 0.0) -> DataFrame:
     """Smallest named box around each point (the widened box decides the hit, its own area the rank).
 
-    points: screen, point_id, point. boxes: screen, box_id, ord, bbox, text. Copies are folded
-    first: equal boxes to the one listed first, equal points to one lookup.
+    points: screen, point and any other columns, which are kept; a null point finds nothing.
+    boxes: screen, box_id, ord, bbox, text. Copies are folded first: equal boxes to the one listed
+    first, equal points to one lookup.
     """
     b = F.col("bbox")
     named = (boxes.filter(~is_blank("text")).groupBy(screen, "bbox")
              .agg(F.min(F.struct("ord", "box_id", "text")).alias("first")))
-    spots = points.select(screen, "point").distinct()
+    pointed = points.filter(F.col("point").isNotNull())
+    spots = pointed.select(screen, "point").distinct()
     hit = points_in_boxes(spots, named, screen, pad=pad)
     best = hit.groupBy(screen, "point").agg(F.min(F.struct(
         G.box_area(b).alias("area"), F.col("first.ord").alias("ord"), F.col("first.box_id").alias("box_id"),
         F.col("first.text").alias("text"))).alias("m"))
     best = best.select(screen, "point", F.col("m.box_id").alias("box_id"), F.col("m.text").alias("box_text"))
-    return lookup_join(points, best, [screen, "point"], "left")
+    found = lookup_join(pointed, best, [screen, "point"], "left")
+    blank = points.filter(F.col("point").isNull()).withColumns(
+        {c: F.lit(None).cast(best.schema[c].dataType) for c in ("box_id", "box_text")})
+    return found.unionByName(blank)
 
 
 def covered(truth: DataFrame, elements: DataFrame, screen: str = "screen_id", key: str = "truth_id") -> DataFrame:

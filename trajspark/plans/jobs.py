@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -66,6 +66,12 @@ def prepare_sessions(docs: DataFrame, inventory: DataFrame | None = None, val_ra
     return Prepared(steps, plans, U.apply_split(verdicts, mapping, "session_id"), rejects, N.stage_counts(exploded))
 
 
+def sample_order(*cols: str) -> Column:
+    """One text that sorts like the columns and is as unique as they are; numbers are padded."""
+    return F.concat_ws("|", *[F.when(F.col(c).cast("string").rlike(r"^\d+$"), F.lpad(F.col(c).cast("string"), 20, "0"))
+                              .otherwise(F.col(c).cast("string")) for c in cols])
+
+
 def build_corpus(steps: DataFrame, boxes: DataFrame, plans: DataFrame | None = None, grounding: DataFrame | None = None,
                  order=("file_name", "action_index"), train_split: str = "train", pad: float = 0.0, balance: bool = False,
                  seed: int = 42) -> DataFrame:
@@ -75,22 +81,21 @@ def build_corpus(steps: DataFrame, boxes: DataFrame, plans: DataFrame | None = N
     """
     wanted = train_split.split("+")
     hist = W.with_history(steps.filter(F.col("split").isin(*wanted, "val")), "session_id", list(order))
-    ident = pin(hist.withColumn("point_id", F.xxhash64("session_id", *order)).withColumn("point", F.col("action.point")))
-    names = J.locate_points(ident.filter("point is not null").select("image", "point_id", "point"), boxes, "image", pad)
-    named = ident.join(names.select("point_id", "box_text"), "point_id", "left")
-    d = SM.to_target_samples(named).filter(F.col("reject_reason").isNull()).withColumn("ord", F.col("point_id"))
+    hist = pin(hist.withColumn("ord", sample_order("session_id", *order)).withColumn("point", F.col("action.point")))
+    named = J.locate_points(hist, boxes, "image", pad)
+    d = SM.to_target_samples(named).filter(F.col("reject_reason").isNull())
     train, val = d.filter(F.col("split").isin(*wanted)).withColumn("split", F.lit("train")), d.filter("split = 'val'")
     if balance:
         ref = steps.filter(F.col("split").isin(*wanted)).select(F.col("action.type").alias("type"))
-        train = U.balance_to_reference(train.withColumn("type", F.col("action.type")), ref, "type", "point_id", seed).drop("type")
+        train = U.balance_to_reference(train.withColumn("type", F.col("action.type")), ref, "type", "ord", seed).drop("type")
     cols = ["split", "kind", "source", "image", "width", "height", "prompt", "response", "elements_shown", "ord"]
     parts = [train.unionByName(val).select(*cols)]
     if plans is not None:
         p = SM.plan_samples(plans.filter(F.col("split").isin(*wanted, "val"))).withColumn(
             "split", F.when(F.col("split").isin(*wanted), "train").otherwise("val"))
-        parts.append(p.withColumn("ord", F.xxhash64("session_id", "file_name")).select(*[c for c in cols if c != "elements_shown"]))
+        parts.append(p.withColumn("ord", sample_order("session_id", "file_name")).select(*[c for c in cols if c != "elements_shown"]))
     if grounding is not None:
-        g = U.split_rows(grounding, "ord", at_least_one=True, seed=seed)
+        g = U.split_rows(grounding.withColumn("ord", sample_order("ord")), "ord", at_least_one=True, seed=seed)
         parts.append(g.select(*[c for c in cols if c != "elements_shown"]))
     return U.dedupe_samples(U.union_samples(*parts), order=("part", "ord"), within=("split",))
 
