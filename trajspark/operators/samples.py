@@ -14,7 +14,7 @@ from ..functions.stats import round_exact
 from ..functions.strings import describe_target, is_blank, strip
 from ..functions.udfs import approx_tokens
 from .quality import fit_limit, reject_cascade
-from .selection import split_named, take_with_quota
+from .selection import named_of, other_of, take_with_quota
 
 
 def fill_template(template: str, values: dict) -> Column:
@@ -83,12 +83,14 @@ def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["bas
 
     # every element is rendered once; the limits to try only cut the list of lines
     d = steps.withColumn("_plain", response_json("thought", "action")).withColumn("_history", render_history("history"))
-    d = d.withColumn("_e", split_named(F.transform("elements", lambda e: F.struct(
+    # (columns of their own: parts of one struct would be computed again at every use)
+    d = d.withColumn("_lined", F.transform("elements", lambda e: F.struct(
         e["id"].alias("id"), e["bbox"].alias("bbox"), e["text"].alias("text"), e["source"].alias("source"),
-        element_line(e).alias("line")))))
+        element_line(e).alias("line"))))
+    d = d.withColumn("_named", named_of("_lined")).withColumn("_other", other_of("_lined"))
 
     def shown_at(k):
-        return take_with_quota(F.col("_e.named"), F.col("_e.other"), k)
+        return take_with_quota(F.col("_named"), F.col("_other"), k)
 
     d = d.withColumn("elements_shown", fit_limit(
         lambda k: count(prompt_of(F.transform(shown_at(k), lambda e: e["line"]))) + count(F.col("_plain")), limits, budget))
@@ -100,7 +102,7 @@ def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["bas
     return (d.withColumn("prompt", prompt_of(F.transform("_shown", lambda e: e["line"])))
             .withColumn("response", F.when(F.col("_hit").isNotNull(), by_id).otherwise(F.col("_plain")))
             .withColumn("kind", F.lit("action")).withColumn("source", F.lit(source))
-            .drop("_plain", "_history", "_e", "_shown", "_hit"))
+            .drop("_plain", "_history", "_lined", "_named", "_other", "_shown", "_hit"))
 
 
 def target_decision(action_col: str = "action", box_text: str = "box_text") -> Column:

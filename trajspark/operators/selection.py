@@ -123,11 +123,16 @@ def screen_lists(elements: DataFrame, screen: str = "screen_id", order: str = "i
         e["id"].alias("id"), e["bbox"].alias("bbox"), e["text"].alias("text"), e["source"].alias("source"))).alias(name))
 
 
-def split_named(elements) -> Column:
-    """``struct(named, other)``: elements with text, and icon boxes without."""
+def named_of(elements) -> Column:
+    """Elements of an array that have a text."""
     e = F.col(elements) if isinstance(elements, str) else elements
-    return F.struct(F.filter(e, lambda x: ~is_blank(x["text"])).alias("named"),
-                    F.filter(e, lambda x: is_blank(x["text"]) & (x["source"] == "cv")).alias("other"))
+    return F.filter(e, lambda x: ~is_blank(x["text"]))
+
+
+def other_of(elements) -> Column:
+    """Icon boxes of an array: no text, but a known source."""
+    e = F.col(elements) if isinstance(elements, str) else elements
+    return F.filter(e, lambda x: is_blank(x["text"]) & (x["source"] == "cv"))
 
 
 def take_with_quota(named: Column, other: Column, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
@@ -141,8 +146,8 @@ def take_with_quota(named: Column, other: Column, limit, reserved: int = V.RESER
 def select_array_with_quota(elements, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
     """The same over an array column (one screen per row); ``limit`` is a number or a column."""
     k = F.lit(limit) if isinstance(limit, int) else limit
-    return let({"e": split_named(elements), "k": k}, lambda v: take_with_quota(
-        v["e"]["named"], v["e"]["other"], v["k"], reserved))
+    return let({"named": named_of(elements), "other": other_of(elements), "k": k}, lambda v: take_with_quota(
+        v["named"], v["other"], v["k"], reserved))
 
 
 def two_stage_topk(df: DataFrame, bbox: str, order: str, by=(), n: int = V.CV_MAX_ELEMENTS,
