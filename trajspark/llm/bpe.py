@@ -31,7 +31,7 @@ from .registry import query, table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED_WORDS = 900_000          # pieces kept per worker; the table starts anew beyond it
+CACHED_WORDS = 400_000          # pieces kept per worker; the table starts anew beyond it
 CACHED_BYTES = 64               # longer pieces are never kept
 STEP = 1 << 16                  # characters split into pieces at a time
 SAFE_CUT = re.compile(r"[^\s] (?=[^\s])")
@@ -60,6 +60,24 @@ class Words(dict):
         return ids
 
 
+class Reader:
+    """The bytes of every id of a tokenizer file, and the machine that turns them into text."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = byte_letters()
+        self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        self.bytes_of.update({t["id"]: t["content"].encode() for t in spec["added_tokens"]})
+
+    def decode(self, ids: bytes) -> str:
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        numbers = np.frombuffer(ids, "<u4")
+        out = [machine.decode(b"".join(map(self.bytes_of.__getitem__, numbers[k:k + STEP].tolist())))
+               for k in range(0, len(numbers), STEP)]
+        return "".join([*out, machine.decode(b"", True)])
+
+
 class Transducer:
     """A byte-level merge list read from a tokenizer file."""
 
@@ -116,7 +134,7 @@ class Transducer:
                 limit, x = order[x], px[1]
             else:
                 limit, y = order[y] + 1, py[0]
-        if len(self.follows) >= 1 << 20:
+        if len(self.follows) >= 1 << 18:
             self.follows.clear()
         self.follows[a << 20 | b] = answer
         return answer
@@ -194,19 +212,16 @@ class Transducer:
             yield b"".join(map(self.words.__getitem__, self.pieces.findall(text[at:end] if at or end < len(text) else text)))
             at = end
 
-    def decode(self, ids: bytes) -> str:
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        numbers = np.frombuffer(ids, "<u4")
-        out = [machine.decode(b"".join(map(self.bytes_of.__getitem__, numbers[k:k + STEP].tolist())))
-               for k in range(0, len(numbers), STEP)]
-        return "".join([*out, machine.decode(b"", True)])
-
-
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+@lru_cache(maxsize=2)
+def reader(path: str) -> Reader:
+    return Reader(path)
+
+
 def encode(text: Column, path: str) -> Column:
     """The ids of a text, packed as little-endian unsigned 32-bit integers; null counts as empty."""
     @F.pandas_udf("binary")
@@ -221,7 +236,7 @@ def decode(ids: Column, path: str) -> Column:
     """The text of packed ids; bytes that are no text become U+FFFD."""
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = transducer(path)
+        t = reader(path)
         for s in batches:
             yield pd.Series([t.decode(x or b"") for x in s], dtype=object)
     return decoded.asNondeterministic()(ids)
