@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .registry import query, table
 
 K = 5
-PAGE = 64
-BLOCK_VECTORS = 4_096
+PAGE = 256
+BLOCK_VECTORS = 8_192
 BLOCK_QUERIES = 2_048
 SLACK = 1e-3
 
@@ -106,6 +106,9 @@ class MTree:
                 if len(best) == k:
                     few = scores >= best[0][0]
                     open_, scores = open_[few], scores[few]
+                if len(scores) > 2 * k:                     # no more than k + 1 rows of a page and their ties can enter
+                    few = scores >= np.partition(scores, -k - 1)[-k - 1]
+                    open_, scores = open_[few], scores[few]
                 for row, s in zip(node.rows[open_], scores, strict=True):
                     for i in self.ids[row]:
                         if i == query_id:
@@ -119,7 +122,7 @@ class MTree:
                             break
             else:
                 self.computed += len(open_)
-                d = distances(node.points[open_], q)
+                d = np.sqrt(np.maximum(length + self.most - 2 * (node.points[open_] @ q), 0))       # centres are points: one length for all
                 for e, x in zip(open_, d, strict=True):
                     low = max(x - node.radii[e], 0.0)
                     if low <= r:
