@@ -242,10 +242,26 @@ def decode(ids: Column, path: str) -> Column:
     return decoded.asNondeterministic()(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """Ids and what they decode to, in one worker."""
+    @F.pandas_udf("struct<ids:binary,decoded:string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        t, r = transducer(path), reader(path)
+        for s in batches:
+            ids = [t.encode(x or "") for x in s]
+            yield pd.DataFrame({"ids": ids, "decoded": [r.decode(i) for i in ids]})
+    return both.asNondeterministic()(text)
+
+
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the packed ids of each text and, if asked for, what they decode to. A column of such a name is replaced."""
-    out = docs.withColumn(ids, encode(F.col(text_col), path))
-    return out.withColumn(decoded, decode(F.col(ids), path)) if decoded else out
+    if not decoded:
+        return docs.withColumn(ids, encode(F.col(text_col), path))
+    both = "bpe_"
+    while both in docs.columns:
+        both += "_"
+    return (docs.withColumn(both, round_trip(F.col(text_col), path))
+            .withColumns({ids: F.col(both)["ids"], decoded: F.col(both)["decoded"]}).drop(both))
 
 
 def vocabulary() -> str:
