@@ -160,3 +160,15 @@ PROMPT_TEMPLATES = {
     "target": "Task: {instruction}\n\nDone so far:\n{history}\n\nName the control to operate.\n",
     "plan": "Task: {instruction}\n\nElements on screen:\n{elements}\n\nSplit it into at most {max_subtasks} steps.\n",
 }
+
+# How models spell numbers, boxes and points.
+NUMBER_FORMAT = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+BOX_FORMATS = (
+    r'"bbox_2d"\s*:\s*\[([^\]]+)\]',
+    r"\((\d+),\s*(\d+)\),\s*\((\d+),\s*(\d+)\)",
+    r"\[\s*([\d.]+\s*,\s*[\d.]+\s*,\s*[\d.]+\s*,\s*[\d.]+)\s*\]",
+)
+POINT_FORMATS = (
+    r'"point"\s*:\s*\[([^\]]+)\]',
+    r"\[\s*([\d.]+\s*,\s*[\d.]+)\s*\]",
+)

@@ -91,10 +91,25 @@ def action_from_json(c) -> Column:
     return let({"j": F.from_json(col(c), ACTION_JSON_SCHEMA)}, read)
 
 
+# control, format, private, unassigned and separator characters, all but the plain space
+UNPRINTED = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
+
+
+def _shown(letter: Column) -> Column:
+    """A letter, or its number in hexadecimal if it cannot be printed."""
+    code = F.lower(F.hex(F.ascii(letter)))
+    n = F.length(code)
+    number = (F.when(n <= 2, F.concat(F.lit("\\x"), F.lpad(code, 2, "0"))).when(n <= 4, F.concat(F.lit("\\u"), F.lpad(code, 4, "0")))
+              .otherwise(F.concat(F.lit("\\U"), F.lpad(code, 8, "0"))))
+    return F.when(letter.rlike(UNPRINTED), number).otherwise(letter)
+
+
 def quoted(c) -> Column:
     """Text in single quotes the way a repr shows it: double quotes if it holds a single one."""
-    t = F.replace(F.replace(F.replace(col(c), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")),
-                  F.lit("\t"), F.lit("\\t"))
+    t = col(c)
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        t = F.replace(t, F.lit(raw), F.lit(shown))
+    t = F.when(t.rlike(UNPRINTED), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), _shown), "")).otherwise(t)
     single = t.contains("'")
     double = t.contains('"')
     return (F.when(single & ~double, F.concat(F.lit('"'), t, F.lit('"')))

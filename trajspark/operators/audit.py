@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.actions import action, action_violations
 from ..functions.strings import is_blank, text_key
+from .conformance import malformed_point
 from .splits import overlap
 
 RESPONSE = ("struct<thought:string,action:struct<type:string,point:array<double>,point2:array<double>,"
@@ -36,7 +37,10 @@ def flag_samples(samples: DataFrame) -> DataFrame:
     is_action, is_box, is_plan = (F.col("kind") == k for k in ("action", "grounding", "plan"))
     has_target, has_element = F.array_contains(keys, "target"), F.array_contains(keys, "element")
     bad_target = is_blank(a["target"]) | F.arrays_overlap(keys, F.array(F.lit("point"), F.lit("element")))
-    act = action(a["type"], _pair(a["point"]), _pair(a["point2"]), a["text"], a["direction"])
+    text = F.col("response")
+    beyond = F.struct(F.lit(-1.0).alias("x"), F.lit(-1.0).alias("y"))
+    points = [F.when(malformed_point(text, f"$.action.{p}"), beyond).otherwise(_pair(a[p])) for p in ("point", "point2")]
+    act = action(a["type"], *points, a["text"], a["direction"])
     thought = F.coalesce(F.col("_r.thought"), F.lit(""))
     pt = F.col("_r.point")
     bb = [F.get("_r.bbox_2d", F.lit(i)) for i in range(4)]          # null where a number is missing

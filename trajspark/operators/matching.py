@@ -20,8 +20,11 @@ def lookup_join(rows: DataFrame, table: DataFrame, on, how: str = "left", max_ro
     """Join ``rows`` to a table with one row per key, whatever a key's share of the rows is.
 
     A small table is broadcast. Otherwise only the table rows of hot keys are (there are at most
-    all rows / ``hot_rows`` of them), and the rest is an ordinary shuffle join.
+    all rows / ``hot_rows`` of them), and the rest is an ordinary shuffle join. Rows keep or
+    lose their own row only, so the join is "left" or "inner".
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"how is left or inner, not {how}")
     on = [on] if isinstance(on, str) else list(on)
     small = broadcast_if_small(table, max_rows)
     if small is not None:

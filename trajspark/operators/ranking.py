@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import pin
 
 PREFIX = 3      # hex digits of the hash that make a bucket: at most 16**3 = 4096 buckets
+LEVELS = 2      # buckets inside buckets before anything is ordered
 
 
 def seed_hash(key, seed: int) -> Column:
@@ -17,29 +18,34 @@ def seed_hash(key, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def _edge(d: DataFrame, by: list[str], place: int, want: Column) -> DataFrame:
+    """The prefix bucket that holds the wanted row (one per ``by``) and how many of its rows are wanted."""
+    bucket = F.substring("_h", 1, place * PREFIX)
+    counts = d.groupBy(*by, bucket.alias("_b"), *(["_rest"] if place > 1 else [])).agg(F.count(F.lit(1)).alias("_n"))
+    part = W.partitionBy(*(by or [F.lit(1)]))
+    up_to = part.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("_cum", F.sum("_n").over(up_to)).withColumn("_want", want.cast("long") if place > 1 else want)
+    inside = (F.col("_cum") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_cum"))
+    return counts.filter(inside).select(*by, "_b", (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_rest"))
+
+
 def hash_cutoffs(df: DataFrame, hash_col: str, want, by=()) -> DataFrame:
     """The n-th smallest hash (per ``by``), n = ``want(total)``: one row each, column ``cutoff``.
 
-    Hashes are even, so counting them per prefix finds the one prefix the n-th hash lies in;
-    only that 1/4096 of the rows is ordered. ``by`` must have few values (classes, splits).
+    Hashes are even, so counting them per prefix finds the one prefix the n-th hash lies in, and counting
+    inside of it per longer prefix finds the next; only 1 of 4096 ** LEVELS rows is ordered. Windows run over at most 4096
+    counts per ``by``, which must have few values (classes, splits).
     """
     by = list(by)
-    d = df.select(*by, F.col(hash_col).alias("_h"), F.substring(hash_col, 1, PREFIX).alias("_b"))
-    d = d.filter(F.col("_b").isNotNull())       # said outright, so that both uses below share one plan
-    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    one = [F.lit(1).alias("_one")] if not by else []
-    part = by or ["_one"]
-    counts = counts.select("*", *one)
-    up_to = W.partitionBy(*part).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*part)
-    counts = (counts.withColumn("_cum", F.sum("_n").over(up_to))
-              .withColumn("_want", want(F.sum("_n").over(whole)).cast("long")))
-    edge = (counts.filter((F.col("_cum") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_cum")))
-            .select(*by, "_b", (F.col("_want") - F.col("_cum") + F.col("_n")).alias("_rest")))
-    # at most one row per class
-    near = d.join(F.broadcast(edge), by + ["_b"])
-    nth = W.partitionBy(*by, "_b").orderBy("_h")
-    return (near.withColumn("_rn", F.row_number().over(nth)).filter(F.col("_rn") == F.col("_rest"))
+    d = df.select(*by, F.col(hash_col).alias("_h")).filter(F.col("_h").isNotNull())
+    total = want(F.sum("_n").over(W.partitionBy(*(by or [F.lit(1)]))))
+    for level in range(1, LEVELS + 1):
+        edge = _edge(d, by, level, total.cast("long") if level == 1 else F.col("_rest"))
+        d = d.drop("_rest") if level > 1 else d
+        # at most one row per class
+        d = d.withColumn("_b", F.substring("_h", 1, level * PREFIX)).join(F.broadcast(edge), by + ["_b"]).drop("_b")
+    nth = W.partitionBy(*by, "_rest").orderBy("_h")
+    return (d.withColumn("_rn", F.row_number().over(nth)).filter(F.col("_rn") == F.col("_rest"))
             .select(*by, F.col("_h").alias("cutoff")))
 
 

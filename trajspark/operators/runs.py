@@ -129,8 +129,8 @@ def assemble_trajectories(runs: DataFrame, steps: DataFrame, run: str, order, st
                           chunk: int = 10_000, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Nested documents from runs and steps.
 
-    A document holds at most ``chunk`` steps; a longer run becomes several documents with a
-    rising ``part``, so no group is ever collected whole. Totals are those of the whole run.
+    Every run is ``n_parts`` documents (at least one) of at most ``chunk`` steps each, numbered by
+    ``part``, so no group is ever collected whole. Totals are those of the whole run.
     """
     placed = OrderedRows(steps, run, order, hot_rows).position("_pos").df()
     totals = placed.groupBy(run).agg(F.count(F.lit(1)).alias("n_steps"),
@@ -142,7 +142,8 @@ def assemble_trajectories(runs: DataFrame, steps: DataFrame, run: str, order, st
             .withColumn("steps", F.transform("_steps", lambda x: x["s"])).drop("_steps"))
     return (runs.join(totals, run, "left").join(docs, run, "left")
             .withColumn("n_steps", F.coalesce("n_steps", F.lit(0).cast("long")))
-            .withColumn("part", F.coalesce("part", F.lit(0))))
+            .withColumn("part", F.coalesce("part", F.lit(0)))
+            .withColumn("n_parts", F.greatest(F.lit(1), F.ceil(F.col("n_steps") / chunk).cast("int"))))
 
 
 def config_label(file_name) -> Column:

@@ -72,12 +72,17 @@ NO_POINT = "struct<x:double,y:double>"
 
 
 def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["base"], count=approx_tokens,
-                       limits=V.ELEMENT_STEPS, budget: int = V.TOKEN_BUDGET, source: str = "sessions") -> DataFrame:
+                       limits=V.ELEMENT_STEPS, budget: int = V.TOKEN_BUDGET, source: str = "sessions",
+                       listed: int = V.MAX_ELEMENTS) -> DataFrame:
     """One-stage samples: the prompt lists as many elements as fit, the answer uses the id of a
     *listed* element around the point and keeps the rounded point otherwise.
 
     steps: instruction, thought, action, history, elements (array), image and what else is to stay.
+    ``listed`` is the limit that the arrays were pruned for (``screen_lists``); larger limits need longer arrays.
     """
+    if max(limits) > listed:
+        raise ValueError(f"limits up to {max(limits)} need arrays pruned for that many, not {listed}")
+
     def prompt_of(lines):
         return fill_template(template, {"instruction": "instruction", "history": "_history", "elements": join_lines(lines)})
 

@@ -91,6 +91,7 @@ def select_with_quota(elements: DataFrame, screen: str = "screen_id", order: str
     Adds ``shown`` (1-based place). No more than ``limit`` rows of either kind can matter, so
     both are pruned to that before they are counted.
     """
+    limit = limit if isinstance(limit, int) else max(limit)
     named = ~is_blank("text")
     d = elements.withColumn("_named", named).filter(F.col("_named") | (F.col("source") == "cv"))
     w = W.partitionBy(screen, "_named").orderBy(order)
@@ -107,13 +108,14 @@ def select_with_quota(elements: DataFrame, screen: str = "screen_id", order: str
     return d.filter(ok).withColumn("shown", place.cast("int")).drop("_named", "_rn", "_a", "_b", "_keep")
 
 
-def screen_lists(elements: DataFrame, screen: str = "screen_id", order: str = "id", limit: int = V.MAX_ELEMENTS,
+def screen_lists(elements: DataFrame, screen: str = "screen_id", order: str = "id", limit=V.MAX_ELEMENTS,
                  name: str = "elements") -> DataFrame:
-    """One array per screen with all that a list of up to ``limit`` elements can show.
+    """One array per screen with all that a list of up to ``limit`` elements (the largest, of several) can show.
 
     Of either kind only the first ``limit`` can ever be chosen, so arrays hold at most twice that
     many, however many elements a screen has; the rest is pruned inside each task.
     """
+    limit = limit if isinstance(limit, int) else max(limit)
     named = ~is_blank("text")
     d = elements.withColumn("_named", named).filter(F.col("_named") | (F.col("source") == "cv"))
     w = W.partitionBy(screen, "_named").orderBy(order)

@@ -111,6 +111,7 @@ def anchor_reuse(frames: DataFrame, session: str, order: str, vec: str = "vec",
     cut = OrderedRows(frames.select(session, order, vec), session, order, piece_rows)
     fields = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     out_schema = f"{session} {fields[session]}, {order} {fields[order]}, anchor {fields[order]}"
+    kept = [session, order, "anchor"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -122,10 +123,10 @@ def anchor_reuse(frames: DataFrame, session: str, order: str, vec: str = "vec",
             if anchor_vec is None or v is None or np.abs(anchor_vec - v).mean() >= threshold:
                 anchor_vec, anchor_id = v, key
             ids.append(anchor_id)
-        return pd.DataFrame({session: pdf[session], order: pdf[order], "anchor": ids})
+        return pdf.assign(anchor=ids)[[c for c in (*kept, SEG) if c in pdf or c == "anchor"]]
 
     def run(rows: DataFrame, keys) -> DataFrame:
-        return rows.groupBy(*keys).applyInPandas(fold, out_schema)
+        return rows.groupBy(*keys).applyInPandas(fold, out_schema + (f", {SEG} int" if SEG in keys else ""))
 
     results = []
     for d, hot in cut._parts:
@@ -136,16 +137,18 @@ def anchor_reuse(frames: DataFrame, session: str, order: str, vec: str = "vec",
             continue
         starts, rows = None, empty
         while True:
-            folded = pin(run(rows, [session, SEG]).join(d.select(session, order, SEG), [session, order]))
+            folded = pin(run(rows, [session, SEG]))
             ends = folded.groupBy(session, SEG).agg(F.max_by("anchor", order).alias("_end"))
             nxt = ends.select(session, SEG, F.lag("_end").over(W.partitionBy(session).orderBy(SEG)).alias("_start"))
-            now = {(r[0], r[1]): r[2] for r in nxt.collect()}      # one value per piece
-            if now == starts:
+            nxt = pin(nxt.filter("_start is not null").select(F.col(session).alias("_s"), F.col(SEG).alias("_g"), "_start"))
+            # one row per piece; only whether any start has moved comes to the driver
+            if starts is not None and nxt.exceptAll(starts).isEmpty():
                 break
-            starts = now
-            begin = d.select(F.col(session), F.col(order).alias("_start"), F.col(vec).alias("_start_vec")).join(
-                F.broadcast(nxt.filter("_start is not null")), [session, "_start"])
-            rows = d.join(F.broadcast(begin), [session, SEG], "left")
+            starts = nxt
+            begin = nxt.join(d.select(F.col(session).alias("_s2"), F.col(order).alias("_o"), F.col(vec).alias("_start_vec")),
+                             F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_start") == F.col("_o")))
+            rows = d.join(begin.select("_s", "_g", "_start", "_start_vec"),
+                          d[session].eqNullSafe(F.col("_s")) & (d[SEG] == F.col("_g")), "left").drop("_s", "_g")
         results.append(folded.drop(SEG))
     out = results[0]
     for r in results[1:]:

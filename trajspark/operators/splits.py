@@ -72,8 +72,9 @@ def assert_disjoint(a: DataFrame, b: DataFrame, *keys: str) -> None:
 
 
 def respect_holdout(df: DataFrame, split: str = "split", test: str = "test") -> tuple[DataFrame, DataFrame]:
-    """(pool, held out): the official test part stays whole and leaves the pool."""
-    return df.filter(F.col(split) != test), df.filter(F.col(split) == test)
+    """(pool, held out): the official test part stays whole and leaves the pool; rows without a split are pool."""
+    held = F.col(split).eqNullSafe(F.lit(test))
+    return df.filter(~held), df.filter(held)
 
 
 def balance_quotas(have: DataFrame, ref: DataFrame, cls: str) -> DataFrame:

@@ -192,6 +192,11 @@ rj AS (SELECT *, CASE WHEN vec_id % 13 = 0 OR vec_id % 17 = 0 THEN '缺候选元
   WHEN NOT (bx - x0 >= 0 AND bx - x0 < least(x0 + 1280, w) - x0 AND by_ - y0 >= 0 AND by_ - y0 < least(y0 + 720, h) - y0) THEN '裁剪后目标不在窗口内' END AS reject_reason FROM win)"""
 
 
+# an element without a text is still named by its label
+NAMED_REASON = """CASE WHEN reject_reason = '没有元素描述' AND vec_id % 14 <> 1 THEN CASE WHEN NOT (bx >= 0 AND bx < w AND by_ >= 0 AND by_ < h) THEN '目标框在图外'
+  WHEN NOT (bx - x0 >= 0 AND bx - x0 < least(x0 + 1280, w) - x0 AND by_ - y0 >= 0 AND by_ - y0 < least(y0 + 720, h) - y0) THEN '裁剪后目标不在窗口内' END ELSE reject_reason END"""
+
+
 def candidates(s, sf):
     e = D.table(s, sf, "embeddings")
     i = F.col("vec_id")
@@ -206,24 +211,23 @@ def candidates(s, sf):
                     (i % 17 != 0).alias("has_image"), F.lit(780).alias("width"), F.lit(3000).alias("height"))
 
 
-@query("grounding_cascade_q4", with_(CAND_SQL) + "SELECT vec_id, CASE WHEN reject_reason = '没有元素描述' THEN NULL ELSE reject_reason END AS reject_reason FROM rj WHERE vec_id % 7 <> 0")
+@query("grounding_cascade_q4", with_(CAND_SQL) + f"SELECT vec_id, {NAMED_REASON} AS reject_reason FROM rj")
 def _(s, sf):
-    return SM.grounding_cascade(candidates(s, sf).filter("vec_id % 7 <> 0"), F.col("has_image")).select("vec_id", "reject_reason")
+    return SM.grounding_cascade(candidates(s, sf), F.col("has_image")).select("vec_id", "reject_reason")
 
 
-@query("grounding_reasons_q4", with_(CAND_SQL) + """, d AS (SELECT *, CASE WHEN reject_reason = '没有元素描述' AND vec_id % 14 <> 1 THEN CASE WHEN NOT (bx >= 0 AND bx < w AND by_ >= 0 AND by_ < h) THEN '目标框在图外'
-  WHEN NOT (bx - x0 >= 0 AND bx - x0 < least(x0 + 1280, w) - x0 AND by_ - y0 >= 0 AND by_ - y0 < least(y0 + 720, h) - y0) THEN '裁剪后目标不在窗口内' END ELSE reject_reason END AS r2 FROM rj)
+@query("grounding_reasons_q4", with_(CAND_SQL) + f""", d AS (SELECT *, {NAMED_REASON} AS r2 FROM rj)
 SELECT coalesce(r2, 'kept') AS reason, count(*) AS n FROM d GROUP BY 1""")
 def _(s, sf):
     d = SM.grounding_cascade(candidates(s, sf), F.col("has_image"))
     return d.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("grounding_samples_p9_p10", with_(CAND_SQL) + """, b AS (SELECT *, least(x0 + 1280, w) - x0 AS cw, least(y0 + 720, h) - y0 AS ch FROM rj WHERE reject_reason IS NULL AND vec_id % 7 <> 0)
-SELECT vec_id, 'item ' || vec_id AS prompt, '{"bbox_2d":[' || CAST(round_even(least(greatest(bx - x0, 0), cw) * (924.0::DOUBLE / cw), 0) AS INT) || ',' || CAST(round_even(least(greatest(by_ - y0, 0), ch) * (504.0::DOUBLE / ch), 0) AS INT)
+@query("grounding_samples_p9_p10", with_(CAND_SQL) + f""", b AS (SELECT *, least(x0 + 1280, w) - x0 AS cw, least(y0 + 720, h) - y0 AS ch FROM rj WHERE ({NAMED_REASON}) IS NULL)
+""" + """SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'label' ELSE 'item ' || vec_id END AS prompt, '{"bbox_2d":[' || CAST(round_even(least(greatest(bx - x0, 0), cw) * (924.0::DOUBLE / cw), 0) AS INT) || ',' || CAST(round_even(least(greatest(by_ - y0, 0), ch) * (504.0::DOUBLE / ch), 0) AS INT)
  || ',' || CAST(round_even(least(greatest(bx - x0 + bw, 0), cw) * (924.0::DOUBLE / cw), 0) AS INT) || ',' || CAST(round_even(least(greatest(by_ - y0 + bh, 0), ch) * (504.0::DOUBLE / ch), 0) AS INT) || ']}' AS response FROM b""")
 def _(s, sf):
-    d = SM.grounding_cascade(candidates(s, sf).filter("vec_id % 7 <> 0"), F.col("has_image")).withColumn("rw", F.lit(924)).withColumn("rh", F.lit(504))
+    d = SM.grounding_cascade(candidates(s, sf), F.col("has_image")).withColumn("rw", F.lit(924)).withColumn("rh", F.lit(504))
     return SM.grounding_samples(d, resized=("rw", "rh")).select("vec_id", "prompt", "response")
 
 

@@ -185,7 +185,7 @@ IOU = """(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, le
  / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"""
 
 MERGE_SQL = f"""WITH RECURSIVE {D.boxes_sql(2, 'p')}, {D.boxes_sql(6, 'c')},
-allb AS (SELECT screen_id, 0 AS tier, ord, x1, y1, x2, y2 FROM p WHERE ord % 3 = 0 UNION ALL SELECT screen_id, 1, ord, x1, y1, x2, y2 FROM c),
+allb AS (SELECT screen_id, 0 AS tier, ord, x1, y1, x2, y2 FROM p UNION ALL SELECT screen_id, 1, ord, x1, y1, x2, y2 FROM c),
 o AS (SELECT *, row_number() OVER (PARTITION BY screen_id ORDER BY tier, ord) AS i FROM allb),
 bad AS (SELECT a.screen_id, a.i AS ai, b.i AS bi FROM o a JOIN o b ON a.screen_id = b.screen_id AND a.i < b.i AND b.tier = 1 WHERE {IOU} > 0.3),
 f AS (SELECT screen_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT screen_id FROM o)
@@ -197,7 +197,7 @@ FROM o JOIN last ON o.screen_id = last.screen_id WHERE list_contains(kept, o.i)"
 
 
 def merge_inputs(s, sf):
-    p = D.boxes(s, sf, 2).filter("ord % 3 = 0").withColumn("source", F.lit("ocr"))
+    p = D.boxes(s, sf, 2).withColumn("source", F.lit("ocr"))
     return p, D.boxes(s, sf, 6).withColumn("source", F.lit("cv"))
 
 

@@ -67,9 +67,16 @@ def prepare_sessions(docs: DataFrame, inventory: DataFrame | None = None, val_ra
 
 
 def sample_order(*cols: str) -> Column:
-    """One text that sorts like the columns and is as unique as they are; numbers are padded."""
-    return F.concat_ws("|", *[F.when(F.col(c).cast("string").rlike(r"^\d+$"), F.lpad(F.col(c).cast("string"), 20, "0"))
-                              .otherwise(F.col(c).cast("string")) for c in cols])
+    """One text that sorts like the columns and is as unique as they are.
+
+    Digits are padded to 20 places; longer ones follow after those, by length. A null is its own text.
+    """
+    def part(c: str) -> Column:
+        t = F.col(c).cast("string")
+        n = F.length(t)
+        return (F.when(t.isNull(), F.lit("")).when(~t.rlike(r"^\d+$"), t).when(n <= 20, F.lpad(t, 20, "0"))
+                .otherwise(F.concat(F.lit("9~"), F.lpad(n.cast("string"), 10, "0"), t)))
+    return F.concat_ws("|", *map(part, cols))
 
 
 def build_corpus(steps: DataFrame, boxes: DataFrame, plans: DataFrame | None = None, grounding: DataFrame | None = None,

@@ -250,8 +250,9 @@ def _(s, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-BALANCE = """have AS (SELECT event_type AS c, count(*) AS h FROM events WHERE NOT (event_type = 'click' AND event_id % 4 <> 0) AND NOT (event_type = 'signup' AND event_id % 50 <> 0) GROUP BY 1),
-ref AS (SELECT event_type AS c, count(*) AS r FROM events WHERE NOT (event_type = 'signup' AND event_id % 10 <> 0) GROUP BY 1),
+BALANCE = """skewed AS (SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 4 <> 0 OR event_type = 'signup' AND event_id % 50 <> 0 THEN 'rest' ELSE event_type END AS event_type FROM events),
+have AS (SELECT event_type AS c, count(*) AS h FROM skewed GROUP BY 1),
+ref AS (SELECT CASE WHEN event_type = 'signup' AND event_id % 10 <> 0 THEN 'rest' ELSE event_type END AS c, count(*) AS r FROM events GROUP BY 1),
 k AS (SELECT min(h / (r::DOUBLE / (SELECT sum(r) FROM ref))) AS k FROM have JOIN ref USING (c) WHERE r::DOUBLE / (SELECT sum(r) FROM ref) >= 0.1),
 quota AS (SELECT c, h, CAST(least(h, round_even((SELECT k FROM k) * (coalesce(r, 0)::DOUBLE / (SELECT sum(r) FROM ref)), 0)) AS BIGINT) AS q FROM have LEFT JOIN ref USING (c))"""
 
@@ -259,8 +260,9 @@ quota AS (SELECT c, h, CAST(least(h, round_even((SELECT k FROM k) * (coalesce(r,
 def balance_inputs(s, sf):
     e = D.table(s, sf, "events").select("event_id", "event_type")
     t, i = F.col("event_type"), F.col("event_id")
-    have = e.filter(~((t == "click") & (i % 4 != 0)) & ~((t == "signup") & (i % 50 != 0)))
-    return have, e.filter(~((t == "signup") & (i % 10 != 0)))
+    # all rows take part; a class of its own takes up what makes the others scarce
+    have = e.withColumn("event_type", F.when(((t == "click") & (i % 4 != 0)) | ((t == "signup") & (i % 50 != 0)), "rest").otherwise(t))
+    return have, e.withColumn("event_type", F.when((t == "signup") & (i % 10 != 0), "rest").otherwise(t))
 
 
 @query("balance_quotas_u6", with_(BALANCE) + "SELECT c AS event_type, h AS have, q AS quota FROM quota")
@@ -271,7 +273,7 @@ def _(s, sf):
 
 
 @query("balance_to_reference_u6", with_(BALANCE) + """, rk AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id)) AS rn
-  FROM events WHERE NOT (event_type = 'click' AND event_id % 4 <> 0) AND NOT (event_type = 'signup' AND event_id % 50 <> 0))
+  FROM skewed)
 SELECT event_id, event_type FROM rk JOIN quota ON c = event_type WHERE rn <= q""")
 def _(s, sf):
     have, ref = balance_inputs(s, sf)

@@ -415,7 +415,7 @@ def raw_outputs(s, sf):
     whole = F.concat(F.lit('{"thought": "点 {here}", "action": '), body, F.lit("}"))
     text = (F.when(m == 0, F.lit("no idea {at all")).when(m == 1, '{"action": "click"}')
             .when(m == 5, F.concat(F.lit("I think {this} is it:\n```json\n"), whole, F.lit("\n```")))
-            .when(m == 6, F.concat(F.lit("<think>{}</think>"), F.substring(whole, 1, 1000000))).otherwise(F.concat(whole, F.lit(" done"))))
+            .when(m == 6, F.concat(F.lit("<think>{}</think>"), whole)).otherwise(F.concat(whole, F.lit(" done"))))
     return D.steps(s, sf).select("n", "run", a["type"].alias("gt"), text.alias("raw"))
 
 

@@ -156,14 +156,14 @@ TRAJ = """placed AS (SELECT l_orderkey AS run, l_quantity AS elapsed, l_returnfl
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey) AS pos FROM lineitem)"""
 
 
-@query("assemble_trajectories_s17", with_(TRAJ) + """SELECT o_orderkey AS run, coalesce(part, 0) AS part, coalesce(n_steps, 0) AS n_steps, wall_time, steps FROM orders
+@query("assemble_trajectories_s17", with_(TRAJ) + """SELECT o_orderkey AS run, coalesce(part, 0) AS part, greatest(1, CAST(ceil(coalesce(n_steps, 0) / 4) AS INT)) AS n_parts, coalesce(n_steps, 0) AS n_steps, wall_time, steps FROM orders
  LEFT JOIN (SELECT run, count(*) AS n_steps, round(sum(elapsed), 3) AS wall_time FROM placed GROUP BY run) t ON t.run = o_orderkey
  LEFT JOIN (SELECT run, CAST((pos - 1) // 4 AS INT) AS part, string_agg(CAST(CAST(elapsed AS INT) AS VARCHAR) || CASE WHEN ok THEN '+' ELSE '-' END, ',' ORDER BY pos) AS steps
    FROM placed GROUP BY ALL) d ON d.run = o_orderkey""")
 def _(s, sf):
     step = F.struct(F.concat(F.col("elapsed").cast("int").cast("string"), F.when(F.col("ok"), "+").otherwise("-")).alias("v"))
     docs = R.assemble_trajectories(D.runs(s, sf).select("run"), D.run_steps(s, sf), "run", "ord", step, chunk=4)
-    return docs.select("run", "part", "n_steps", "wall_time", F.array_join(F.transform("steps", lambda x: x["v"]), ",").alias("steps"))
+    return docs.select("run", "part", "n_parts", "n_steps", "wall_time", F.array_join(F.transform("steps", lambda x: x["v"]), ",").alias("steps"))
 
 
 # --- counts -----------------------------------------------------------------------
