@@ -138,12 +138,29 @@ def anchors(rows, thr):
 def test_anchor_reuse_pieces_agree_with_one_fold(spark, piece):
     r = random.Random(3)
     rows = {"s": [(i, [r.random() * 0.2 + i * 0.01, r.random() * 0.2]) for i in range(60)], "t": [(i, [r.random(), r.random()]) for i in range(5)],
-            "u": [(i, [0.5, 0.5]) for i in range(40)]}
+            "u": [(i, [0.5, 0.5]) for i in range(40)], None: [(i, [r.random(), i * 0.02]) for i in range(30)]}
     d = spark.createDataFrame([(s, i, v) for s, x in rows.items() for i, v in x], "session string, frame long, vec array<double>")
     got = {(x.session, x.frame): x.anchor for x in W.anchor_reuse(d, "session", "frame", threshold=0.15, piece_rows=piece).collect()}
     assert got == {(s, i): a for s, x in rows.items() for i, a in anchors(x, 0.15).items()}
 
 
+def test_cut_offs_refine_twice(spark):
+    """The n-th smallest hash, with buckets inside buckets."""
+    from trajspark.operators import ranking as K
+    d = spark.range(20_000).select((F.col("id") % 3).alias("c"), F.md5(F.col("id").cast("string")).alias("h"))
+    rows = [(r.c, r.h) for r in d.collect()]
+    for n in (1, 17, 6_000):
+        got = {r.c: r.cutoff for r in K.hash_cutoffs(d, "h", lambda t: F.least(t, F.lit(n)), by=("c",)).collect()}
+        assert got == {c: sorted(h for k, h in rows if k == c)[n - 1] for c in range(3)}
+    assert K.hash_cutoffs(d, "h", lambda t: F.floor(t / 2)).first().cutoff == sorted(h for _, h in rows)[9_999]
+
+
+def test_lookup_join_takes_left_and_inner_only(spark):
+    from trajspark.operators.matching import lookup_join
+    with pytest.raises(ValueError):
+        lookup_join(spark.range(3), spark.range(3), "id", how="full")
+
+
 def test_frame_changed(spark):
     d = spark.createDataFrame([("s", 1, [0.0, 0.0]), ("s", 2, [1.0, 1.0]), ("s", 3, [4.0, 4.0]), ("s", 4, None)], "s string, n int, vec array<double>")
     assert [r.changed for r in W.frame_changed(d, "s", "n").orderBy("n").collect()] == [True, False, True, True]

@@ -71,15 +71,21 @@ def test_manifest(spark, tmp_path):
     assert IN.read_manifest(spark, str(tmp_path / "m")) == {"train_split": "train+val", "val_is_held_out": False}
 
 
-def test_cache(spark):
+def test_cache(spark, tmp_path):
     keys, cache = spark.range(6).withColumnRenamed("id", "k"), spark.range(2).select(F.col("id").alias("k"), F.lit(-1).cast("long").alias("f"))
     seen = []
 
     def compute(missing):
         seen.append(missing.count())
         return missing.withColumn("f", F.col("k") * 2)
-    out, counts = OUT.materialize_missing(keys.unionByName(keys), cache, "k", compute)
-    assert {r.k: r.f for r in out.collect()} == {0: -1, 1: -1, 2: 4, 3: 6, 4: 8, 5: 10} and tuple(counts.first()) == (2, 4) and seen == [4]
+    path = str(tmp_path / "features")
+    cache.unionByName(spark.createDataFrame([(99, 0)], "k long, f long")).write.parquet(path)
+    for twice in ((2, 4), (6, 0)):      # the second run finds everything
+        out, counts = OUT.materialize_missing(keys.unionByName(keys), path, "k", "k long, f long", compute)
+        assert {r.k: r.f for r in out.collect()} == {0: -1, 1: -1, 2: 4, 3: 6, 4: 8, 5: 10} and tuple(counts.first()) == twice
+    assert seen == [4, 0]
+    fresh, counts = OUT.materialize_missing(keys, str(tmp_path / "none"), "k", "k long, f long", compute)
+    assert fresh.count() == 6 and tuple(counts.first()) == (0, 6)
     assert OUT.require_cached(keys.filter("k < 2"), cache, "k").count() == 2
     with pytest.raises(Exception, match="not in the cache"):
         OUT.require_cached(keys, cache, "k").collect()
@@ -138,6 +144,14 @@ def test_sessions_to_audited_corpus(spark, tmp_path):
     assert not any(r.n for r in audit_corpus(back, p.steps.filter("split = 'test'")).collect())
 
 
+def test_root_names_are_not_patterns(spark, tmp_path):
+    session_tree(tmp_path / "raw+v1.0" / "raw")
+    docs = IN.read_sessions(spark, str(tmp_path / "raw+v1.0" / "raw"))
+    assert {r.split for r in docs.select("split").distinct().collect()} == {"train", "test"}
+    put(tmp_path / "twice" / "test" / "twice" / "b.json", '{"video_width": 5, "video_height": 5}')
+    assert [r.split for r in IN.read_sessions(spark, str(tmp_path / "twice")).collect()] == ["test"]
+
+
 def test_inventory_drops_rows_without_a_file(spark, tmp_path):
     session_tree(tmp_path / "raw")
     docs = IN.read_sessions(spark, str(tmp_path / "raw"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-THEMES = ("scoring", "run_reports", "ordering", "geometry_checks", "records", "corpus", "storage", "live_log")
+THEMES = ("scoring", "run_reports", "ordering", "geometry_checks", "records", "corpus", "storage", "live_log", "edge_cases")
 
 
 def load_queries():

@@ -133,8 +133,10 @@ def spec_table(s, sf):
         F.col("c_nationkey").alias("intent_template_id"), F.when(i % 2 == 0, F.struct(F.col("c_nationkey").alias("n"))).alias("instantiation_dict"),
         F.when(i % 4 != 0, F.array("c_mktsegment")).alias("sites"), F.when(i % 5 == 0, True).alias("require_login"),
         F.when(i % 7 != 0, F.struct(F.array(F.lit("string_match"), F.lit("url")).alias("eval_types"))).alias("eval"))
-    c.write.json(path)
-    return N.flatten_specs(s.read.schema(IN.SPEC_SCHEMA).json(path))
+    # files hold one array of specifications each
+    files = c.groupBy(F.expr("task_id div 1000").alias("file")).agg(F.to_json(F.collect_list(F.struct(*c.columns))).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return N.flatten_specs(IN.read_task_specs(s, path).drop("file"))
 
 
 @query("spec_counts_a2", """SELECT item, count(*) AS n FROM (SELECT c_mktsegment AS item FROM customer WHERE c_custkey % 4 <> 0) GROUP BY item""")
@@ -160,14 +162,16 @@ def written_logs(s, sf):
     # a log document holds the records of one batch of runs: a thousand run numbers at most
     logs = f.groupBy("config", "task", F.expr("run div 1000").alias("batch")).agg(F.collect_list(rec).alias("records")).withColumn("live", F.col("task") != "task3")
     logs = logs.withColumn("records", F.when(F.col("task") == "task5", F.array().cast(logs.schema["records"].dataType)).otherwise(F.col("records")))
-    logs.drop("batch").write.partitionBy("config", "task").json(root)
+    for config in ("cfg0", "cfg1", "cfg2"):
+        (logs.filter(F.col("config") == config).drop("config", "batch").repartition(8).write.option("maxRecordsPerFile", 1)
+         .json(f"{root}/tasks_live_{config}_suite.json"))
     return root
 
 
 @query("run_logs_s8_s9_u9_j13", with_(D.FACTS_SQL) + """SELECT config, count(*) AS runs, count(*) FILTER (WHERE passed) AS passed, CAST(sum(n_steps) AS BIGINT) AS steps, CAST(sum(error_steps) AS BIGINT) AS error_steps,
  count(*) FILTER (WHERE NOT ran) AS aborted FROM facts WHERE task NOT IN ('task3', 'task5') GROUP BY config""")
 def _(s, sf):
-    logs = (s.read.schema(IN.RUN_LOG_SCHEMA + ", config string, task string, _corrupt_record string").json(written_logs(s, sf)))
+    logs = IN.read_run_logs(s, written_logs(s, sf)).withColumn("config", R.legend_label(F.col("config")))
     recs = R.explode_records(R.valid_run_logs(logs))
     return R.summarize_runs(R.run_facts(recs), ("config",)).select("config", "runs", "passed", "steps", "error_steps", "aborted")
 
@@ -212,10 +216,14 @@ def materialized(s, sf):
     def featurize(missing):
         return predict(missing, lambda: len, lambda model, pdf: pdf["text"].map(model), "feature", "bigint").select("doc_id", "feature")
 
-    return OUT.materialize_missing(d, cache, "doc_id", featurize)
+    path = scratch_path(s, "features")
+    cache.write.parquet(path)
+    first = OUT.materialize_missing(d, path, "doc_id", "doc_id long, feature long", featurize)
+    again = OUT.materialize_missing(d, path, "doc_id", "doc_id long, feature long", featurize)
+    return again[0], first[1].withColumn("computed_again", again[1].select("computed").scalar())
 
 
-@query("materialize_counts_s14", "SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS hits, count(*) FILTER (WHERE doc_id % 3 <> 0) AS computed FROM documents")
+@query("materialize_counts_s14", "SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS hits, count(*) FILTER (WHERE doc_id % 3 <> 0) AS computed, CAST(0 AS BIGINT) AS computed_again FROM documents")
 def _(s, sf):
     return materialized(s, sf)[1]
 

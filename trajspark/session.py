@@ -20,6 +20,7 @@ def build_session(app: str = "trajspark", master: str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",     # pinned tables go when nothing refers to them
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -60,6 +61,8 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame | None:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else None."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else None
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame | None:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows and ``max_bytes`` as text, else None."""
+    wide = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), wide).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else None

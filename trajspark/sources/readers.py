@@ -28,6 +28,19 @@ def _path_part(path, back: int):
     return F.try_element_at(F.split(path, "/"), F.lit(-back))
 
 
+def root_length(spark: SparkSession, root: str) -> int:
+    """Length of a folder's full path as file names spell it, without scheme and host."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    return len(full.toUri().getRawPath().rstrip("/"))
+
+
+def only_missing(e: AnalysisException) -> None:
+    """A path that is not there counts as empty; anything else is an error."""
+    if e.getCondition() != "PATH_NOT_FOUND":
+        raise e
+
+
 def read_sessions(spark: SparkSession, root: str, schema: str = DOCUMENT_SCHEMA, pattern: str = "*.json") -> DataFrame:
     """One JSON document per file under ``root/<split>/.../<session>/<name>.json``.
 
@@ -37,8 +50,8 @@ def read_sessions(spark: SparkSession, root: str, schema: str = DOCUMENT_SCHEMA,
     d = (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
          .option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").json(root)
          .withColumn("path", F.col("_metadata.file_path")))
-    base = root.rstrip("/").split("/")[-1]
-    rest = F.split(F.regexp_extract("path", f".*/{base}/(.*)$", 1), "/")
+    # what lies below the root, cut off by length: names are not patterns
+    rest = F.split(F.substring(F.regexp_replace("path", r"^\w+:(//[^/]*)?", ""), root_length(spark, root) + 2, 1 << 20), "/")
     return (d.withColumn("file_name", _path_part("path", 1)).withColumn("split", F.get(rest, F.lit(0)))
             .withColumn("session_id", F.coalesce("session_id", _path_part("path", 2)))
             .withColumn("image", F.concat(F.regexp_replace("path", r"/[^/]*$", ""), F.lit("/images/"),
@@ -77,7 +90,8 @@ def read_event_log(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -
     """Live log read back; a half-written last line is skipped, a missing file is an empty log."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        only_missing(e)
         return spark.createDataFrame([], T._parse_datatype_string(schema))
     return decode_lines(lines, schema)
 
@@ -91,7 +105,8 @@ def list_shards(spark: SparkSession, folder: str, split: str, limit: int | None
     """Sorted shard paths ``<split>-*.parquet`` (files or folders); only names are listed, nothing is opened."""
     try:
         found = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{split}-*.parquet")
-    except AnalysisException:
+    except AnalysisException as e:
+        only_missing(e)
         return []
     shard = F.regexp_extract("path", rf"^(.*/{split}-[^/]*\.parquet)", 1)
     d = found.select(shard.alias("shard")).distinct().orderBy("shard")
@@ -119,10 +134,10 @@ def read_metadata(spark: SparkSession, path: str, drop=("image",)) -> DataFrame:
 
 
 def read_run_logs(spark: SparkSession, path: str, glob: str = "tasks_*suite*.json") -> DataFrame:
-    """One JSON document per configuration; ``config`` comes from the file name."""
+    """Log documents per configuration; ``config`` comes from the name of the file, or of the folder that holds its parts."""
+    name = F.regexp_extract("_metadata.file_path", r"/([^/]+\.json)(?:/[^/]*)?$", 1)
     return (spark.read.schema(RUN_LOG_SCHEMA + ", _corrupt_record string").option("multiLine", True)
-            .option("pathGlobFilter", glob).json(path)
-            .withColumn("log", F.col("_metadata.file_name")).withColumn("config", config_label(F.col("log"))))
+            .json(f"{path.rstrip('/')}/{glob}").withColumn("log", name).withColumn("config", config_label(F.col("log"))))
 
 
 def read_split_expr(spark: SparkSession, root: str, expression: str, schema: str | None = None) -> DataFrame:
@@ -136,7 +151,8 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     """Build notes; the validation part counts as held out where nothing is noted."""
     try:
         rows = spark.read.schema("train_split string, val_is_held_out boolean").json(path).limit(1).collect()
-    except AnalysisException:
+    except AnalysisException as e:
+        only_missing(e)
         rows = []
     d = rows[0].asDict() if rows else {}
     return {"train_split": d.get("train_split"),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import pin
+from .readers import only_missing
 
 
 def write_splits(df: DataFrame, path: str, by=("split",), fmt: str = "json", rows_per_file: int = 1_000_000) -> None:
@@ -31,19 +33,30 @@ def write_report(df: DataFrame, path: str, group: str | None = None, series: str
     return table
 
 
-def materialize_missing(keys: DataFrame, cache: DataFrame, key: str,
+def materialize_missing(keys: DataFrame, path: str, key: str, schema: str,
                         compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(features for all keys, one row with hits and computed): only absent keys are computed.
+    """(features of the wanted keys, one row with hits and computed); the cache is the Parquet folder ``path``.
 
-    What was computed is pinned, so counting it and writing it do not run the feature twice.
+    Only keys that the cache does not have are computed; they are appended to it, so that another run computes nothing.
     """
-    wanted = keys.dropDuplicates([key])
-    missing = wanted.join(cache.select(key), key, "left_anti")
-    fresh = pin(compute(missing).select(*cache.columns))
-    hits = cache.join(wanted.select(key), key, "left_semi")
-    counts = hits.agg(F.count(F.lit(1)).alias("hits")).select("hits", fresh.agg(
-        F.count(F.lit(1)).alias("n")).scalar().alias("computed"))
-    return cache.unionByName(fresh), counts
+    spark = keys.sparkSession
+
+    def cached() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            only_missing(e)
+            return spark.createDataFrame([], schema)
+
+    wanted = pin(keys.select(key).distinct())
+    before = cached()
+    hits = before.join(wanted, key, "left_semi").count()
+    missing = keys.dropDuplicates([key]).join(before.select(key), key, "left_anti")
+    fresh = pin(compute(missing).select(*before.columns))       # reads the cache as it was
+    computed = fresh.count()
+    if computed:
+        fresh.write.mode("append").parquet(path)
+    return cached().join(wanted, key, "left_semi"), spark.createDataFrame([(hits, computed)], "hits long, computed long")
 
 
 def require_cached(keys: DataFrame, cache: DataFrame, key: str) -> DataFrame:
