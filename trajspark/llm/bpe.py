@@ -20,19 +20,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import text_udf
 from .registry import query, table
 
 # fixed values of the format: the split into pieces, and the letters that stand for bytes
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED_WORDS = 400_000          # pieces kept per worker; the table starts anew beyond it
-CACHED_BYTES = 64               # longer pieces are never kept
+CACHED_WORDS = 120_000          # pieces kept per worker, twice; the older half goes
+CACHED_LETTERS = 64             # longer pieces are never kept
 STEP = 1 << 16                  # characters split into pieces at a time
 SAFE_CUT = re.compile(r"[^\s] (?=[^\s])")
 
@@ -44,17 +45,19 @@ def byte_letters() -> dict[str, int]:
 
 
 class Words(dict):
-    """Packed ids by piece, of a bounded number of pieces."""
+    """Packed ids by piece, of a bounded number of pieces: those of late, and behind them those of before."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.before = transducer, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = b"".join(map(self.transducer.packed.__getitem__, self.transducer.stream(raw)))
-        if len(raw) <= CACHED_BYTES:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = b"".join(map(self.transducer.packed.__getitem__, self.transducer.stream(word.encode())))
+        if len(word) <= CACHED_LETTERS:
             if len(self) >= CACHED_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -134,7 +137,7 @@ class Transducer:
                 limit, x = order[x], px[1]
             else:
                 limit, y = order[y] + 1, py[0]
-        if len(self.follows) >= 1 << 18:
+        if len(self.follows) >= 1 << 17:
             self.follows.clear()
         self.follows[a << 20 | b] = answer
         return answer
@@ -224,33 +227,26 @@ def reader(path: str) -> Reader:
 
 def encode(text: Column, path: str) -> Column:
     """The ids of a text, packed as little-endian unsigned 32-bit integers; null counts as empty."""
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         t = transducer(path)
-        for s in batches:
-            yield pd.Series([t.encode(x or "") for x in s], dtype=object)
-    return encoded.asNondeterministic()(text)
+        return lambda texts: [t.encode(x or "") for x in texts]
+    return text_udf("binary", pa.binary(), make)(text)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of packed ids; bytes that are no text become U+FFFD."""
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = reader(path)
-        for s in batches:
-            yield pd.Series([t.decode(x or b"") for x in s], dtype=object)
-    return decoded.asNondeterministic()(ids)
+    def make():
+        r = reader(path)
+        return lambda packed: [r.decode(x or b"") for x in packed]
+    return text_udf("string", pa.string(), make)(ids)
 
 
 def round_trip(text: Column, path: str) -> Column:
     """Ids and what they decode to, in one worker."""
-    @F.pandas_udf("struct<ids:binary,decoded:string>")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         t, r = transducer(path), reader(path)
-        for s in batches:
-            ids = [t.encode(x or "") for x in s]
-            yield pd.DataFrame({"ids": ids, "decoded": [r.decode(i) for i in ids]})
-    return both.asNondeterministic()(text)
+        return lambda texts: [{"ids": i, "decoded": r.decode(i)} for x in texts for i in [t.encode(x or "")]]
+    return text_udf("struct<ids:binary,decoded:string>", pa.struct([("ids", pa.binary()), ("decoded", pa.string())]), make)(text)
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -33,7 +33,7 @@ def powers(n: int, _kept: list = []) -> np.ndarray:  # noqa: B006
     return _kept[0]
 
 
-def pieces(texts: list[str | None]) -> Iterator[list[bytes]]:
+def pieces(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     """The texts as bytes, in lists of bounded size."""
     out, size = [], 0
     for t in texts:

@@ -21,17 +21,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import text_udf
 from .hashing import pieces, words
 from .registry import query, table
 
 BITS = 18
 BEGINNINGS = (4, 6)         # bytes
 APART = 4.0                 # standard errors
-SAMPLE = 6_000
+SAMPLE = 3_000
 HELD_OUT = 2
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.1, 1e-4
@@ -43,7 +44,7 @@ def fold(doc_id: Column) -> Column:
 
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(feature numbers with repeats, words per text) in pieces; each word gives one feature for itself and one for each beginning."""
-    for raw in pieces([(t or "").lower() for t in texts]):
+    for raw in pieces((t or "").lower() for t in texts):
         whole, counts = words(raw)
         kinds = [whole, *[words(raw, k)[0] + np.uint64(k) for k in BEGINNINGS]]
         yield np.stack([(h * np.uint64(2 * k + 3)) >> np.uint64(64 - BITS) for k, h in enumerate(kinds)], axis=1).astype(np.int64), counts
@@ -79,7 +80,7 @@ def table_of(texts: list[str | None]) -> list[np.ndarray]:
     rows: list[np.ndarray] = []
     for at, counts in features(texts):
         text, feature = present(at, counts)
-        rows += np.split(feature, np.searchsorted(text, np.arange(1, len(counts))))
+        rows += np.split(feature.astype(np.int32), np.searchsorted(text, np.arange(1, len(counts))))
     return rows
 
 
@@ -173,11 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def toxicity(text: Column, model: Model) -> Column:
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(model.score(s.tolist()))
-    return scored(text)
+    return text_udf("double", pa.float64(), lambda: model.score)(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, out: str = "score", text_col: str = "text", **kw) -> DataFrame:
