@@ -79,18 +79,20 @@ def medians_of(counted: DataFrame, by=()) -> DataFrame:
     return out.select(*by, "n_values", "median_upper", ((F.col("_lo") + F.col("median_upper")) / 2).alias("median_mid"))
 
 
-def rate_table(df: DataFrame, hit: Column, dims) -> DataFrame:
+def rate_table(df: DataFrame, hit: Column, dims, more: dict | None = None) -> DataFrame:
     """Hit rate overall and per value of each dimension, in one scan (grouping sets).
 
-    Columns: dimension ("all" or the column name), value, hit, total, rate.
+    Columns: dimension ("all" or the column name), value, hit, total, rate, and a count for each of the conditions ``more``.
     """
-    d = df.select(*[F.col(c).cast("string").alias(c) for c in dims], F.coalesce(hit, F.lit(False)).alias("_hit"))
+    more = more or {}
+    d = df.select(*[F.col(c).cast("string").alias(c) for c in dims], F.coalesce(hit, F.lit(False)).alias("_hit"),
+                  *[F.coalesce(c, F.lit(False)).alias("_" + n) for n, c in more.items()])
     sets = [[]] + [[F.col(c)] for c in dims]
     g = d.groupingSets(sets, *dims).agg(
-        F.grouping_id().alias("_gid"), F.count_if("_hit").alias("hit"), F.count(F.lit(1)).alias("total"))
+        F.grouping_id().alias("_gid"), F.count_if("_hit").alias("hit"), F.count(F.lit(1)).alias("total"), *[F.count_if("_" + n).alias(n) for n in more])
     full = (1 << len(dims)) - 1
     name, val = F.when(F.col("_gid") == full, F.lit("all")), F.when(F.col("_gid") == full, F.lit("all"))
     for i, c in enumerate(dims):
         gid = full & ~(1 << (len(dims) - 1 - i))
         name, val = name.when(F.col("_gid") == gid, F.lit(c)), val.when(F.col("_gid") == gid, F.col(c))
-    return g.select(name.alias("dimension"), val.alias("value"), "hit", "total", ratio("hit", "total").alias("rate"))
+    return g.select(name.alias("dimension"), val.alias("value"), "hit", "total", ratio("hit", "total").alias("rate"), *more)

@@ -55,9 +55,13 @@ def box_cells(boxes: DataFrame, bbox: str = "bbox", pad: float = 0.0, level: Col
     d = boxes.withColumn("_lev", level if level is not None else _level(side))
     lev = F.col("_lev")
 
+    # a box in pixels would touch millions of cells
+    unit = F.greatest(*[F.abs(b[c]) for c in ("x1", "y1", "x2", "y2")]) <= 4
+
     def span(a, z):
         lo, hi = _cell(b[a] - pad, lev), _cell(b[z] + pad, lev)
-        return F.explode(F.sequence(lo, F.greatest(lo, hi)))
+        cells = F.when(F.coalesce(unit, F.lit(True)), F.sequence(lo, F.greatest(lo, hi)))
+        return F.explode(F.coalesce(cells, F.raise_error(F.lit("a box is not given in shares of its screen")).cast("array<bigint>")))
 
     return d.withColumn("_cx", span("x1", "x2")).withColumn("_cy", span("y1", "y2"))
 
@@ -106,11 +110,16 @@ def locate_points(points: DataFrame, boxes: DataFrame, screen: str = "screen_id"
 
 def covered(truth: DataFrame, elements: DataFrame, screen: str = "screen_id", key: str = "truth_id") -> DataFrame:
     """Add ``covered``: the centre of some element of the screen lies in the truth box."""
-    centres = elements.select(screen, G.box_center("bbox").alias("point")).distinct()
+    return covered_by(truth, elements, {"covered": F.lit(True)}, screen, key)
+
+
+def covered_by(truth: DataFrame, elements: DataFrame, kinds: dict, screen: str = "screen_id", key: str = "truth_id") -> DataFrame:
+    """Add one column per kind of element (name: condition): some element of the kind has its centre in the truth box. One join for all."""
+    centres = (elements.select(screen, G.box_center("bbox").alias("point"), *[c.alias(n) for n, c in kinds.items()])
+               .groupBy(screen, "point").agg(*[F.max(F.coalesce(n, F.lit(False))).alias(n) for n in kinds]))
     boxes = truth.select(screen, F.col("bbox").alias("truth_box"), key)
-    hits = points_in_boxes(centres, boxes, screen, bbox="truth_box").select(key).distinct()
-    return (truth.join(hits.withColumn("covered", F.lit(True)), key, "left")
-            .withColumn("covered", F.coalesce("covered", F.lit(False))))
+    hits = points_in_boxes(centres, boxes, screen, bbox="truth_box").groupBy(key).agg(*[F.max(n).alias(n) for n in kinds])
+    return truth.join(hits, key, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in kinds})
 
 
 def hit_test(truth: DataFrame, preds: DataFrame, key: str = "index") -> DataFrame:

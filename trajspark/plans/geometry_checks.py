@@ -167,12 +167,11 @@ SELECT 'all' AS dimension, 'all' AS value, count(*) FILTER (WHERE covered) AS hi
 UNION ALL SELECT 'element_type', element_type, count(*) FILTER (WHERE covered), count(*) FILTER (WHERE covered_shown), count(*) FROM cov2 GROUP BY element_type""")
 def _(s, sf):
     el, t = D.elements(s, sf), truth(s, sf)
-    d = J.covered(t, el)
-    shown = J.covered(t, S.select_with_quota(el, limit=4, reserved=3)).select("truth_id", F.col("covered").alias("covered_shown"))
-    d = d.join(shown, "truth_id")
-    a = rate_table(d, F.col("covered"), ("element_type",))
-    b = rate_table(d, F.col("covered_shown"), ("element_type",)).select("dimension", "value", F.col("hit").alias("hit_shown"))
-    return a.join(b, ["dimension", "value"]).select("dimension", "value", "hit", "hit_shown", "total")
+    shown = S.select_with_quota(el, limit=4, reserved=3).select("screen_id", "bbox", F.lit(True).alias("listed"))
+    both = el.select("screen_id", "bbox", F.lit(False).alias("listed")).unionByName(shown)
+    d = J.covered_by(t, both, {"covered": F.lit(True), "covered_shown": F.col("listed")})
+    table = rate_table(d, F.col("covered"), ("element_type",), {"hit_shown": F.col("covered_shown")})
+    return table.select("dimension", "value", "hit", "hit_shown", "total")
 
 
 @query("elements_per_image_a14", with_(D.ELEMENTS_SQL) + """SELECT count(*) AS images, round(avg(n), 6) AS elements_per_image FROM (SELECT screen_id, count(*) AS n FROM elements GROUP BY 1)""")

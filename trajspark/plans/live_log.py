@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import pin, scratch_path
 from ..streaming import live as L
 from . import tables as D
 from .ordering import FAIL_SQL, STUCK_SQL, VERDICT_SQL
@@ -13,15 +13,16 @@ from .storage import log_lines
 
 
 def log_stream(s, sf, files: int = 3):
-    """The events as a log of several files in order of time, streamed one file per batch."""
+    """The events as a log of several files in order of the steps, streamed one file per micro-batch."""
     folder = scratch_path(s, "live")
     st = D.steps(s, sf)
     js = F.to_json(F.struct((F.col("n") / 10.0).alias("t"), F.lit("step").alias("event"), F.col("n").cast("int").alias("n"), "ok", "error", "changed", "elapsed",
                             F.col("run").cast("string").alias("run_id"), F.struct("type").alias("action"),
                             F.when(F.col("k") % 10 < 6, "need_retry").when(F.col("k") % 10 < 9, "sub_task_success").otherwise("need_reformulate").alias("situation")))
-    lines = st.select("ts", "n", js.alias("value")).repartitionByRange(files, "ts", "n").sortWithinPartitions("ts", "n")
-    lines.select("value").write.text(folder)
-    return L.stream_events(s, folder, max_files=files + 1)
+    lines = pin(st.select("n", js.alias("value")).repartitionByRange(files, "n").withColumn("file", F.spark_partition_id()))
+    for k in range(files):          # files are streamed in order of their time stamps
+        lines.filter(F.col("file") == k).sortWithinPartitions("n").select("value").coalesce(1).write.mode("append").text(folder)
+    return L.stream_events(s, folder, max_files=1)
 
 
 def drained(s, stream, mode="append"):
@@ -67,8 +68,9 @@ def _(s, sf):
 def _(s, sf):
     folder, out = scratch_path(s, "live"), scratch_path(s, "table")
     st = D.steps(s, sf)
-    js = F.to_json(F.struct(F.col("n").cast("int").alias("n"), "ok", F.col("run").cast("string").alias("run_id")))
+    js = F.to_json(F.struct(F.col("n").cast("int").alias("n"), "ok", F.col("run").cast("string").alias("run_id"), F.unix_timestamp("ts").cast("double").alias("t")))
     lines = st.select("n", js.alias("value"))
     lines.select("value").unionByName(lines.filter("n % 3 = 0").select("value")).write.text(folder)   # a third arrives twice
-    L.write_events(L.stream_events(s, folder).select("run_id", "n", "ok"), out, scratch_path(s, "progress")).awaitTermination()
-    return s.read.parquet(out)
+    events = L.stream_events(s, folder).select("run_id", "n", "ok", F.timestamp_seconds("t").alias("at"))
+    L.write_events(events, out, scratch_path(s, "progress"), time="at").awaitTermination()
+    return s.read.parquet(out).drop("at")

@@ -42,7 +42,10 @@ class _PerRun(StatefulProcessor):
         for row in batch.itertuples(index=False):
             state, emitted = self.step(state, row)
             out.append((key[0], int(row.n), *emitted))
-        self.memory.update(state)
+        if bool(batch["ended"].any()):          # nothing is kept of a run that is over
+            self.memory.clear()
+        else:
+            self.memory.update(state)
         yield pd.DataFrame(out, columns=["run_id", "n", *self.names])
 
     def close(self) -> None:
@@ -99,9 +102,10 @@ class StallEscalation(_PerRun):
 
 
 def _per_run(events: DataFrame, processor: _PerRun, columns, out: str, run: str) -> DataFrame:
+    ended = F.coalesce(F.col("event") == "finish", F.lit(False)) if "event" in events.columns else F.lit(False)
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    d = events.select(F.col(run).cast("string").alias("run_id"), F.col("n").cast("long").alias("n"), *columns)
+    d = events.select(F.col(run).cast("string").alias("run_id"), F.col("n").cast("long").alias("n"), ended.alias("ended"), *columns)
     schema = T._parse_datatype_string(f"run_id string, n bigint, {out}")
     return d.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
@@ -137,16 +141,13 @@ def stream_stale_workers(beats: DataFrame, worker: str = "worker", ts: str = "be
 
 
 def write_events(stream: DataFrame, path: str, checkpoint: str, run: str = "run_id", n: str = "n",
-                 time: str | None = None, delay: str = "1 hour", fmt: str = "parquet",
+                 *, time: str, delay: str = "1 hour", fmt: str = "parquet",
                  available_now: bool = True) -> StreamingQuery:
     """Append every event exactly once: file sink with checkpoint, repeats of (run, n) dropped.
 
-    With a time column the memory of seen keys is limited by the watermark.
+    The watermark on ``time`` limits the memory of seen keys: a repeat may come up to ``delay`` late.
     """
-    if time:
-        d = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([run, n])
-    else:
-        d = stream.dropDuplicates([run, n])
+    d = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([run, n])
     w = d.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (w.trigger(availableNow=True) if available_now else w).start()
 
