@@ -232,8 +232,9 @@ def removed_windows(docs: DataFrame, text_col: str, length: int, gram: int, crow
                 at += len(raw)
 
     found = rows.mapInArrow(find, "digest long, size int, anchor long, context long, start int, n int")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
-    # dealt anew, or all rows of an anchor would stay in the task that joined them
+    # written first, so that both sides of the join are exchanges and Spark can split an anchor of very many rows;
+    # dealt anew after it, or those rows would stay in the tasks that joined them
+    again = pin(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"))
     found = pin(found.join(again, "anchor").repartition("digest", "context", "start").groupBy("digest", "size", "anchor", "context", "start", "n").agg(F.count(F.lit(1)).alias("times")))
     folded = found.groupBy("anchor", "context", "n").agg(F.sum("times").alias("times"), F.min(F.struct("digest", "size", "start")).alias("at"))
     groups = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
