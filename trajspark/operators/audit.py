@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.actions import action, action_violations
 from ..functions.strings import is_blank, text_key
+from ..session import pin
 from .conformance import malformed_point
 from .splits import overlap
 
@@ -73,7 +74,11 @@ def row_checks(samples: DataFrame) -> DataFrame:
 
 def duplicate_excess(samples: DataFrame, keys=("prompt", "response"), by=("split",)) -> DataFrame:
     """Rows that repeat an earlier (prompt, response) of their split."""
-    g = samples.groupBy(*by, text_key(*keys).alias("_k")).agg(F.count(F.lit(1)).alias("c"))
+    return _excess(samples.select(*by, text_key(*keys).alias("_same")), by)
+
+
+def _excess(digests: DataFrame, by=("split",)) -> DataFrame:
+    g = digests.groupBy(*by, "_same").agg(F.count(F.lit(1)).alias("c"))
     return g.groupBy(*by).agg(F.sum(F.col("c") - 1).alias("n"))
 
 
@@ -82,9 +87,15 @@ def contradictions(samples: DataFrame, keys=("image", "prompt"), by=("split",))
 
     Only two pairs of longs are kept per group, so a group with very many rows stays small.
     """
-    h, g = F.xxhash64("response"), F.xxhash64(F.reverse("response"))
-    per = samples.groupBy(*by, text_key(*keys).alias("_k")).agg(
-        ((F.min(h) != F.max(h)) | (F.min(g) != F.max(g))).alias("mixed"))
+    return _mixed(samples.select(*by, text_key(*keys).alias("_input"), *_response_hashes()), by)
+
+
+def _response_hashes() -> list[Column]:
+    return [F.xxhash64("response").alias("_h"), F.xxhash64(F.reverse("response")).alias("_g")]
+
+
+def _mixed(digests: DataFrame, by=("split",)) -> DataFrame:
+    per = digests.groupBy(*by, "_input").agg(((F.min("_h") != F.max("_h")) | (F.min("_g") != F.max("_g"))).alias("mixed"))
     return per.groupBy(*by).agg(F.count_if("mixed").alias("n"))
 
 
@@ -97,7 +108,8 @@ def audit(samples: DataFrame, test: DataFrame | None = None, val_is_held_out: bo
     """All checks. samples: split (train/val), kind, image, prompt, response, width, height.
 
     The image overlap of train and val is no problem when the manifest says that val was
-    trained on. ``text_overlap`` additionally looks for equal samples on both sides.
+    trained on; it is not looked for then. ``text_overlap`` additionally looks for equal samples on both sides.
+    Texts are read twice: for the row checks, and for a narrow table of digests that all other checks share.
     """
     def rows(d, check):
         return d.select(F.lit(check).alias("check"), "split", F.col("n").cast("long").alias("n"))
@@ -105,15 +117,18 @@ def audit(samples: DataFrame, test: DataFrame | None = None, val_is_held_out: bo
     def total(d, check, split):
         return d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(check).alias("check"), F.lit(split).alias("split"), "n")
 
-    train, val = (samples.filter(F.col("split") == s) for s in ("train", "val"))
+    digests = pin(samples.select("split", "image", text_key("prompt", "response").alias("_same"), text_key("image", "prompt").alias("_input"),
+                                 *_response_hashes()))
+    train, val = (digests.filter(F.col("split") == s) for s in ("train", "val"))
     out = row_checks(samples)
-    out = out.unionByName(rows(duplicate_excess(samples), "duplicate"))
-    out = out.unionByName(rows(contradictions(samples), "contradiction"))
-    shared = total(overlap(train, val, "image"), "shared_image", "train+val")
-    out = out.unionByName(shared if val_is_held_out else shared.withColumn("n", F.lit(0).cast("long")))
+    out = out.unionByName(rows(_excess(digests), "duplicate"))
+    out = out.unionByName(rows(_mixed(digests), "contradiction"))
+    if val_is_held_out:
+        out = out.unionByName(total(overlap(train, val, "image"), "shared_image", "train+val"))
+    else:
+        out = out.unionByName(samples.sparkSession.createDataFrame([("shared_image", "train+val", 0)], out.schema))
     if test is not None:
-        out = out.unionByName(total(overlap(samples, test, "image"), "test_leak", "test"))
+        out = out.unionByName(total(overlap(digests, test, "image"), "test_leak", "test"))
     if text_overlap:
-        keyed = [d.select(text_key("prompt", "response").alias("_k")) for d in (train, val)]
-        out = out.unionByName(total(overlap(*keyed, "_k"), "shared_text", "train+val"))
+        out = out.unionByName(total(overlap(train, val, "_same"), "shared_text", "train+val"))
     return out

@@ -189,11 +189,10 @@ def diff_snapshots(before: DataFrame, after: DataFrame, keys, values=()) -> Data
     out = added
     if values:
         b = before.select(*keys, *[F.col(v).alias("_b_" + v) for v in values])
-        both = after.join(b, keys)
-        for v in values:
-            out = out.unionByName(both.filter(~F.col(v).eqNullSafe(F.col("_b_" + v))).select(
-                *keys, F.lit("changed:" + v).alias("change"), F.col("_b_" + v).cast("string").alias("old"),
-                F.col(v).cast("string").alias("new")))
+        # one join; every value that differs becomes a row of its own
+        changes = F.array_compact(F.array(*[F.when(~F.col(v).eqNullSafe(F.col("_b_" + v)), F.struct(
+            F.lit("changed:" + v).alias("change"), F.col("_b_" + v).cast("string").alias("old"), F.col(v).cast("string").alias("new"))) for v in values]))
+        out = out.unionByName(after.join(b, keys).select(*keys, F.explode(changes).alias("_c")).select(*keys, "_c.*"))
     return out
 
 
