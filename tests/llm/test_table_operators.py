@@ -8,9 +8,9 @@ import math
 
 import numpy as np
 import pytest
-from conftest import doc, prose, SCHEMA  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_samples import prose
 
 from trajspark.llm import fingerprints, graph, hashing, jaccard_join, mixing, sharding, suffix_dedup, topk
 
