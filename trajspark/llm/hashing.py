@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-PIECE_BYTES = 1 << 20       # bytes worked on at a time; one text is never cut
+PIECE_BYTES = 1 << 19       # bytes worked on at a time; one text is never cut
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 PRIME = np.uint64(0x9E3779B97F4A7C15)

@@ -31,7 +31,7 @@ from .registry import query, table
 LENGTH = 400
 GRAM = 128
 CROWD = 1_000
-PIECE = 1 << 20
+PIECE = 1 << 18
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
