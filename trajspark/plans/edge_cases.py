@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import actions as A
+from ..functions.udfs import token_counter
 from ..operators import conformance as O
 from ..operators import matching as J
+from ..operators import quality as Q
 from ..operators import splits as U
 from ..operators.ordered import OrderedRows
 from ..operators.ranking import global_rank
@@ -77,6 +79,13 @@ def _(s, sf):
     return D.table(s, sf, "documents").select("doc_id", A.quoted(F.concat(t, i.cast("string"))).alias("shown"))
 
 
+@query("length_filter_hook_f1_q7", """SELECT doc_id, len(string_split(text, ' ')) AS tokens FROM documents WHERE len(string_split(text, ' ')) <= 300""")
+def _(s, sf):
+    count = token_counter(lambda text: text.count(" ") + 1)
+    d = D.table(s, sf, "documents").select("doc_id", "text").withColumn("tokens", count(F.col("text")))
+    return Q.length_filter(d, F.col("tokens"), 300)[0].select("doc_id", "tokens")
+
+
 @query("parse_outputs_malformed_points_q12", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bad_point' WHEN 1 THEN 'bad_point' WHEN 2 THEN 'bad_point' WHEN 3 THEN 'bad_point' END AS reject_reason FROM events""")
 def _(s, sf):
     m = F.col("event_id") % 6
