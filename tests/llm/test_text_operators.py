@@ -55,6 +55,27 @@ def test_judge_learns_and_adds(judge):
     assert all(e <= bs or s >= be for s, e, _, _ in added for bs, be, _ in base)
 
 
+UNUSUAL = ["bob (at) example.com", "bob [at] example [dot] com", "(415) 555-2671", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "078-05-1120"]
+
+
+def test_judge_adds_items_that_no_base_span_covers(judge):
+    """The table of the judge has none of these forms."""
+    for item in [*UNUSUAL, "030 1234 5678"]:
+        text = f"see {item} for more"
+        assert not pii.base_spans(text) and (4, 4 + len(item)) in [p[:2] for p in judge.added(text, [])], item
+    for context, item in [("phone", "4155552671"), ("account", "12345678"), ("id:", "123.456.789")]:
+        text = f"the {context} {item} there"
+        assert text[slice(*judge.added(text, pii.base_spans(text))[0][:2])] == item, item
+    for text in ["sum 5927243074273351 of", "see DE88 3704 0044 0532 0130 00 for", "version 1.2.3 of", "on 2024-01-02 we", "hash 3e5cb3f9186ce4f749644b48", "at 12 @ home"]:
+        assert not judge.added(text, pii.base_spans(text)), text
+
+
+def test_labels_ask_for_whole_items():
+    text = "token=3e5cb3f9186ce4f749644b48 and 1234567"
+    assert [text[a:b] for a, b, k in pii.proposals(text) if pii.right(text, a, b, k)] == ["3e5cb3f9186ce4f749644b48"]
+    assert all(len({pii.right(x, *p) for x in pii.prior_texts(h) for p in pii.proposals(x) if p[2] == name}) == 2 for h in (False, True) for name in pii.GENERATORS)
+
+
 def test_find_and_redact_keep_all_rows(spark, edge, judge):
     found = pii.find_pii(edge.drop("shard"), judge=judge)
     assert found.count() == edge.count() and "spans" in found.columns
