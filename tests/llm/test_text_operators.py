@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -70,6 +71,21 @@ def test_judge_adds_items_that_no_base_span_covers(judge):
         assert not judge.added(text, pii.base_spans(text)), text
 
 
+@pytest.mark.parametrize("value", ["a1" * 200, "q" * 70 + "7" + "r" * 300, "correcthorsebattery", "x" * 5000 + "-9"])
+def test_secrets_of_any_length_go_whole(spark, judge, value):
+    text = spark.createDataFrame([(f"the token={value}, then",)], "text string")
+    assert text.select(pii.redact(F.col("text"), judge)).first()[0] == "the token=[SECRET], then"
+
+
+def test_addresses_of_any_length_go_whole():
+    local, host = "b" * 200, "h" * 300 + ".org"
+    text = f"x,{local} (at) {host}, y"
+    assert [text[a:b] for a, b, k in pii.proposals(text) if k == "contact"] == [f"{local} (at) {host}"]
+    began = time.monotonic()
+    assert not [p for p in pii.proposals("ab" * 500_000 + " 1") if p[2] == "contact"] and pii.proposals("a,b@" * 50_000)
+    assert time.monotonic() - began < 5
+
+
 def test_labels_ask_for_whole_items():
     text = "token=3e5cb3f9186ce4f749644b48 and 1234567"
     assert [text[a:b] for a, b, k in pii.proposals(text) if pii.right(text, a, b, k)] == ["3e5cb3f9186ce4f749644b48"]
