@@ -104,6 +104,18 @@ def test_pii_without_a_sample(empty):
     assert not pii.train(empty).trees
 
 
+def test_pii_of_a_small_table(spark):
+    docs = spark.createDataFrame([(1, "the token=3e5cb3f9186ce4f749644b48 then"), (2, None)], "doc_id long, text string")
+    got = pii.find_pii(docs).orderBy("doc_id").collect()
+    assert [(s["start"], s["end"], s["kind"]) for s in got[0]["spans"]] == [(10, 34, "secret")] and got[1]["spans"] == []
+
+
+def test_sampled_proposals_come_from_all_generators():
+    text = " ".join(f"sum {10_000_000 + k} of" for k in range(100)) + " token=".join(["", *(f"9f3a77b1ab{k:06d} x" for k in range(100))])
+    kinds = [e[0] for e in pii.example(text)]
+    assert len(kinds) == pii.SAMPLE_SPANS and {0.0, 1.0, 4.0} <= set(kinds)
+
+
 def toxic_rows():
     docs, labels = [], []
     for k in range(600):
