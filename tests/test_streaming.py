@@ -73,3 +73,30 @@ def test_events_arrive_once(spark, log, tmp_path):
         L.write_events(ev.select("run_id", "n", "ok", "at"), str(tmp_path / "table"), str(tmp_path / "ck"), time="at").awaitTermination()
     d = spark.read.parquet(str(tmp_path / "table"))
     assert d.count() == 80 and d.select("run_id", "n").distinct().count() == 80
+
+
+def test_late_first_deliveries_arrive(spark, tmp_path):
+    """Days out of order over several batches, with repeats and without a time."""
+    import os
+    (tmp_path / "in").mkdir()
+    days = [5, 9, 1, 5, 0, 1, 9]
+    for i, day in enumerate(days):
+        lines = [json.dumps({"t": day * 86_400.0 + k, "event": "step", "n": day * 100 + k, "run_id": "a", "ok": True}) for k in range(20)]
+        lines.append(json.dumps({"event": "step", "n": 5_000 + day, "run_id": None, "ok": True}))
+        (tmp_path / "in" / f"{i}.jsonl").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{i}.jsonl", (1_700_000_000 + i, 1_700_000_000 + i))
+    for _ in range(2):
+        ev = L.stream_events(spark, str(tmp_path / "in"), max_files=1).withColumn("at", F.timestamp_seconds("t"))
+        q = L.write_events(ev.select("run_id", "n", "ok", "at"), str(tmp_path / "table"), str(tmp_path / "ck"), time="at")
+        q.awaitTermination()
+    d = spark.read.parquet(str(tmp_path / "table"))
+    want = sorted([day * 100 + k for day in set(days) for k in range(20)] + [5_000 + day for day in set(days)])
+    assert sorted(r["n"] for r in d.select("n").collect()) == want
+
+
+def test_a_batch_run_again_adds_nothing(spark, log, tmp_path):
+    for k in range(2):          # another checkpoint: all batches run again over the same table
+        ev = L.stream_events(spark, log, max_files=2).withColumn("at", F.timestamp_seconds("t"))
+        L.write_events(ev.select("run_id", "n", "ok", "at"), str(tmp_path / "table"), str(tmp_path / f"ck{k}"), time="at").awaitTermination()
+    d = spark.read.parquet(str(tmp_path / "table"))
+    assert d.count() == 200 and d.select("run_id", "n").distinct().count() == 200

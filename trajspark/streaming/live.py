@@ -143,12 +143,30 @@ def stream_stale_workers(beats: DataFrame, worker: str = "worker", ts: str = "be
 def write_events(stream: DataFrame, path: str, checkpoint: str, run: str = "run_id", n: str = "n",
                  *, time: str, delay: str = "1 hour", fmt: str = "parquet",
                  available_now: bool = True) -> StreamingQuery:
-    """Append every event exactly once: file sink with checkpoint, repeats of (run, n) dropped.
+    """Append every event exactly once, however late it comes: each micro-batch adds the (run, n) that the table does not hold.
 
-    The watermark on ``time`` limits the memory of seen keys: a repeat may come up to ``delay`` late.
+    There is no state and no row is too late: a batch is held against the part of the table between its first and
+    last ``time``, widened by ``delay`` (repeats of an event may differ by that much in ``time``; rows without a time always take
+    part). A batch that is run again after a failure finds what it has written. One query at a time may write to
+    ``path``; a folder with the log of Spark's own file sink (``_spark_metadata``) is not continued.
     """
-    d = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([run, n])
-    w = d.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").format(fmt).save(path)        # so that there is a table to read
+
+    def save(batch: DataFrame, _epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            wide, at = F.expr(f"interval '{delay}'"), F.col(time)
+            bounds = batch.agg(F.unix_micros(F.min(at) - wide).alias("first"), F.unix_micros(F.max(at) + wide).alias("last"), F.count_if(at.isNull()).alias("timeless")).first()
+            near = F.lit(True) if bounds["timeless"] else at.isNull() | at.between(*(F.timestamp_micros(F.lit(bounds[k])) for k in ("first", "last")))
+            known = batch.sparkSession.read.schema(batch.schema).format(fmt).load(path)
+            known = known.filter(near).select(F.col(run).alias("known_run_"), F.col(n).alias("known_n_"))
+            same = F.col(run).eqNullSafe(F.col("known_run_")) & F.col(n).eqNullSafe(F.col("known_n_"))
+            batch.dropDuplicates([run, n]).join(known, same, "left_anti").write.mode("append").format(fmt).save(path)
+        finally:
+            batch.unpersist()
+
+    w = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode("append")
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
