@@ -262,6 +262,16 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_beside_many_rows_of_the_query(spark, monkeypatch):
+    """Id 0 has ten equal rows and thirty others of its own; each of these vectors is also another id's."""
+    rows = [(0, [2.0, 1.0])] * 10 + [(7, [2.0, 1.0])] * 3 + [(k, [2.0, 1.0]) for k in (3, 11)] + [(0, [9.0 + k, 5.0]) for k in range(30)] + [(20 + k, [1.0, k / 64]) for k in range(9)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).filter("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 7, 7, 7, 11]
+    for ids in ([1] * 10 + [2], [1] * 10 + [2] * 9 + [3], [1, 2, 3], [1, 1, 2, 2, 3, 3, 4, 4, 5], list(range(20))):
+        kept = topk.enough(np.array(ids), 3).tolist()
+        assert all([i for i in kept if i != q][:3] == [i for i in ids if i != q][:3] for q in [*ids, 99]) and len(kept) <= 6
+
+
 def test_mtree_skips_what_bounds_rule_out():
     rng = np.random.default_rng(1)
     centres = rng.integers(-2000, 2000, (20, 3))

@@ -6,7 +6,8 @@ task builds an M-tree of a block (pages of routing entries with centre, covering
 to the parent; leaves with vectors and their distances to the parent) and searches it best first for each query of a query block. Entries
 whose stored distances already rule them out by the triangle inequality are skipped without computing a
 distance. Bounds have a slack above rounding; scores are sums of integers, so they are exact.
-Equal vectors of a block are one entry, with its ``k + 1`` smallest ids, which is all that ties can need.
+Equal vectors of a block are one entry, with its smallest ids (repeated ones up to ``k`` times) until ``k`` remain without any one
+of them: all that ties can need, whichever id asks.
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take no part; neither do empty
 ones, and vectors of another length than the query's are not its candidates. Rows with a query's id are
@@ -45,6 +46,14 @@ class Node:
     rows: np.ndarray
 
 
+def enough(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of ascending ids, each ``k`` times at most, the least prefix with ``k`` rows beside those of any one id."""
+    nth = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    ids, nth = ids[nth < k], nth[nth < k]
+    beside = np.arange(1, len(ids) + 1) - np.maximum.accumulate(nth + 1)
+    return ids[:int(np.searchsorted(beside, k)) + 1]
+
+
 def distances(points: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((points - q) ** 2).sum(axis=1), 0))
 
@@ -66,13 +75,14 @@ def build(points: np.ndarray, rows: np.ndarray, centre: np.ndarray) -> Node:
 
 
 class MTree:
-    """Over the distinct vectors of a block; ``ids`` are all ids of each, ascending."""
+    """Over the distinct vectors of a block; ``ids`` are the ids of each that can count, ascending."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         distinct, of = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((ids, of.ravel()))
         cut = np.searchsorted(of.ravel()[order], np.arange(len(distinct) + 1))
-        self.ids = [ids[order[a:b]][:k + 1] if b - a > k else ids[order[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
+        self.ids = [enough(ids[order[a:b]], k) if b - a > k else ids[order[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
+        self.least, self.greatest = np.array([i[0] for i in self.ids]), np.array([i[-1] for i in self.ids])
         self.vectors = distinct.astype(np.float64)
         square = (self.vectors ** 2).sum(axis=1)
         self.most = float(square.max())
@@ -101,6 +111,8 @@ class MTree:
                 break
             open_ = np.flatnonzero(np.abs(at - node.to_parent) - node.radii <= r)
             if node.below is None:
+                at_rows = node.rows[open_]
+                open_ = open_[(self.least[at_rows] != query_id) | (self.greatest[at_rows] != query_id)]      # not what is the query's alone
                 self.computed += len(open_)
                 scores = self.vectors[node.rows[open_]] @ q[:-1]
                 if len(best) == k:
