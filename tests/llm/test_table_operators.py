@@ -190,6 +190,17 @@ def test_shards_are_even_with_one_text_in_a_third_of_rows(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_shards_cut_equal_rows_without_ids(spark):
+    rows = [(None, "the same line again")] * 3000 + [(k, f"line {k:07d} of many") for k in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=8).collect()
+    size, slots = dict.fromkeys(range(8), 0), {k: [] for k in range(8)}
+    for r in got:
+        size[r["shard"]] += len(r["text"]) + 8
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 6000 and len(size) == 8 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(size.values()) - min(size.values()) <= 2 * 30
+
+
 def jaccard(a, b):
     keys = lambda t: collections.Counter(fingerprints.PARAGRAPH.findall(t))
     x, y = keys(a), keys(b)

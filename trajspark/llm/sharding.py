@@ -4,7 +4,8 @@ A row's key is 64 bits: 40 of a hash of the text, so that equal texts stand side
 the id, so that even a text that fills many shards can be cut. The driver keeps a sorted list of probes. Each
 round counts the rows and bytes between probes exactly (partial counts in the tasks, one row per
 probe at the end) and splits the ranges that hold a cut and are heavier than the tolerance, or that hold too
-many rows for one task. When all cuts are good, rows are exchanged once, by range.
+many rows for one task. When all cuts are good, rows are exchanged once, by range. Rows of a single key that are still too
+many (equal text and id) are numbered, by counts per partition, and cut by number.
 
 A null text has no bytes, a null id hashes like an empty one; rows of one key are ordered by id and text
 checksum and equal rows among themselves at random; other columns stay as they are (one named
@@ -56,8 +57,8 @@ def counts_between(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.
     return rows, size
 
 
-def find_cuts(keys: DataFrame, shards: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probes, index of the range at which each shard begins, rows of the ranges)."""
+def find_cuts(keys: DataFrame, shards: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+    """(probes, number of the row at which each shard begins, rows of the ranges, heavy single keys with the number of their first row)."""
     probes = np.array(sorted({LOW + (k << 64) // 256 for k in range(1, 256)}), np.int64)
     while True:
         rows, size = counts_between(keys, probes)
@@ -66,15 +67,16 @@ def find_cuts(keys: DataFrame, shards: int, tolerance: float) -> tuple[np.ndarra
         edges = [LOW, *map(int, probes), HIGH + 1]
         goals = [total * k / shards for k in range(1, shards)]
         held = {int(np.searchsorted(ends, g, "left")) for g in goals} if total else set()
-        split = [k for k in range(len(rows)) if edges[k + 1] - edges[k] > 1 and rows[k] > 1
-                 and ((k in held and size[k] > tolerance * total / shards) or rows[k] > max(64, rows.sum() / RANGES))]
+        heavy = [k for k in range(len(rows)) if rows[k] > 1 and ((k in held and size[k] > tolerance * total / shards) or rows[k] > max(64, rows.sum() / RANGES))]
+        split = [k for k in heavy if edges[k + 1] - edges[k] > 1]
         if not split:
-            cuts = []
+            cuts, first = [], np.cumsum(rows) - rows
             for g in goals:
                 k = min(int(np.searchsorted(ends, g, "left")), len(ends) - 1)
                 before = int(ends[k - 1]) if k else 0
-                cuts.append(k if g - before <= int(ends[k]) - g else k + 1)
-            return probes, np.array([0, *cuts]), rows
+                part = (g - before) / max(1, int(size[k]))
+                cuts.append(int(first[k]) + (round(part * int(rows[k])) if k in heavy else 0 if part <= 0.5 else int(rows[k])))
+            return probes, np.maximum.accumulate(np.array([0, *cuts], np.int64)), rows, {edges[k]: int(first[k]) for k in heavy}
         new = {edges[k] + (edges[k + 1] - edges[k]) * j // SPLIT for k in split for j in range(1, SPLIT)}
         probes = np.array(sorted({*map(int, probes), *new} - {LOW}), np.int64)
 
@@ -84,10 +86,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
     """``docs`` with shard (from 0) and slot (gapless from 0 within the shard); shards hold near equal sums of ``size``."""
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long") if size is None else size
     key = row_key(F.col(text_col), F.col(id_col))
-    probes, begins, rows = find_cuts(pin(docs.select(key.alias("key"), size.alias("size"))), shards, tolerance)
-    shard_of = np.searchsorted(begins, np.arange(len(rows)), "right") - 1
+    probes, begins, rows, heavy = find_cuts(pin(docs.select(key.alias("key"), size.alias("size"))), shards, tolerance)
     before = np.cumsum(rows) - rows
-    start = before - np.append(before, rows.sum())[begins][shard_of]
+    shard_of = np.searchsorted(begins, before, "right") - 1
+    start = before - begins[shard_of]
 
     @F.pandas_udf("struct<at:int,shard:int,start:long>")
     def place(keys: pd.Series) -> pd.DataFrame:
@@ -99,9 +101,32 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
         mark += "_"
     checksum = F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
     inside = W.partitionBy(mark + "p.at").orderBy(mark + "k", F.col(id_col), mark + "c")
-    return (docs.withColumns({mark + "k": key, mark + "c": checksum}).withColumn(mark + "p", place(F.col(mark + "k")))
-            .withColumn("slot", F.col(mark + "p.start") + F.row_number().over(inside) - 1)
-            .withColumn("shard", F.col(mark + "p.shard")).drop(mark + "k", mark + "c", mark + "p"))
+    keyed = docs.withColumns({mark + "k": key, mark + "c": checksum})
+    alone = F.col(mark + "k").isin(list(heavy))
+    placed = ((keyed.filter(~alone) if heavy else keyed).withColumn(mark + "p", place(F.col(mark + "k")))
+              .withColumn("slot", F.col(mark + "p.start") + F.row_number().over(inside) - 1)
+              .withColumn("shard", F.col(mark + "p.shard")).drop(mark + "k", mark + "c", mark + "p"))
+    return placed.unionByName(numbered(keyed.filter(alone).drop(mark + "c"), mark, begins, heavy).select(*placed.columns)) if heavy else placed
+
+
+def numbered(rows: DataFrame, mark: str, begins: np.ndarray, heavy: dict[int, int]) -> DataFrame:
+    """Shard and slot of the rows of heavy keys from their number; pinned, so that a row keeps its partition and place."""
+    k, task, nth = mark + "k", mark + "t", mark + "n"
+    rows = pin(rows.withColumns({task: F.spark_partition_id(), nth: F.monotonically_increasing_id()}))
+    at, first = dict(heavy), []
+    for r in rows.groupBy(k, task).count().orderBy(k, task).collect():
+        first.append((r[k], r[task], at[r[k]]))
+        at[r[k]] += r["count"]
+    offsets = rows.sparkSession.createDataFrame(first, f"{k} long, {task} int, {mark}o long")
+
+    @F.pandas_udf("struct<shard:int,slot:long>")
+    def place(number: pd.Series) -> pd.DataFrame:
+        shard = np.searchsorted(begins, number.to_numpy(), "right") - 1
+        return pd.DataFrame({"shard": shard.astype("int32"), "slot": number.to_numpy() - begins[shard]})
+
+    number = F.col(mark + "o") + F.row_number().over(W.partitionBy(k, task).orderBy(nth)) - 1
+    return rows.join(F.broadcast(offsets), [k, task]).withColumn(mark + "g", number).withColumn(mark + "p", place(F.col(mark + "g"))) \
+        .withColumns({"shard": F.col(mark + "p.shard"), "slot": F.col(mark + "p.slot")})
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
