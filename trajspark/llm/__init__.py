@@ -8,6 +8,6 @@ def load_queries():
     from importlib import import_module
 
     from .registry import ORACLE, QUERIES
-    for module in ("pii", "toxicity", "mixing", "bpe", "sharding", "fingerprints", "topk", "jaccard_join", "suffix_dedup", "licenses", "pipeline_query"):
+    for module in ("pii", "toxicity", "mixing", "bpe", "sharding", "fingerprints", "topk", "jaccard_join", "suffix_dedup", "licenses", "line_dedup", "centroids", "filter_audit", "pipeline_query"):
         import_module(f"{__name__}.{module}")
     return QUERIES, ORACLE
