@@ -19,7 +19,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,25 +63,32 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, max(2, fanout)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[tuple[DataFrame, str]]] = []         # the run as a bucketed table, and its folder
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[tuple[DataFrame, str]]:
         return [r for level in self.levels for r in level]
 
-    def _write(self, rows: DataFrame) -> DataFrame:
+    def fold(self, runs: list[tuple[DataFrame, str]]) -> DataFrame:
+        """One row per hash. Read as plain files: Spark takes a union of bucketed tables for bucketed, but does not read it so."""
+        # what a batch left out as settled is missing in the sums, which then are large enough without it
+        rows = self.spark.read.schema(runs[0][0].schema).parquet(*[path for _, path in runs])
+        return rows.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
+
+    def _write(self, rows: DataFrame) -> tuple[DataFrame, str]:
         name = f"line_run_{uuid.uuid4().hex}"
+        path = scratch_path(self.spark, name)
         (rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .option("path", scratch_path(self.spark, name)).saveAsTable(name))
+         .option("path", path).saveAsTable(name))
         run = self.spark.table(name)
         self.spark.sql(f"DROP TABLE {name}")            # the catalog's entry only: the files lie in a folder of their own
-        return run
+        return run, path
 
     def _place(self, rows: DataFrame, level: int) -> None:
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append(self._write(rows))
         if len(self.levels[level]) == self.fanout:
-            merged = fold_runs(self.levels[level])
+            merged = self.fold(self.levels[level])
             self.levels[level] = []
             self._place(merged, level + 1)
 
@@ -90,7 +96,7 @@ class LineRuns:
         """Take in a batch of lines (id, h1, h2); no id may be in two batches."""
         own = (lines.filter(F.col("id").isNotNull()).select("h1", "h2", "id").distinct()
                .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("top")))
-        for run in self.runs():
+        for run, _ in self.runs():
             run = run.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("docs").alias("known"), F.col("top").alias("beyond"))
             settled = (F.col("known") >= self.min_docs) & (F.col("beyond") > F.col("top"))
             own = own.join(run, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & settled, "left_anti")
@@ -98,12 +104,7 @@ class LineRuns:
 
     def frequent(self) -> DataFrame:
         """(h1, h2, top) of every line found in enough documents; after the last batch."""
-        return fold_runs(self.runs()).filter(F.col("docs") >= self.min_docs).select("h1", "h2", "top")
-
-
-def fold_runs(runs: list[DataFrame]) -> DataFrame:
-    # what a batch left out as settled is missing in the sums, which then are large enough without it
-    return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
+        return self.fold(self.runs()).filter(F.col("docs") >= self.min_docs).select("h1", "h2", "top")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
@@ -124,7 +125,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = LineRuns(spark, min_docs, fanout)
     for b in range(len(set(cuts or [])) + 1):
         known.add(lines.filter(F.col("batch") == b))
-    gone = (lines.join(known.frequent(), ["h1", "h2"]).filter(F.coalesce(F.col("id") < F.col("top"), F.lit(True)))
+    # written, so that both sides of the join are plain exchanges and Spark can split a line that very many documents hold
+    found = scratch_path(spark, "frequent")
+    known.frequent().write.parquet(found)
+    gone = (lines.join(spark.read.parquet(found), ["h1", "h2"]).filter(F.coalesce(F.col("id") < F.col("top"), F.lit(True)))
             .select("id", "d1", "d2", "place").groupBy("id", "d1", "d2").agg(F.collect_set("place").alias("gone"))
             .select(F.col("id").alias("gone_id"), F.col("d1").alias("g1"), F.col("d2").alias("g2"), "gone"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *text_digest(F.col(text_col)))
