@@ -292,3 +292,32 @@ def test_mtree_skips_what_bounds_rule_out():
     s = v @ v[0]
     best = np.lexsort((np.arange(len(v)), -s))[:5]
     assert got == [(int(s[i]), int(i)) for i in best] and tree.computed < len(v) / 2
+
+
+def brute_whole(rows, every=50, k=5, scale=256):
+    ints = [(i, [math.floor(v * scale) for v in x]) for i, x in rows]
+    out = []
+    for i, q in ints:
+        if i % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in ints if j != i)[:k]
+            out += [(i, r + 1, j, -s if abs(s) <= topk.LONG else None) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Scores beyond 2^53 are whole numbers, those beyond 64 bits are in order though null; no component is too large."""
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 40)
+    monkeypatch.setattr(topk, "PAGE", 4)
+    r = np.random.default_rng(5)
+    for size in (1e7, 8e6, 1e10):
+        rows = [(k, (r.normal(size=6) * size).round(2).tolist()) for k in range(120)] + [(200, [8e6, 0.1, 0.0, 0.0, 0.0, 0.0]), (201, [8e6, 0.1, 0.0, 0.0, 0.0, 0.0])]
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert sorted(map(tuple, got)) == brute_whole(rows)
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [-1e200, 2.0]), (3, [1.0, 1.0]), (4, [1.7e308, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").orderBy("rank").collect()
+    assert [(g["vec_id"], g["score"] is None) for g in got] == [(1, True), (3, True), (2, True)]
+
+
+@given(st.lists(st.integers(-(1 << 300), 1 << 300), max_size=30))
+def test_sortable_scores(values):
+    assert [topk.sortable(v) for v in sorted(values)] == sorted(map(topk.sortable, values))

@@ -5,11 +5,12 @@ falls as the distance grows: search by product is search in a metric space. Vect
 task builds an M-tree of a block (pages of routing entries with centre, covering radius and distance
 to the parent; leaves with vectors and their distances to the parent) and searches it best first for each query of a query block. Entries
 whose stored distances already rule them out by the triangle inequality are skipped without computing a
-distance. Bounds have a slack above rounding; scores are sums of integers, so they are exact.
+distance. Bounds have a slack above rounding. Scores are exact: products of doubles where the lengths prove that every sum stays below 2^53,
+whole numbers of any size for what the bounds leave over otherwise; blocks are merged by these, and a score beyond 64 bits is null in its rank.
 Equal vectors of a block are one entry, with its smallest ids (repeated ones up to ``k`` times) until ``k`` remain without any one
 of them: all that ties can need, whichever id asks.
 
-Vectors that are null, or hold null or non-finite components, and rows without an id take no part; neither do empty
+Vectors that are null, or hold null or non-finite components (also: whose multiple by ``scale`` is no finite double), and rows without an id take no part; neither do empty
 ones, and vectors of another length than the query's are not its candidates. Rows with a query's id are
 its own, never its candidates; if a query's id is repeated, its smallest vector asks. Repeated candidate rows are
 listed repeatedly. Other columns are left out; an empty table gives no rows.
@@ -33,6 +34,20 @@ PAGE = 256
 BLOCK_VECTORS = 8_192
 BLOCK_QUERIES = 2_048
 SLACK = 1e-3
+ROUNDING = 1e-6         # slack as a share of the lengths
+EXACT = 2.0 ** 53       # integers below are doubles
+LONG = (1 << 63) - 1
+
+
+def sortable(score: int) -> bytes:
+    """Bytes that are in order as the whole numbers are."""
+    n = (abs(score).bit_length() + 7) // 8
+    up = bytes([128 | n >> 8, n & 255]) + abs(score).to_bytes(n, "big")
+    return up if score >= 0 else bytes(255 - b for b in up)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> int:
+    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
 
 
 @dataclass
@@ -84,24 +99,50 @@ class MTree:
         self.ids = [enough(ids[order[a:b]], k) if b - a > k else ids[order[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
         self.least, self.greatest = np.array([i[0] for i in self.ids]), np.array([i[-1] for i in self.ids])
         self.vectors = distinct.astype(np.float64)
-        square = (self.vectors ** 2).sum(axis=1)
+        with np.errstate(over="ignore"):
+            square = (self.vectors ** 2).sum(axis=1)
         self.most = float(square.max())
+        self.computed = 0
+        if not np.isfinite(self.most):          # too long for distances in doubles: one page, told apart by whole numbers only
+            self.root = None
+            return
         self.points = np.hstack([self.vectors, np.sqrt(np.maximum(self.most - square, 0))[:, None]])
         self.root_centre = self.points.mean(axis=0)
         self.root = build(self.points, np.arange(len(distinct)), self.root_centre)
-        self.computed = 0
 
     def search(self, query_id: int, vector: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, id) of the ``k`` best; higher scores first, then smaller ids."""
         q = np.append(vector.astype(np.float64), 0.0)
-        length = float(q @ q)
+        with np.errstate(over="ignore"):
+            length = float(q @ q)
         best: list[tuple[int, int]] = []            # (score, -id), a heap with the worst on top
+        size = float(np.sqrt(length) * np.sqrt(self.most))
+        sure = size < EXACT                         # then every partial sum is an exact double
+        margin = 0.0 if sure else 4 * len(q) * np.finfo(float).eps * size + 1
+
+        def enter(row: int, score: int) -> None:
+            for i in self.ids[row]:
+                if i == query_id:
+                    continue
+                entry = (score, -int(i))
+                if len(best) < k:
+                    heapq.heappush(best, entry)
+                elif entry > best[0]:
+                    heapq.heapreplace(best, entry)
+                else:
+                    break
+
+        if self.root is None or not np.isfinite(length):
+            for row, v in enumerate(self.vectors):
+                self.computed += 1
+                enter(row, product(v, q[:-1]))
+            return [(s, -i) for s, i in sorted(best, key=lambda e: (-e[0], -e[1]))]
 
         def reach() -> float:
             """Beyond this distance no vector can enter."""
             if len(best) < k:
                 return np.inf
-            return float(np.sqrt(max(length + self.most - 2 * best[0][0], 0.0))) + SLACK
+            return float(np.sqrt(max(length + self.most - 2 * float(best[0][0]), 0.0))) + SLACK + ROUNDING * float(np.sqrt(length + self.most))
 
         queue, n = [(0.0, 0, self.root, float(distances(self.root_centre[None], q)[0]))], 0
         while queue:
@@ -116,27 +157,18 @@ class MTree:
                 self.computed += len(open_)
                 scores = self.vectors[node.rows[open_]] @ q[:-1]
                 if len(best) == k:
-                    few = scores >= best[0][0]
+                    few = scores >= best[0][0] - margin
                     open_, scores = open_[few], scores[few]
                 if len(scores) > 2 * k:                     # no more than k + 1 rows of a page and their ties can enter
-                    few = scores >= np.partition(scores, -k - 1)[-k - 1]
+                    few = scores >= np.partition(scores, -k - 1)[-k - 1] - 2 * margin
                     open_, scores = open_[few], scores[few]
                 for row, s in zip(node.rows[open_], scores, strict=True):
-                    for i in self.ids[row]:
-                        if i == query_id:
-                            continue
-                        entry = (int(s), -int(i))
-                        if len(best) < k:
-                            heapq.heappush(best, entry)
-                        elif entry > best[0]:
-                            heapq.heapreplace(best, entry)
-                        else:
-                            break
+                    enter(row, int(s) if sure else product(self.vectors[row], q[:-1]))
             else:
                 self.computed += len(open_)
                 d = np.sqrt(np.maximum(length + self.most - 2 * (node.points[open_] @ q), 0))       # centres are points: one length for all
                 for e, x in zip(open_, d, strict=True):
-                    low = max(x - node.radii[e], 0.0)
+                    low = max(float(x) - node.radii[e], 0.0)
                     if low <= r:
                         n += 1
                         heapq.heappush(queue, (low, n, node.below[e], float(x)))
@@ -146,9 +178,9 @@ class MTree:
 def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for every id divisible by ``every``, the ``k`` other rows of the highest integer product."""
     x = F.col(vector_col)
-    usable = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    rows = vectors.filter(F.coalesce(usable, F.lit(False))).select(
-        F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("int")).alias("v"))
+    off = lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double") * scale) == float("inf"))
+    usable = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, off)
+    rows = vectors.filter(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), x.alias("v"))
     n = rows.count()
     blocks, asking = -(-n // BLOCK_VECTORS) or 1, -(-n // (every * BLOCK_QUERIES)) or 1
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -162,13 +194,15 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_id
         stored, queries = got[~asks], got[asks]
         out = []
         if len(stored) and len(queries):
-            tree = MTree(stored["id"].to_numpy(), np.stack(stored["v"].to_list()), k)
-            for i, v in zip(queries["id"], queries["v"], strict=True):
-                out += [(i, j, s) for s, j in tree.search(i, np.asarray(v), k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = stored.unionByName(queries).groupBy("dim", "block", "turn").applyInPandas(search, "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            whole = lambda of: np.floor(np.stack(of.to_list()).astype(np.float64) * scale)
+            tree = MTree(stored["id"].to_numpy(), whole(stored["v"]), k)
+            for i, v in zip(queries["id"], whole(queries["v"]), strict=True):
+                out += [(i, j, s if abs(s) <= LONG else None, sortable(s)) for s, j in tree.search(i, v, k)]
+        ids, others, scores, places = zip(*out, strict=True) if out else ((), (), (), ())
+        return pd.DataFrame({"query_id": np.array(ids, np.int64), "vec_id": np.array(others, np.int64), "score": pd.array(scores, "Int64"), "place": pd.Series(places, dtype=object)})
+
+    found = stored.unionByName(queries).groupBy("dim", "block", "turn").applyInPandas(search, "query_id long, vec_id long, score long, place binary")
+    best = W.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -177,7 +211,7 @@ WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: CAST(p[1] AS HUGEINT) * p[2])) AS BIGINT) AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
