@@ -321,3 +321,20 @@ def test_top_k_of_large_components(spark, monkeypatch):
 @given(st.lists(st.integers(-(1 << 300), 1 << 300), max_size=30))
 def test_sortable_scores(values):
     assert [topk.sortable(v) for v in sorted(values)] == sorted(map(topk.sortable, values))
+
+
+def test_repeats_query_equals_brute_force(spark, tmp_path):
+    """The columns of the query, on texts with shared passages."""
+    shared = prose(7, 90)
+    rows = [(k, prose(30 + k, 20 + 5 * k) + (" " + shared + " " if k % 3 == 0 else "") + ("ü" * 450 if k in (4, 8) else "")) for k in range(12)] + [(20, None), (21, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    raws = {i: (t or "").encode() for i, t in rows}
+    seen = collections.Counter(raw[a:a + 400] for raw in raws.values() for a in range(len(raw) - 399))
+    for got in suffix_dedup.op6(spark, str(tmp_path)).collect():
+        raw = raws[got["doc_id"]]
+        gone = [any(seen[raw[a:a + 400]] > 1 for a in range(max(0, b - 399), min(b, len(raw) - 400) + 1)) for b in range(len(raw))]
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        spans = sum(g and not (b and gone[b - 1]) for b, g in enumerate(gone))
+        assert (got["n_bytes"], got["n_removed"], got["n_spans"]) == (len(raw), sum(gone), spans)
+        assert got["kept_sha256"] == hashlib.sha256(kept).hexdigest() and got["kept_text"] == kept.decode("utf-8", "replace")
+        assert got["removed_share"] == (sum(gone) / len(raw) if raw else 0)

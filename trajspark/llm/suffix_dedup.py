@@ -337,4 +337,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op6(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"),
+                      F.coalesce((F.col("n_bytes") - F.octet_length("kept")) / F.nullif("n_bytes", F.lit(0)), F.lit(0.0)).alias("removed_share"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
