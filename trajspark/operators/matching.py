@@ -11,6 +11,7 @@ from ..functions.stats import round_exact
 from ..functions.strings import bag_f1, char_bag, is_blank, let
 from ..session import broadcast_if_small, pin
 from .ordered import HOT_ROWS, OrderedRows
+from .points import any_inside, first_box, sides
 
 MAX_LEVEL = 10          # finest grid: 1024 cells per side
 
@@ -66,25 +67,6 @@ def box_cells(boxes: DataFrame, bbox: str = "bbox", pad: float = 0.0, level: Col
     return d.withColumn("_cx", span("x1", "x2")).withColumn("_cy", span("y1", "y2"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, screen, point: str = "point", bbox: str = "bbox",
-                    pad: float = 0.0) -> DataFrame:
-    """Pairs of a point and a box of the same screen around it, through a grid and not all pairs.
-
-    A box sits in the few cells of a grid matched to its size; a point looks up its one cell
-    in every grid that is in use. Column names of both sides must differ apart from ``screen``.
-    """
-    screen = [screen] if isinstance(screen, str) else list(screen)
-    cells = box_cells(boxes, bbox, pad)
-    used = sorted(r[0] for r in cells.select("_lev").distinct().collect())       # at most 11 levels
-    if not used:
-        used = [0]
-    p = points.withColumn("_lev", F.explode(F.array(*[F.lit(x) for x in used])))
-    p = (p.withColumn("_cx", _cell(F.col(point)["x"], F.col("_lev")))
-         .withColumn("_cy", _cell(F.col(point)["y"], F.col("_lev"))))
-    return (p.join(cells, [*screen, "_lev", "_cx", "_cy"])
-            .filter(G.contains(bbox, point, pad)).drop("_lev", "_cx", "_cy"))
-
-
 def locate_points(points: DataFrame, boxes: DataFrame, screen: str = "screen_id", pad: float = 0.0) -> DataFrame:
     """Smallest named box around each point (the widened box decides the hit, its own area the rank).
 
@@ -92,17 +74,16 @@ def locate_points(points: DataFrame, boxes: DataFrame, screen: str = "screen_id"
     boxes: screen, box_id, ord, bbox, text. Copies are folded first: equal boxes to the one listed
     first, equal points to one lookup.
     """
-    b = F.col("bbox")
     named = (boxes.filter(~is_blank("text")).groupBy(screen, "bbox")
              .agg(F.min(F.struct("ord", "box_id", "text")).alias("first")))
+    named = named.select(screen, *sides("bbox", pad), G.box_area("bbox").alias("area"), "first.ord", "first.box_id", F.col("first.text").alias("box_text"))
     pointed = points.filter(F.col("point").isNotNull())
-    spots = pointed.select(screen, "point").distinct()
-    hit = points_in_boxes(spots, named, screen, pad=pad)
-    best = hit.groupBy(screen, "point").agg(F.min(F.struct(
-        G.box_area(b).alias("area"), F.col("first.ord").alias("ord"), F.col("first.box_id").alias("box_id"),
-        F.col("first.text").alias("text"))).alias("m"))
-    best = best.select(screen, "point", F.col("m.box_id").alias("box_id"), F.col("m.text").alias("box_text"))
-    found = lookup_join(pointed, best, [screen, "point"], "left")
+    x, y = (F.col("point")[c].cast("double") for c in ("x", "y"))
+    spots = pointed.select(screen, x.alias("x"), y.alias("y")).distinct()
+    best = first_box(spots, named, [screen], ["area", "ord", "box_id", "box_text"], ["box_id", "box_text"])
+    best = best.select(F.col(screen).alias("_screen"), F.col("x").alias("_x"), F.col("y").alias("_y"), "box_id", "box_text")
+    pointed = pointed.withColumns({"_screen": F.col(screen), "_x": x, "_y": y})
+    found = lookup_join(pointed, best, ["_screen", "_x", "_y"], "left").drop("_screen", "_x", "_y")
     blank = points.filter(F.col("point").isNull()).withColumns(
         {c: F.lit(None).cast(best.schema[c].dataType) for c in ("box_id", "box_text")})
     return found.unionByName(blank)
@@ -115,10 +96,11 @@ def covered(truth: DataFrame, elements: DataFrame, screen: str = "screen_id", ke
 
 def covered_by(truth: DataFrame, elements: DataFrame, kinds: dict, screen: str = "screen_id", key: str = "truth_id") -> DataFrame:
     """Add one column per kind of element (name: condition): some element of the kind has its centre in the truth box. One join for all."""
-    centres = (elements.select(screen, G.box_center("bbox").alias("point"), *[c.alias(n) for n, c in kinds.items()])
-               .groupBy(screen, "point").agg(*[F.max(F.coalesce(n, F.lit(False))).alias(n) for n in kinds]))
-    boxes = truth.select(screen, F.col("bbox").alias("truth_box"), key)
-    hits = points_in_boxes(centres, boxes, screen, bbox="truth_box").groupBy(key).agg(*[F.max(n).alias(n) for n in kinds])
+    point = G.box_center("bbox")
+    centres = (elements.select(screen, point["x"].cast("double").alias("x"), point["y"].cast("double").alias("y"), *[c.alias(n) for n, c in kinds.items()])
+               .groupBy(screen, "x", "y").agg(*[F.max(F.coalesce(n, F.lit(False))).alias(n) for n in kinds]))
+    boxes = truth.select(screen, *sides("bbox", 0.0), key)
+    hits = any_inside(centres, boxes, [screen], key, list(kinds)).groupBy(key).agg(*[F.max(n).alias(n) for n in kinds])
     return truth.join(hits, key, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in kinds})
 
 
