@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import pin, scratch_path
+from ..session import scratch_path
 from ..streaming import live as L
 from . import tables as D
 from .ordering import FAIL_SQL, STUCK_SQL, VERDICT_SQL
@@ -12,17 +12,43 @@ from .registry import query, with_
 from .storage import log_lines
 
 
-def log_stream(s, sf, files: int = 3):
-    """The events as a log of several files in order of the steps, streamed one file per micro-batch."""
+ROWS_PER_FILE = 250_000
+FILES = 4               # at least, so that state has to carry over
+FILES_AT_ONCE = 8
+
+
+def in_order_of_names(s, folder: str) -> None:
+    """Give the files of a folder time stamps in the order of their names, which is the order they are streamed in."""
+    path = s._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(s._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    for k, f in enumerate(files):
+        fs.setTimes(f, 1_700_000_000_000 + 1_000 * k, -1)
+
+
+def log_stream(s, sf):
+    """The events as a log in order of the steps, some files per micro-batch; a last line without a run moves the watermark past all of them."""
     folder = scratch_path(s, "live")
     st = D.steps(s, sf)
+    rows, last = st.agg(F.count(F.lit(1)), F.max("n")).first()
+    files = max(FILES, -(-rows // ROWS_PER_FILE))
     js = F.to_json(F.struct((F.col("n") / 10.0).alias("t"), F.lit("step").alias("event"), F.col("n").cast("int").alias("n"), "ok", "error", "changed", "elapsed",
                             F.col("run").cast("string").alias("run_id"), F.struct("type").alias("action"),
                             F.when(F.col("k") % 10 < 6, "need_retry").when(F.col("k") % 10 < 9, "sub_task_success").otherwise("need_reformulate").alias("situation")))
-    lines = pin(st.select("n", js.alias("value")).repartitionByRange(files, "n").withColumn("file", F.spark_partition_id()))
-    for k in range(files):          # files are streamed in order of their time stamps
-        lines.filter(F.col("file") == k).sortWithinPartitions("n").select("value").coalesce(1).write.mode("append").text(folder)
-    return L.stream_events(s, folder, max_files=1)
+    lines = st.select("n", js.alias("value")).repartitionByRange(files, "n").sortWithinPartitions("n").select("value")
+    lines.write.text(folder)
+    tick = s.createDataFrame([((last or 0) / 10.0 + 7 * 86_400.0,)], "t double").select(F.to_json(F.struct("t", F.lit("tick").alias("event"))).alias("value"))
+    tick.coalesce(1).write.text(folder + "/tick")
+    in_order_of_names(s, folder)
+    return L.stream_events(s, folder + "/{part-*,tick/part-*}", max_files=max(1, min(FILES_AT_ONCE, files // FILES)))
+
+
+DAY = 86_400_000
+
+
+def event_time():
+    """A day after 1970, where watermarks start."""
+    return F.timestamp_millis(F.round(F.col("t") * 1000).cast("long") + DAY)
 
 
 def drained(s, stream, mode="append"):
@@ -38,32 +64,41 @@ def _(s, sf):
 
 @query("stream_stuck_r2", with_(STUCK_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, n, stuck FROM stuck")
 def _(s, sf):
-    return drained(s, L.stream_stuck(log_stream(s, sf), F.col("action.type")))
+    return drained(s, L.stream_stuck(log_stream(s, sf), F.col("action.type"), time=event_time()))
 
 
 @query("stream_failures_r3", with_(FAIL_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, n, fail_run, fail_run > 2 AS aborts FROM fails")
 def _(s, sf):
-    return drained(s, L.stream_failures(log_stream(s, sf)))
+    return drained(s, L.stream_failures(log_stream(s, sf), time=event_time()))
 
 
 @query("stream_stalls_r4", with_(VERDICT_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, n, effective FROM eff")
 def _(s, sf):
-    return drained(s, L.stream_stalls(log_stream(s, sf)))
+    return drained(s, L.stream_stalls(log_stream(s, sf), time=event_time()))
 
 
 @query("stream_run_summary_r5", with_(D.STEPS_SQL) + """SELECT CAST(run AS VARCHAR) AS run_id, count(*) AS n_steps, count(*) FILTER (WHERE changed) AS changed_steps, count(*) FILTER (WHERE changed = false) AS unchanged_steps,
  count(*) FILTER (WHERE NOT ok) AS errors, round(sum(elapsed), 6) AS wall_time FROM steps GROUP BY run""")
 def _(s, sf):
-    d = drained(s, L.stream_run_summary(log_stream(s, sf)), "complete")
-    return d.withColumn("wall_time", F.round("wall_time", 6))
+    out = scratch_path(s, "summary")
+    L.write_run_summary(log_stream(s, sf).filter("event = 'step'"), out, scratch_path(s, "progress")).awaitTermination()
+    return L.read_run_summary(s, out).withColumn("wall_time", F.round("wall_time", 6))
 
 
 @query("stream_last_beats_r6", "SELECT CAST(user_id AS VARCHAR) AS worker, round(max(event_id) / 10.0::DOUBLE, 6) AS last_beat FROM events GROUP BY user_id")
 def _(s, sf):
-    beats = log_stream(s, sf).select(F.col("run_id").alias("worker"), F.col("t").alias("beat"))
+    beats = log_stream(s, sf).filter("event = 'step'").select(F.col("run_id").alias("worker"), F.col("t").alias("beat"))
     return drained(s, L.stream_stale_workers(beats), "complete").withColumn("last_beat", F.round("last_beat", 6))
 
 
+@query("stream_silence_r6", """SELECT CAST(user_id AS VARCHAR) AS worker, event_id / 10.0::DOUBLE AS last_beat, event_id / 10.0::DOUBLE + 30 AS gone_at
+FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events) WHERE next IS NULL OR next - event_id > 300""")
+def _(s, sf):
+    beats = log_stream(s, sf).select(F.col("run_id").alias("worker"), event_time().alias("beat"))
+    d = drained(s, L.stream_silent_workers(beats, clock="event"))
+    return d.select("worker", *[((F.unix_millis(c) - DAY) / 1000.0).alias(c) for c in ("last_beat", "gone_at")])
+
+
 @query("write_events_r7_s13", with_(D.STEPS_SQL) + "SELECT CAST(run AS VARCHAR) AS run_id, CAST(n AS INT) AS n, ok FROM steps")
 def _(s, sf):
     folder, out = scratch_path(s, "live"), scratch_path(s, "table")
@@ -72,5 +107,5 @@ def _(s, sf):
     lines = st.select("n", js.alias("value"))
     lines.select("value").unionByName(lines.filter("n % 3 = 0").select("value")).write.text(folder)   # a third arrives twice
     events = L.stream_events(s, folder).select("run_id", "n", "ok", F.timestamp_seconds("t").alias("at"))
-    L.write_events(events, out, scratch_path(s, "progress"), time="at").awaitTermination()
-    return s.read.parquet(out).drop("at")
+    L.write_events(events, out, scratch_path(s, "progress"), time="at", delay="1 day").awaitTermination()
+    return L.read_events(s, out, events.schema).drop("at")

@@ -2,97 +2,171 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import namedtuple
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from .. import fixed_values as V
+from ..sources.committed import CommittedTable
 from ..sources.readers import EVENT_SCHEMA, decode_lines
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NONE = -(1 << 63)           # in place of a null that would turn a column of long integers into floats
+TIMELESS_SLOTS = 64         # of the sink, for rows without a time
+COMPACT_EVERY = 20          # batches of the run summary
+
+
+@contextmanager
+def stateful(spark: SparkSession):
+    """Start queries with timers inside of this: a query takes the state store that is set when it starts."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def _millis(length: str) -> int:
+    return int(pd.Timedelta(length).total_seconds() * 1000)
 
 
 def stream_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, max_files: int = 1000) -> DataFrame:
     """JSON lines appended to a folder; blank and half-written lines are skipped.
 
-    ``max_files`` bounds a micro-batch and with it what one run can hold at once.
+    ``max_files`` bounds a micro-batch.
     """
     return decode_lines(spark.readStream.option("maxFilesPerTrigger", max_files).text(folder), schema)
 
 
-class _PerRun(StatefulProcessor):
-    """Base: the rows of one run in order of ``n``, a small tuple of state between batches."""
+class _Ordered(StatefulProcessor):
+    """Rows wait in a buffer until the watermark has passed their time, then take effect in order of ``n``.
 
+    A row that the watermark has passed before it came is dropped by Spark (and counted in its metrics); one whose ``n`` is not above what has taken
+    effect, because times run against ``n``, gets a null verdict; a second row of the same ``n`` is a repeat and gets none.
+    State ends with the ``finish`` row, or when a run was silent for ``ttl``: rows after that start anew, and a timer
+    frees what is kept. So the result depends on the rows alone, not on the batches they came in.
+    """
+
+    fields = ""             # of a row, beside n, at and ended
     state_schema = ""
     empty: tuple = ()
+    names: tuple = ()
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", self.state_schema)
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", f"n bigint, at bigint, ended boolean, {self.fields}")
+        self.memory = handle.getValueState("memory", f"last bigint, lives bigint, {self.state_schema}")
+        self.columns = ["n", "at", "ended", *[f.split()[0] for f in self.fields.split(", ")]]
+        self.Row = namedtuple("Row", self.columns)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # a micro-batch is bounded by the source's trigger limit
-        batch = pd.concat(list(rows)).sort_values("n")
-        state = self.memory.get() if self.memory.exists() else self.empty
+        first = None
+        for batch in rows:
+            batch = batch[(batch["n"] != NONE) & (batch["at"] != NONE)]         # others only move the watermark
+            if len(batch):
+                self.buffer.appendList([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in batch[self.columns].itertuples(index=False)])
+                first = min(int(batch["at"].min()), first if first is not None else 1 << 62)
+        if first is not None:
+            self.handle.registerTimer(first)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        last, lives, *state = self.memory.get() if self.memory.exists() else (None, None, *self.empty)
+        rows = [self.Row(*r) for r in self.buffer.get()] if self.buffer.exists() else []
+        ready = sorted((r for r in rows if r.at <= mark), key=lambda r: (r.n, r.at))
         out = []
-        for row in batch.itertuples(index=False):
-            state, emitted = self.step(state, row)
-            out.append((key[0], int(row.n), *emitted))
-        if bool(batch["ended"].any()):          # nothing is kept of a run that is over
+        for r in ready:
+            if lives is not None and r.at > lives:
+                last, state = None, self.empty
+            if last is not None and r.n <= last:
+                if r.n < last:
+                    out.append((key[0], r.n, *[None for _ in self.names]))
+                continue
+            state, verdict = self.step(tuple(state), r)
+            out.append((key[0], r.n, *verdict))
+            last, lives = r.n, r.at + self.ttl
+            if r.ended:
+                last, lives, state = None, None, self.empty
+        rest = [r for r in rows if r.at > mark]
+        if ready:
+            if rest:
+                self.buffer.put([tuple(r) for r in rest])
+                self.handle.registerTimer(min(r.at for r in rest))
+            else:
+                self.buffer.clear()
+        if last is None or lives <= mark:           # nothing is kept of a run that is over
             self.memory.clear()
-        else:
-            self.memory.update(state)
-        yield pd.DataFrame(out, columns=["run_id", "n", *self.names])
+        elif ready:
+            self.memory.update((last, lives, *state))
+            self.handle.registerTimer(lives)
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "n", *self.names], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-class StuckAlert(_PerRun):
+class StuckAlert(_Ordered):
     """Length of the current repetition, and steps since the screen was last seen to move."""
 
+    fields = "signature string, changed boolean"
     state_schema = "sig string, same int, unmoved int"
     empty = (None, 0, 0)
     names = ("stuck",)
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, ttl: int):
+        super().__init__(ttl)
         self.limit = limit
 
     def step(self, state, row):
         sig, same, unmoved = state
         same = same + 1 if row.signature == sig else 1
-        moved = not pd.isna(row.changed) and bool(row.changed)
-        unmoved = 0 if moved else unmoved + 1
+        unmoved = 0 if row.changed else unmoved + 1
         return (row.signature, same, unmoved), (same >= self.limit and unmoved >= self.limit,)
 
 
-class FailureBudget(_PerRun):
+class FailureBudget(_Ordered):
     """Failures in a row; above the limit the run aborts."""
 
+    fields = "ok boolean"
     state_schema = "fails int"
     empty = (0,)
     names = ("fail_run", "aborts")
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, ttl: int):
+        super().__init__(ttl)
         self.limit = limit
 
     def step(self, state, row):
-        fails = 0 if bool(row.ok) else state[0] + 1
+        fails = 0 if row.ok else state[0] + 1
         return (fails,), (fails, fails > self.limit)
 
 
-class StallEscalation(_PerRun):
+class StallEscalation(_Ordered):
     """Every ``limit``-th retry verdict in a row becomes a re-plan."""
 
+    fields = "situation string"
     state_schema = "stalls int"
     empty = (0,)
     names = ("effective",)
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, ttl: int):
+        super().__init__(ttl)
         self.limit = limit
 
     def step(self, state, row):
@@ -101,68 +175,212 @@ class StallEscalation(_PerRun):
         return (0 if up else stalls,), (V.REFORMULATE if up else row.situation,)
 
 
-def _per_run(events: DataFrame, processor: _PerRun, columns, out: str, run: str) -> DataFrame:
+def _per_run(events: DataFrame, processor: _Ordered, columns, out: str, run: str, time: Column | None, delay: str) -> DataFrame:
     ended = F.coalesce(F.col("event") == "finish", F.lit(False)) if "event" in events.columns else F.lit(False)
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    d = events.select(F.col(run).cast("string").alias("run_id"), F.col("n").cast("long").alias("n"), ended.alias("ended"), *columns)
+    d = events.select(F.col(run).cast("string").alias("run_id"), F.coalesce(F.col("n").cast("long"), F.lit(NONE)).alias("n"), ended.alias("ended"), *columns,
+                      (F.timestamp_seconds("t") if time is None else time).alias("event_time"))
+    d = d.withColumn("at", F.coalesce(F.unix_millis("event_time"), F.lit(NONE))).withWatermark("event_time", delay)
     schema = T._parse_datatype_string(f"run_id string, n bigint, {out}")
     return d.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
 
+def stream_stuck(events: DataFrame, signature, limit: int = V.REPEAT_LIMIT, run: str = "run_id", time: Column | None = None,
+                 delay: str = "1 minute", ttl: str = "1 day") -> DataFrame:
+    """Per step: is the run stuck? Same rule as the batch operator ``is_stuck``.
 
-def stream_stuck(events: DataFrame, signature, limit: int = V.REPEAT_LIMIT, run: str = "run_id") -> DataFrame:
-    """Per step: is the run stuck? Same rule as the batch operator ``is_stuck``."""
-    return _per_run(events, StuckAlert(limit), [signature.alias("signature"), F.col("changed")], "stuck boolean", run)
+    ``time`` (default: the seconds in ``t``) is after 1970 and must not fall as ``n`` grows; rows may come ``delay`` late in any order, and a run that was silent for
+    ``ttl`` is over. Start it inside ``stateful``.
+    """
+    return _per_run(events, StuckAlert(limit, _millis(ttl)), [signature.alias("signature"), F.col("changed")], "stuck boolean", run, time, delay)
 
 
-def stream_failures(events: DataFrame, limit: int = V.RETRY_LIMIT, run: str = "run_id") -> DataFrame:
-    """Per step: failures in a row and whether the run is over the budget."""
-    return _per_run(events, FailureBudget(limit), [F.col("ok")], "fail_run bigint, aborts boolean", run)
+def stream_failures(events: DataFrame, limit: int = V.RETRY_LIMIT, run: str = "run_id", time: Column | None = None,
+                    delay: str = "1 minute", ttl: str = "1 day") -> DataFrame:
+    """Per step: failures in a row and whether the run is over the budget. Times as in ``stream_stuck``."""
+    return _per_run(events, FailureBudget(limit, _millis(ttl)), [F.col("ok")], "fail_run bigint, aborts boolean", run, time, delay)
 
 
-def stream_stalls(events: DataFrame, limit: int = V.STALL_LIMIT, run: str = "run_id") -> DataFrame:
-    """Per verdict: what it counts as after escalation."""
-    return _per_run(events, StallEscalation(limit), [F.col("situation")], "effective string", run)
+def stream_stalls(events: DataFrame, limit: int = V.STALL_LIMIT, run: str = "run_id", time: Column | None = None,
+                  delay: str = "1 minute", ttl: str = "1 day") -> DataFrame:
+    """Per verdict: what it counts as after escalation. Times as in ``stream_stuck``."""
+    return _per_run(events, StallEscalation(limit, _millis(ttl)), [F.col("situation")], "effective string", run, time, delay)
 
 
-def stream_run_summary(events: DataFrame, run: str = "run_id") -> DataFrame:
-    """Running totals per run; Spark combines within tasks before it shuffles."""
+def _totals(events: DataFrame, run: str) -> DataFrame:
     ok, changed = F.coalesce(F.col("ok"), F.lit(True)), F.col("changed")
-    return events.groupBy(run).agg(
+    return events.groupBy(F.col(run).cast("string").alias("run_id")).agg(
         F.count(F.lit(1)).alias("n_steps"), F.count_if(changed).alias("changed_steps"),
         F.count_if(changed == F.lit(False)).alias("unchanged_steps"), F.count_if(~ok).alias("errors"),
         F.sum("elapsed").alias("wall_time"))
 
 
+COUNTS = ("n_steps", "changed_steps", "unchanged_steps", "errors")
+SUMMARY = T.StructType([T.StructField("run_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("wall_time", T.DoubleType())])
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in SUMMARY.names[1:]])
+
+
+def _writer(checkpoint: str) -> str:
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+
+def write_run_summary(events: DataFrame, path: str, checkpoint: str, run: str = "run_id", available_now: bool = True) -> StreamingQuery:
+    """Running totals per run. A batch adds one row for each run it has rows of, so its cost is that of its own rows, and nothing is kept in state.
+
+    Batches are committed by number: one that is run again counts once. Every ``COMPACT_EVERY`` batches the rows of a run become one.
+    """
+    table = CommittedTable(events.sparkSession, path, SUMMARY)
+    writer = _writer(checkpoint)
+
+    def save(batch: DataFrame, number: int) -> None:
+        table.append(_totals(batch, run).select(*SUMMARY.names, F.lit("all").alias("_slot")), f"{writer}-{number}")
+        some = table.folders()
+        if len(some) >= COMPACT_EVERY:
+            table.replace(_merged(table.read()).select(*SUMMARY.names, F.lit("all").alias("_slot")), f"{writer}-{number}-merged", some)
+
+    w = events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def read_run_summary(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run, of what is committed now."""
+    return _merged(CommittedTable(spark, path, SUMMARY).read())
+
+
 def stream_stale_workers(beats: DataFrame, worker: str = "worker", ts: str = "beat") -> DataFrame:
     """Latest beat per worker, kept up to date; compare with the clock when it is read."""
     return beats.groupBy(worker).agg(F.max(ts).alias("last_beat"))
 
 
+GONE = "worker string, last_beat timestamp, gone_at timestamp"
+
+
+class _Silence(StatefulProcessor):
+    """Remembers the last beat; a timer speaks up when none follows within ``timeout``, and the next beat arms it again."""
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def gone(self, key, last: int, at: int) -> tuple:
+        return key[0], pd.Timestamp(last, unit="ms"), pd.Timestamp(at, unit="ms")
+
+    def frame(self, out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["worker", "last_beat", "gone_at"])
+
+    def close(self) -> None:
+        pass
+
+
+class WallClockSilence(_Silence):
+    """By the clock: a worker is gone when its last beat is older than ``timeout``."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", "last bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        beats = [int(b["at"].max()) for b in rows if key[0] is not None and (b["at"] != NONE).any()]
+        before = self.memory.get()[0] if self.memory.exists() else None
+        if beats and (before is None or max(beats) > before):
+            if before is not None:
+                self.handle.deleteTimer(before + self.timeout)
+            self.memory.update((max(beats),))
+            self.handle.registerTimer(max(beats) + self.timeout)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.memory.exists():
+            last = self.memory.get()[0]
+            self.memory.clear()
+            yield self.frame([self.gone(key, last, timerValues.getCurrentProcessingTimeInMs())])
+
+
+class EventSilence(_Silence):
+    """By the times of the beats themselves, in order behind the watermark: every pause longer than ``timeout`` is told once, however the beats came."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", "at bigint")
+        self.memory = handle.getValueState("memory", "last bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        beats = sorted({int(v) for b in rows for v in b["at"] if v != NONE}) if key[0] is not None else []
+        if beats:
+            self.buffer.appendList([(v,) for v in beats])
+            self.handle.registerTimer(beats[0])
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        last = self.memory.get()[0] if self.memory.exists() else None
+        beats = sorted({r[0] for r in self.buffer.get()}) if self.buffer.exists() else []
+        ready, rest, out = [v for v in beats if v <= mark], [v for v in beats if v > mark], []
+        for v in ready:
+            if last is not None and v - last > self.timeout:
+                out.append(self.gone(key, last, last + self.timeout))
+            last = v if last is None else max(v, last)
+        if ready:
+            self.buffer.put([(v,) for v in rest]) if rest else self.buffer.clear()
+            if rest:
+                self.handle.registerTimer(rest[0])
+        if last is not None and mark >= last + self.timeout:
+            out.append(self.gone(key, last, last + self.timeout))
+            last = None
+        if last is None:
+            self.memory.clear()
+        else:
+            self.memory.update((last,))
+            self.handle.registerTimer(last + self.timeout)
+        if out:
+            yield self.frame(out)
+
+
+def stream_silent_workers(beats: DataFrame, worker: str = "worker", ts: str = "beat", timeout: str = f"{V.HEARTBEAT_MAX_AGE} seconds",
+                          clock: str = "processing", delay: str = "1 minute") -> DataFrame:
+    """(worker, last_beat, gone_at): one row whenever a worker has not been heard for ``timeout``, without a new beat being needed.
+
+    ``clock``: "processing" compares beats with the clock, for live use; "event" with the watermark of the beats (``delay`` behind the latest), for a log
+    that is replayed. ``ts`` is a timestamp. A beat after that counts as a new start. Start it inside ``stateful``.
+    """
+    d = beats.select(F.col(worker).cast("string").alias("worker"), F.col(ts).alias("event_time")).withColumn("at", F.coalesce(F.unix_millis("event_time"), F.lit(NONE)))
+    if clock == "event":
+        processor, mode, d = EventSilence(_millis(timeout)), "EventTime", d.withWatermark("event_time", delay)
+    else:
+        processor, mode = WallClockSilence(_millis(timeout)), "ProcessingTime"
+    return d.groupBy("worker").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=T._parse_datatype_string(GONE), outputMode="Append", timeMode=mode)
+
+
 def write_events(stream: DataFrame, path: str, checkpoint: str, run: str = "run_id", n: str = "n",
-                 *, time: str, delay: str = "1 hour", fmt: str = "parquet",
-                 available_now: bool = True) -> StreamingQuery:
+                 *, time: str, delay: str = "1 hour", available_now: bool = True) -> StreamingQuery:
     """Append every event exactly once, however late it comes: each micro-batch adds the (run, n) that the table does not hold.
 
-    There is no state and no row is too late: a batch is held against the part of the table between its first and
-    last ``time``, widened by ``delay`` (repeats of an event may differ by that much in ``time``; rows without a time always take
-    part). A batch that is run again after a failure finds what it has written. One query at a time may write to
-    ``path``; a folder with the log of Spark's own file sink (``_spark_metadata``) is not continued.
+    The table is a ``CommittedTable`` in slots of ``delay``. A batch opens the slots from its first to its last ``time`` and one to each side
+    (repeats of an event may differ by ``delay`` in ``time``), so its cost does not grow with the table. Rows without a time have
+    slots of their own, by a hash of (run, n). A batch counts when its commit is there: what a crash before it left is not seen, and a
+    batch that is run again after it does nothing. One query at a time may write to ``path``; ``read_events`` reads it.
     """
-    spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("append").format(fmt).save(path)        # so that there is a table to read
-
-    def save(batch: DataFrame, _epoch: int) -> None:
+    table, writer, width = CommittedTable(stream.sparkSession, path, stream.schema), _writer(checkpoint), _millis(delay)
+    at = F.floor(F.unix_millis(time) / F.lit(width)).cast("long")
+    timeless = F.concat(F.lit("n"), F.pmod(F.xxhash64(run, n), F.lit(TIMELESS_SLOTS)).cast("string"))
+    slot = F.coalesce(F.concat(F.lit("t"), at.cast("string")), timeless)
+
+    def save(batch: DataFrame, number: int) -> None:
+        name = f"{writer}-{number}"
+        if table.has(name):
+            return
         batch = batch.persist()
         try:
-            wide, at = F.expr(f"interval '{delay}'"), F.col(time)
-            bounds = batch.agg(F.unix_micros(F.min(at) - wide).alias("first"), F.unix_micros(F.max(at) + wide).alias("last"), F.count_if(at.isNull()).alias("timeless")).first()
-            near = F.lit(True) if bounds["timeless"] else at.isNull() | at.between(*(F.timestamp_micros(F.lit(bounds[k])) for k in ("first", "last")))
-            known = batch.sparkSession.read.schema(batch.schema).format(fmt).load(path)
-            known = known.filter(near).select(F.col(run).alias("known_run_"), F.col(n).alias("known_n_"))
+            spots = batch.select(slot.alias("s")).distinct().collect()       # as many as the batch spans times ``delay``
+            near = {s["s"] for s in spots} | {f"t{int(s['s'][1:]) + k}" for s in spots if s["s"][0] == "t" for k in (-1, 1)}
+            known = table.read(near).select(F.col(run).alias("known_run_"), F.col(n).alias("known_n_"))
             same = F.col(run).eqNullSafe(F.col("known_run_")) & F.col(n).eqNullSafe(F.col("known_n_"))
-            batch.dropDuplicates([run, n]).join(known, same, "left_anti").write.mode("append").format(fmt).save(path)
+            table.append(batch.dropDuplicates([run, n]).join(known, same, "left_anti").withColumn("_slot", slot), name)
         finally:
             batch.unpersist()
 
@@ -170,12 +388,18 @@ def write_events(stream: DataFrame, path: str, checkpoint: str, run: str = "run_
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The committed events of ``write_events``."""
+    return CommittedTable(spark, path, T._parse_datatype_string(schema) if isinstance(schema, str) else schema).read()
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a query over what is there now and read its result back."""
     spark = stream.sparkSession
     if mode == "append":
-        q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
+        with stateful(spark):
+            q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                 .outputMode("append").trigger(availableNow=True).start())
     else:
         def save(df: DataFrame, _epoch: int) -> None:
             df.write.mode("overwrite").parquet(path)
