@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +10,13 @@ from .. import fixed_values as V
 from ..functions import geometry as G
 from ..functions.stats import round_exact
 from ..functions.strings import bag_f1, char_bag, is_blank, let
-from ..session import broadcast_if_small, pin
+from ..session import broadcast_if_small, pin, stage
+from .components import components
 from .ordered import HOT_ROWS, OrderedRows
 from .points import any_inside, first_box, sides
 
 MAX_LEVEL = 10          # finest grid: 1024 cells per side
+FOLD_PAIRS = 1_000_000  # of a connected part that is folded in one task
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on, how: str = "left", max_rows: int = 200_000,
@@ -160,8 +163,8 @@ def merge_boxes(primary: DataFrame, candidates: DataFrame, screen: str = "screen
     """Keep the primaries; add a candidate only if it overlaps nothing kept before it; renumber from 0.
 
     Both sides: screen, ord, bbox, text, source. An equal box later in the list never survives,
-    so copies are folded first. Screens of ordinary size are folded inside a row; a screen with
-    more than ``fold_rows`` boxes is settled in rounds of joins.
+    so copies are folded first. Screens of ordinary size are folded inside a row; of a screen with
+    more than ``fold_rows`` boxes, connected parts of the overlaps are folded side by side.
     """
     cand = candidates.withColumn("_flat", G.box_area("bbox") <= 0)
     solid = (cand.filter(~F.col("_flat")).groupBy(screen, "bbox")
@@ -170,13 +173,13 @@ def merge_boxes(primary: DataFrame, candidates: DataFrame, screen: str = "screen
     cand = solid.unionByName(cand.filter("_flat").drop("_flat").select(*solid.columns))
     both = primary.select(screen, F.lit(0).alias("tier"), "ord", "bbox", "text", "source").unionByName(
         cand.select(screen, F.lit(1).alias("tier"), "ord", "bbox", "text", "source"))
-    sizes = both.groupBy(screen).agg(F.count(F.lit(1)).alias("_n"))
-    crowded = sizes.filter(F.col("_n") > fold_rows).select(screen)
+    crowded = pin(both.groupBy(screen).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_rows).select(screen))
     if crowded.isEmpty():
         return _merge_folded(both, screen, limit)
-    crowded = F.broadcast(crowded)          # at most all boxes / fold_rows screens
+    small = broadcast_if_small(crowded)
+    crowded = crowded if small is None else small
     normal = _merge_folded(both.join(crowded, screen, "left_anti"), screen, limit)
-    return normal.unionByName(_merge_rounds(both.join(crowded, screen, "left_semi"), screen, limit))
+    return normal.unionByName(_merge_parts(both.join(crowded, screen, "left_semi"), screen, limit))
 
 
 def _merge_folded(both: DataFrame, screen: str, limit: float) -> DataFrame:
@@ -199,29 +202,59 @@ def _overlaps(both: DataFrame, screen: str, limit: float) -> DataFrame:
     return pairs.select(screen, F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("z")).distinct()
 
 
-def _merge_rounds(both: DataFrame, screen: str, limit: float) -> DataFrame:
+def _merge_parts(both: DataFrame, screen: str, limit: float, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+    """Only overlapping pairs matter. What overlaps a primary is out; the rest falls into connected parts, each folded in a task by priority.
+
+    Parts are found in about as many steps as the logarithm of their length. A part of more than ``fold_pairs`` pairs is settled in rounds.
+    """
     both = pin(both.withColumn("k", F.struct("tier", "ord")))
     pairs = pin(_overlaps(both, screen, limit).filter("z.tier = 1"))
-    kept = both.filter("tier = 0").select(screen, "k")
-    open_ = both.filter("tier = 1").select(screen, "k")
-    fresh = kept
-    while True:
-        # whatever overlaps something newly kept before it is out
-        hit = pairs.join(fresh.withColumnRenamed("k", "a"), [screen, "a"], "left_semi").select(
-            screen, F.col("z").alias("k")).distinct()
-        open_ = pin(open_.join(hit, [screen, "k"], "left_anti"))
-        if open_.isEmpty():
-            break
-        waiting = (pairs.join(open_.withColumnRenamed("k", "a"), [screen, "a"], "left_semi")
-                   .select(screen, F.col("z").alias("k")).distinct())
-        fresh = pin(open_.join(waiting, [screen, "k"], "left_anti"))
-        kept = kept.unionByName(fresh)
-        open_ = open_.join(fresh, [screen, "k"], "left_anti")
-    out = both.join(kept, [screen, "k"], "left_semi")
+    beaten = pairs.filter("a.tier = 0").select(screen, F.col("z.ord").alias("ord")).distinct()
+    edges = pairs.filter("a.tier = 1").select(screen, F.col("a.ord").alias("a"), F.col("z.ord").alias("z"))
+    for end in ("a", "z"):
+        edges = edges.join(beaten.withColumnRenamed("ord", end), [screen, end], "left_anti")
+    edges = stage(edges)
+    label = components(edges.withColumnRenamed("z", "b"), screen)
+    placed = stage(edges.join(label.withColumnRenamed("node", "a"), [screen, "a"]))
+    sizes = placed.groupBy(screen, "root").agg(F.count(F.lit(1)).alias("_n"))
+    huge = stage(sizes.filter(F.col("_n") > fold_pairs).select(screen, "root"))
+    kind, unit = both.schema[screen].dataType.simpleString(), both.schema["ord"].dataType.simpleString()
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["z", "a"])
+        out = set()
+        for a, z in zip(part["a"].tolist(), part["z"].tolist(), strict=True):       # all of a is decided: it comes before z
+            if a not in out:
+                out.add(z)
+        return pd.DataFrame({screen: [part[screen].iloc[0]] * len(out), "ord": sorted(out)})
+
+    lost = (placed.join(huge, [screen, "root"], "left_anti").groupBy(screen, "root").applyInPandas(fold, f"`{screen}` {kind}, ord {unit}"))
+    lost = lost.unionByName(beaten)
+    if not huge.isEmpty():
+        lost = lost.unionByName(_lost_in_rounds(placed.join(huge, [screen, "root"], "left_semi").select(screen, "a", "z"), screen))
+    out = both.join(lost.withColumn("tier", F.lit(1)), [screen, "tier", "ord"], "left_anti")
     ranked = OrderedRows(out, screen, ["tier", "ord"]).position("_p").df()
     return ranked.select(screen, (F.col("_p") - 1).cast("int").alias("id"), "bbox", "text", "source")
 
 
+def _lost_in_rounds(pairs: DataFrame, screen: str) -> DataFrame:
+    """(screen, ord) of what greedy choice leaves out: in each round, all that waits for nothing undecided is kept, and what it overlaps goes."""
+    pairs = stage(pairs)
+    open_ = pairs.select(screen, F.col("a").alias("ord")).union(pairs.select(screen, F.col("z").alias("ord"))).distinct()
+    lost = None
+    while True:
+        waiting = pairs.select(screen, F.col("z").alias("ord")).distinct()
+        fresh = stage(open_.join(waiting, [screen, "ord"], "left_anti"))
+        hit = stage(pairs.join(fresh.withColumnRenamed("ord", "a"), [screen, "a"], "left_semi").select(screen, F.col("z").alias("ord")).distinct())
+        lost = hit if lost is None else lost.unionByName(hit)
+        open_ = stage(open_.join(fresh.unionByName(hit), [screen, "ord"], "left_anti"))
+        if open_.isEmpty():
+            return lost
+        for end in ("a", "z"):
+            pairs = pairs.join(open_.withColumnRenamed("ord", end), [screen, end], "left_semi")
+        pairs = stage(pairs)
+
+
 def resolve_element_ids(cases: DataFrame, elements: DataFrame, screen: str = "screen_id") -> DataFrame:
     """Element id of an answer as an integer, and the centre of that element on its screen.
 

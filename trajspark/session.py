@@ -61,6 +61,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the shared folder. For loops: a checkpoint hands on what the optimizer
+    inferred about its columns, which grows from round to round, a table does not."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame | None:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows and ``max_bytes`` as text, else None."""
     wide = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
