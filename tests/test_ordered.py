@@ -200,3 +200,35 @@ def test_length_batches_hold_neighbours_in_length(spark):
     for r in rows:
         lens.setdefault(r.batch, []).append(r.len)
     assert sorted(map(len, lens.values())) == [4] + [8] * 12 and all(max(a) - min(a) <= 4 for a in lens.values())
+
+
+def scans(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("FileScan")
+
+
+def test_cut_offs_read_their_input_once_per_level(spark, tmp_path):
+    from trajspark.operators import splits as U
+    path = str(tmp_path / "rows")
+    spark.range(3_000).select(F.col("id"), (F.col("id") % 300).alias("g"), (F.col("id") % 3).cast("string").alias("type")).write.parquet(path)
+    d = spark.read.parquet(path)
+    assert scans(U.balance_to_reference(d, d.filter("id % 5 = 0"), "type", "id")) <= 4
+    assert scans(U.split_by_group(d, "g", 0.1, 3)) <= 2
+    assert scans(U.split_rows(d, "id")) <= 3 and scans(seeded_sample(d, "id", 40, 1)) <= 3
+
+
+def test_cut_offs_with_null_classes_and_hashes(spark):
+    from trajspark.operators import ranking as K
+    d = spark.createDataFrame([(c, None if i % 7 == 0 else i) for c in ("a", None) for i in range(200)], "c string, i int").withColumn("h", F.md5(F.col("i").cast("string")))
+    rows = [(r.c, r.h) for r in d.collect() if r.h is not None]
+    got = {r.c: r.cutoff for r in K.hash_cutoffs(d, "h", lambda t: F.floor(t / 2), by=("c",)).collect()}
+    assert got == {c: sorted(h for k, h in rows if k == c)[len(rows) // 4 - 1] for c in ("a", None)}
+    assert K.hash_cutoffs(d, "h", lambda t: F.lit(0)).count() == 0 and K.hash_cutoffs(d.filter("c = 'z'"), "h", lambda t: t).count() == 0
+
+
+def test_spread_of_equal_keys_and_nulls(spark):
+    d = spark.createDataFrame([(None, i) for i in range(10)] + [(1, i) for i in range(10)] + [(2, i) for i in range(10)], "k int, v int")
+    got = [r.k for r in spread_sample(d, 6, ["k"]).collect()]
+    assert sorted(got, key=lambda k: k or 0) == [None, None, 1, 1, 2, 2]
+    assert spread_sample(d, 40, ["k"]).count() == 30 and spread_sample(d.filter("v < 0"), 3, ["k"]).count() == 0

@@ -22,9 +22,14 @@ def failure_sample(df: DataFrame, n: int, hit: str, *order) -> DataFrame:
     return top_n(df.filter(~F.coalesce(F.col(hit), F.lit(False))), n, order)
 
 
-def spread_sample(df: DataFrame, n: int, order) -> DataFrame:
-    """Rows at the positions int(i * N / n): decided by arithmetic on the rank, without a join."""
-    ranked = global_rank(df, order, "_rank")
+def spread_sample(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """Rows at the positions int(i * N / n) in the order of the columns ``order``.
+
+    Only these columns are ranked; the at most ``n`` keys picked go out to the rows. Of rows that are equal in all of them as many are
+    taken as positions fall on them.
+    """
+    keys = df.select(*order)
+    ranked = global_rank(keys, order, "_rank")
     total = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
     r, step = (F.col("_rank") - 1).cast("double"), total.cast("double") / F.lit(float(n))
     guess = F.ceil(r / step)
@@ -32,7 +37,12 @@ def spread_sample(df: DataFrame, n: int, order) -> DataFrame:
     for d in (-1, 0, 1):
         i = guess + d
         taken = taken | ((i >= 0) & (i < n) & (F.floor(i * step) == r))
-    return ranked.filter((total <= n) | taken).drop("_rank")
+    picked = ranked.filter((total <= n) | taken).groupBy(*[F.col(c).alias("_k_" + c) for c in order]).agg(F.count(F.lit(1)).alias("_take"))
+    same = [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in order]
+    found = df.join(F.broadcast(picked), same)      # at most n keys
+    equal = W.partitionBy(*order).orderBy(*order)
+    return (found.withColumn("_rn", F.row_number().over(equal)).filter("_rn <= _take")
+            .drop("_rn", "_take", *["_k_" + c for c in order]))
 
 
 def grid_sample(df: DataFrame, n: int, bbox: str, order: str, by=(), grid: int = 3) -> DataFrame:

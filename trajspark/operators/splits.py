@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.strings import text_key
 from .matching import lookup_join
-from .ranking import below, hash_cutoffs, seed_hash
+from .ranking import below, hash_cutoffs, prefix_counts, seed_hash
 
 
 def _int(c: Column) -> Column:
@@ -98,11 +98,13 @@ def balance_quotas(have: DataFrame, ref: DataFrame, cls: str) -> DataFrame:
 
 def balance_to_reference(samples: DataFrame, reference: DataFrame, cls: str, key, seed: int = 42) -> DataFrame:
     """Down-sample classes to the shares of a reference; rows are picked in seeded order."""
-    quotas = F.broadcast(balance_quotas(samples.groupBy(cls).agg(F.count(F.lit(1)).alias("n")),
-                                        reference.groupBy(cls).agg(F.count(F.lit(1)).alias("n")), cls).drop("have"))
-    d = samples.withColumn("_h", seed_hash(key, seed)).join(quotas, cls)       # one row per action type
-    cuts = hash_cutoffs(d, "_h", lambda total: F.least(total, F.col("quota")), by=(cls, "quota"))
-    return d.join(F.broadcast(cuts.drop("quota")), cls).filter("_h <= cutoff").drop("_h", "cutoff", "quota")
+    d = samples.withColumn("_h", seed_hash(key, seed))
+    counts = prefix_counts(d, "_h", [cls])          # classes are counted and cut from the same read
+    quotas = balance_quotas(counts.groupBy(cls).agg(F.sum("_n").alias("n")),
+                            reference.groupBy(cls).agg(F.count(F.lit(1)).alias("n")), cls)
+    cuts = hash_cutoffs(d, "_h", quotas.select(cls, F.col("quota").alias("want")), by=[cls], counts=counts)
+    cuts = F.broadcast(cuts.withColumnRenamed(cls, "_cls"))         # one row per action type
+    return d.join(cuts, F.col(cls).eqNullSafe(F.col("_cls")) & (F.col("_h") <= F.col("cutoff"))).drop("_h", "_cls", "cutoff")
 
 
 def dedupe_samples(df: DataFrame, keys=("prompt", "response"), order=("ord",), within=()) -> DataFrame:
