@@ -3,12 +3,14 @@ from __future__ import annotations
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trajspark import fixed_values as V
 from trajspark.functions.actions import action
 from trajspark.functions.geometry import box, point
+from trajspark.functions.udfs import approx_tokens, fit_rendered, token_counter
 from trajspark.operators import audit as AU
 from trajspark.operators import conformance as O
 from trajspark.operators import quality as Q
@@ -200,6 +202,38 @@ def test_element_samples_use_listed_ids_only(spark):
     assert json.loads(short[1].response)["action"] == {"type": "click", "point": [.6, .1235]} and "[4]" not in short[1].prompt
 
 
+def test_budget_is_the_same_by_lengths_by_texts_in_one_call_and_per_limit(spark):
+    rng = random.Random(4)
+    schema = "n int, instruction string, thought string, elements array<struct<id:int,bbox:struct<x1:double,y1:double,x2:double,y2:double>,text:string,source:string>>"
+    rows = []
+    for n in range(120):
+        els = [(i, (.1, .1, .2, .2), rng.choice(["", " ", None, "ok", "a longer label", "字" * 30]), rng.choice(["cv", "ocr"])) for i in range(rng.randint(0, 30))]
+        rows.append((n, None if n % 17 == 0 else "do " * rng.randint(0, 20), None if n % 13 == 0 else "why" * rng.randint(0, 9), None if n % 11 == 0 else els))
+    d = spark.createDataFrame(rows, schema).withColumn("history", F.array().cast("array<struct<n:int,line:string,status:string>>")).withColumn(
+        "action", action(F.lit("click"), point(F.lit(.15), F.lit(.15))))
+    limits = (20, 12, 6, 3, 1, 0)
+    twice = "{{elements}} {instruction}|{history}|{elements}|{elements}"
+    for template in (V.PROMPT_TEMPLATES["base"], twice, "{instruction} without a list"):
+        def run(count):
+            return {r.n: (r.elements_shown, r.prompt) for r in SM.to_element_samples(d, template, count, limits, 110).collect()}
+
+        by_length, in_one_call, per_limit = run(approx_tokens), run(token_counter(lambda s: -(-len(s) // 4))), run(lambda c: approx_tokens(c))
+        assert by_length == in_one_call == per_limit
+        assert "list" in template or len({k for k, _ in by_length.values()}) >= 3
+
+
+def test_one_call_counts_no_list_twice(spark):
+    asked = []
+
+    def count(text):
+        asked.append(text)
+        return len(text)
+
+    fit = fit_rendered(count, SM.quota_split_number, (60, 45, 30, 2, 0), 20, "none").func
+    assert fit(*[pd.Series([v]) for v in (["<", ">"], ["aaaa"] * 3, ["bb"], "answer")]).tolist() == [2]
+    assert asked == ["answer", "<aaaa\naaaa\naaaa\nbb>", "<aaaa\nbb>"]
+
+
 def test_target_samples(spark):
     rows = [("click", .1, "Save "), ("click", .1, None), ("drag", .1, "x"), ("type", None, None), ("click", None, "x")]
     d = spark.createDataFrame(rows, "t string, x double, box_text string").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +14,9 @@ from ..functions import geometry as G
 from ..functions.actions import clean_plan, element_line, join_lines, render_history
 from ..functions.stats import round_exact
 from ..functions.strings import describe_target, is_blank, strip
-from ..functions.udfs import approx_tokens
+from ..functions.udfs import approx_tokens, fit_rendered
 from .quality import fit_limit, reject_cascade
-from .selection import named_of, other_of, take_with_quota
+from .selection import named_of, other_of, quota_split, take_with_quota
 
 
 def fill_template(template: str, values: dict) -> Column:
@@ -71,6 +73,47 @@ def response_json(thought, a, point=None, element=None, target=None) -> Column:
 NO_POINT = "struct<x:double,y:double>"
 
 
+def list_surroundings(template: str, values: dict, slot: str = "elements") -> list[Column]:
+    """The texts before, between and after the places of the list in a filled template; null values make them null."""
+    texts, now = [], []
+    for text, field, _, _ in Formatter().parse(template):
+        now.append(F.lit(text))
+        if field == slot:
+            texts, now = [*texts, F.concat(*now)], []
+        elif field:
+            v = values[field]
+            now.append((F.col(v) if isinstance(v, str) else v).cast("string"))
+    return [*texts, F.concat(F.lit(""), *now)]
+
+
+def quota_split_number(named: int, other: int, limit: int) -> tuple[int, int]:
+    """``quota_split`` of plain numbers."""
+    kept = min(max(min(V.RESERVED_FOR_UNNAMED, limit // 2), limit - named), limit, other)
+    return min(named, limit - kept), kept
+
+
+def line_sums(lined: str) -> Column:
+    """Lengths of the first 0, 1, 2, ... lines of an array with ``line``."""
+    none = F.array(F.lit(0))
+    return F.coalesce(F.aggregate(F.col(lined), none, lambda sums, e: F.concat(
+        sums, F.array(F.element_at(sums, -1) + F.length(e["line"])))), none)
+
+
+def fit_by_length(df: DataFrame, around: list[Column], cost: Callable[[Column], Column], limits, budget: int) -> DataFrame:
+    """Add ``elements_shown`` from the lengths alone: prefix sums over ``_named`` and ``_other``, looked up once per limit."""
+    fixed_part = reduce(lambda a, b: a + b, [F.length(t) for t in around])
+    d = (df.withColumn("_sums", line_sums("_named")).withColumn("_more", line_sums("_other"))
+         .withColumn("_base", fixed_part).withColumn("_answer", cost(F.coalesce(F.length("_plain"), F.lit(0)))))
+
+    def cost_at(k):
+        first, kept = quota_split(F.size("_sums") - 1, F.size("_more") - 1, k)
+        listing = F.when(first + kept > 0, F.get("_sums", first) + F.get("_more", kept) + first + kept - 1).otherwise(
+            F.lit(len(V.ELEMENTS_EMPTY)))
+        return cost(F.coalesce(F.col("_base") + listing * (len(around) - 1), F.lit(0))) + F.col("_answer")
+
+    return d.withColumn("elements_shown", fit_limit(cost_at, limits, budget)).drop("_sums", "_more", "_base", "_answer")
+
+
 def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["base"], count=approx_tokens,
                        limits=V.ELEMENT_STEPS, budget: int = V.TOKEN_BUDGET, source: str = "sessions",
                        listed: int = V.MAX_ELEMENTS) -> DataFrame:
@@ -79,6 +122,8 @@ def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["bas
 
     steps: instruction, thought, action, history, elements (array), image and what else is to stay.
     ``listed`` is the limit that the arrays were pruned for (``screen_lists``); larger limits need longer arrays.
+    A counter that says what a text of some length costs (``of_length``) is asked with prefix sums of line lengths and no prompt is
+    built to find the limit; one of ``token_counter`` gets all limits of a batch in one call; any other is called per limit.
     """
     if max(limits) > listed:
         raise ValueError(f"limits up to {max(limits)} need arrays pruned for that many, not {listed}")
@@ -97,8 +142,15 @@ def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["bas
     def shown_at(k):
         return take_with_quota(F.col("_named"), F.col("_other"), k)
 
-    d = d.withColumn("elements_shown", fit_limit(
-        lambda k: count(prompt_of(F.transform(shown_at(k), lambda e: e["line"]))) + count(F.col("_plain")), limits, budget))
+    around = list_surroundings(template, {"instruction": "instruction", "history": "_history"})
+    if hasattr(count, "of_length"):
+        d = fit_by_length(d, around, count.of_length, limits, budget)
+    elif hasattr(count, "each"):
+        fitted = fit_rendered(count.each, quota_split_number, limits, budget, V.ELEMENTS_EMPTY)
+        d = d.withColumn("elements_shown", fitted(F.array(*around), F.col("_named.line"), F.col("_other.line"), F.col("_plain")))
+    else:
+        d = d.withColumn("elements_shown", fit_limit(
+            lambda k: count(prompt_of(F.transform(shown_at(k), lambda e: e["line"]))) + count(F.col("_plain")), limits, budget))
     d = d.withColumn("_shown", shown_at(F.col("elements_shown")))
     d = d.withColumn("_hit", containing_element("_shown", F.struct(
         round_exact(F.col("action.point.x"), 4).alias("x"), round_exact(F.col("action.point.y"), 4).alias("y"))))

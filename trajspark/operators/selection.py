@@ -147,12 +147,17 @@ def other_of(elements) -> Column:
     return F.filter(e, lambda x: is_blank(x["text"]) & (x["source"] == "cv"))
 
 
-def take_with_quota(named: Column, other: Column, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
+def quota_split(named: Column, other: Column, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> tuple[Column, Column]:
+    """How many of ``named`` and of ``other`` elements (counts) a list of ``limit`` shows."""
     k = F.lit(limit) if isinstance(limit, int) else limit
     half = F.least(F.lit(reserved), F.floor(k / 2).cast("int"))
-    room = F.least(F.greatest(half, k - F.size(named)), k)
-    kept = F.least(room, F.size(other))
-    return F.concat(F.slice(named, F.lit(1), k - kept), F.slice(other, F.lit(1), kept))
+    kept = F.least(F.least(F.greatest(half, k - named), k), other)
+    return F.least(named, k - kept), kept
+
+
+def take_with_quota(named: Column, other: Column, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
+    first, kept = quota_split(F.size(named), F.size(other), limit, reserved)
+    return F.concat(F.slice(named, F.lit(1), first), F.slice(other, F.lit(1), kept))
 
 
 def select_array_with_quota(elements, limit, reserved: int = V.RESERVED_FOR_UNNAMED) -> Column:
