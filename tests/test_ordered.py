@@ -112,6 +112,13 @@ def test_run_outcome(spark, hot):
                    "stuck": ("stuck", 3, False), "moves": (None, None, None), "limit": ("step_limit", 15, False), "failed_help": (None, None, None)}
 
 
+def test_run_outcome_looks_at_sizes_once(steps, monkeypatch):
+    cuts, cut = [], OrderedRows._cut
+    monkeypatch.setattr(OrderedRows, "_cut", lambda self, *a: cuts.append(1) or cut(self, *a))
+    W.run_outcome(steps, "run", "n", F.col("type"), hot_rows=25)
+    assert len(cuts) == 1
+
+
 @pytest.mark.parametrize("hot", HOT)
 def test_history_groups(spark, hot):
     rows = [("s1", "a", 1, "t"), ("s1", "a", 2, ""), ("s1", "a", 3, "t"), ("s1", "b", 4, "t"), ("s2", "c", 1, "t")] + [("s3", "z", i, "t") for i in range(60)]

@@ -27,8 +27,8 @@ def key_combo(key) -> Column:
     return F.array_join(F.filter(names, lambda x: nonempty(x).isNotNull()), "+")
 
 
-def normalize_action(raw, w, h, known_keys=V.KNOWN_KEYS) -> Column:
-    """``struct(action, reject_reason)`` of one raw action; exactly one of the two is set."""
+def _reason_and_action(raw, w, h, known_keys) -> tuple[Column, Column]:
+    """Why a raw action is rejected (null: it is not), and the action that it is if it is not."""
     r = F.col(raw) if isinstance(raw, str) else raw
     kind, mouse, board = r["action_type"], r["mouse_action_type"], r["keyboard_action_type"]
     is_mouse, is_key = kind == "MouseAction", kind == "KeyboardAction"
@@ -60,14 +60,22 @@ def normalize_action(raw, w, h, known_keys=V.KNOWN_KEYS) -> Column:
     act = action(type_, point=F.when(is_mouse & scroll, centre).when(is_mouse, spot),
                  text=F.when(is_key & (board == "text"), r["keyboard_text"]).when(is_key, combo),
                  direction=F.when(is_mouse & scroll, F.when(mouse == "scroll_up", "up").otherwise("down")))
+    return why, act
+
+
+def normalize_action(raw, w, h, known_keys=V.KNOWN_KEYS) -> Column:
+    """``struct(action, reject_reason)`` of one raw action; exactly one of the two is set."""
+    why, act = _reason_and_action(raw, w, h, known_keys)
     return F.struct(F.when(why.isNull(), act).alias("action"), why.alias("reject_reason"))
 
 
 def normalize_actions(df: DataFrame, raw: str = "raw", w: str = "width", h: str = "height",
                       known_keys=V.KNOWN_KEYS) -> DataFrame:
     """Add ``action`` and ``reject_reason``."""
-    d = df.withColumn("_n", normalize_action(raw, w, h, known_keys))
-    return d.withColumn("action", F.col("_n.action")).withColumn("reject_reason", F.col("_n.reject_reason")).drop("_n")
+    why, act = _reason_and_action(raw, w, h, known_keys)
+    # the reason is a column first and the action reads it: fields of one struct would each spell the keys again
+    d = df.withColumn("_why", why)
+    return d.withColumn("action", F.when(F.col("_why").isNull(), act)).withColumn("reject_reason", F.col("_why")).drop("_why")
 
 
 def accepted(df: DataFrame) -> DataFrame:

@@ -34,30 +34,39 @@ def with_history(steps: DataFrame, session="session_id", order="step_index", per
     return o.previous("history", payload, n).df().drop("_line", "_status")
 
 
-def is_stuck(steps: DataFrame, run, order, signature: Column, changed: str = "changed",
-             limit: int = V.REPEAT_LIMIT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``stuck``: the last ``limit`` steps have one signature and none changed the screen.
-
-    If nothing is known about changes, the repeated action alone decides.
-    """
-    o = OrderedRows(steps.withColumn("_sig", signature), run, order, hot_rows)
+def _stuck(o: OrderedRows, signature: Column, changed: str, limit: int) -> OrderedRows:
+    o = o.map(lambda d: d.withColumn("_sig", signature))
     o = o.previous("_prev", F.struct(F.col("_sig").alias("s"), F.col(changed).alias("c")), limit - 1)
     prev = F.col("_prev")
     same = F.forall(prev, lambda p: p["s"].eqNullSafe(F.col("_sig")))
     unknown = F.forall(prev, lambda p: p["c"].isNull()) & F.col(changed).isNull()
     moved = F.exists(prev, lambda p: F.coalesce(p["c"], F.lit(False))) | F.coalesce(F.col(changed), F.lit(False))
     stuck = (F.size(prev) == limit - 1) & same & (unknown | ~moved)
-    return o.df().withColumn("stuck", stuck).drop("_prev", "_sig")
+    return o.map(lambda d: d.withColumn("stuck", stuck).drop("_prev", "_sig"))
+
+
+def is_stuck(steps: DataFrame, run, order, signature: Column, changed: str = "changed",
+             limit: int = V.REPEAT_LIMIT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``stuck``: the last ``limit`` steps have one signature and none changed the screen.
+
+    If nothing is known about changes, the repeated action alone decides.
+    """
+    return _stuck(OrderedRows(steps, run, order, hot_rows), signature, changed, limit).df()
+
+
+def _failures(o: OrderedRows, ok: Column, limit: int) -> OrderedRows:
+    """``o`` has its positions in ``_pos``."""
+    o = o.map(lambda d: d.withColumn("_ok", ok))
+    o = o.running({"_last_ok": ("max", F.when(F.col("_ok"), F.col("_pos")))})
+    n = F.col("_pos") - F.coalesce("_last_ok", F.lit(0))
+    return o.map(lambda d: d.withColumn("fail_run", n).withColumn("aborts", n > limit)
+                 .withColumn("retried", (n > 0) & (n <= limit)).drop("_ok", "_last_ok"))
 
 
 def failure_runs(steps: DataFrame, run, order, ok: Column, limit: int = V.RETRY_LIMIT,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``fail_run`` (failures in a row, 0 after a success), ``aborts`` and ``retried``."""
-    o = OrderedRows(steps.withColumn("_ok", ok), run, order, hot_rows).position("_pos")
-    o = o.running({"_last_ok": ("max", F.when(F.col("_ok"), F.col("_pos")))})
-    n = F.col("_pos") - F.coalesce("_last_ok", F.lit(0))
-    return (o.df().withColumn("fail_run", n).withColumn("aborts", n > limit)
-            .withColumn("retried", (n > 0) & (n <= limit)).drop("_ok", "_pos", "_last_ok"))
+    return _failures(OrderedRows(steps, run, order, hot_rows).position("_pos"), ok, limit).df().drop("_pos")
 
 
 def escalate_stalls(verdicts: DataFrame, run, order, situation: str = "situation",
@@ -177,9 +186,9 @@ def run_outcome(steps: DataFrame, run: str, order, signature: Column, max_steps:
     Needs type, ok and changed. A failed step can only abort; an ok step can finish, ask for
     help or be stuck; the step limit is looked at last.
     """
-    d = is_stuck(steps, run, order, signature, "changed", repeat_limit, hot_rows)
-    d = failure_runs(d, run, order, F.col("ok"), retry_limit, hot_rows)
-    d = OrderedRows(d, run, order, hot_rows).position("_place").df()
+    # one cut of the rows, so one look at the sizes, serves the three rules
+    o = _stuck(OrderedRows(steps, run, order, hot_rows), signature, "changed", repeat_limit)
+    d = _failures(o.position("_pos"), F.col("ok"), retry_limit).df().withColumnRenamed("_pos", "_place")
     ok = F.col("ok")
     why = (F.when(ok & (F.col("type") == "finished"), "finished").when(ok & (F.col("type") == "call_user"), "call_user")
            .when(~ok & F.col("aborts"), "abort").when(ok & F.col("stuck"), "stuck")
