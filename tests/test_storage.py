@@ -57,6 +57,14 @@ def test_run_logs(spark, tmp_path):
     assert [(r.config, r.runs, r.passed, r.steps, r.error_steps, r.aborted) for r in s] == [("one_suite", 2, 1, 2, 0, 1)]
 
 
+def test_a_run_log_file_may_hold_several_documents(spark, tmp_path):
+    doc = {"live": True, "records": [{"task": "a", "run": 1, "passed": True}]}
+    put(tmp_path / "tasks_one_suite.json", json.dumps([doc, {"live": False, "records": []}, doc]))
+    put(tmp_path / "tasks_two_suite.json", json.dumps(doc))
+    logs = IN.read_run_logs(spark, str(tmp_path))
+    assert sorted((r.config, r.live, len(r.records)) for r in logs.collect()) == [("one_suite", False, 0), ("one_suite", True, 1), ("one_suite", True, 1), ("two_suite", True, 1)]
+
+
 def test_shards(spark, tmp_path):
     for i in range(3):
         spark.range(i, i + 1).write.parquet(str(tmp_path / f"train-0000{i}.parquet"))

@@ -12,7 +12,7 @@ from ..functions.udfs import predict
 from ..operators import counts as C
 from ..operators import normalize as N
 from ..operators import runs as R
-from ..session import scratch_path
+from ..session import pin, scratch_path
 from ..sources import readers as IN
 from ..sources import sinks as OUT
 from . import tables as D
@@ -152,7 +152,7 @@ def _(s, sf):
 # --- run logs ---------------------------------------------------------------------
 
 def written_logs(s, sf):
-    """One log document per configuration, below the name a run would give it."""
+    """Log documents per configuration, below the name a run would give it."""
     root = scratch_path(s, "logs")
     f = D.facts(s, sf)
     rec = F.struct("task", "level", F.col("run").cast("int").alias("run"), "passed", F.col("n_steps").cast("int").alias("steps"),
@@ -162,9 +162,12 @@ def written_logs(s, sf):
     # a log document holds the records of one batch of runs: a thousand run numbers at most
     logs = f.groupBy("config", "task", F.expr("run div 1000").alias("batch")).agg(F.collect_list(rec).alias("records")).withColumn("live", F.col("task") != "task3")
     logs = logs.withColumn("records", F.when(F.col("task") == "task5", F.array().cast(logs.schema["records"].dataType)).otherwise(F.col("records")))
+    # a file holds the documents of ten batches as one array, so there are files by the number of runs, not of documents
+    files = pin(logs.groupBy("config", F.expr("batch div 10").alias("file")).agg(F.collect_list(F.struct("task", "records", "live")).alias("docs"))
+                .select("config", F.to_json("docs").alias("value")))
     for config in ("cfg0", "cfg1", "cfg2"):
-        (logs.filter(F.col("config") == config).drop("config", "batch").repartition(8).write.option("maxRecordsPerFile", 1)
-         .json(f"{root}/tasks_live_{config}_suite.json"))
+        (files.filter(F.col("config") == config).select("value").write.option("maxRecordsPerFile", 1)
+         .text(f"{root}/tasks_live_{config}_suite.json"))
     return root
 
 

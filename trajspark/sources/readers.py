@@ -134,7 +134,10 @@ def read_metadata(spark: SparkSession, path: str, drop=("image",)) -> DataFrame:
 
 
 def read_run_logs(spark: SparkSession, path: str, glob: str = "tasks_*suite*.json") -> DataFrame:
-    """Log documents per configuration; ``config`` comes from the name of the file, or of the folder that holds its parts."""
+    """Log documents per configuration; ``config`` comes from the name of the file, or of the folder that holds its parts.
+
+    A file holds one document, or several as an array.
+    """
     name = F.regexp_extract("_metadata.file_path", r"/([^/]+\.json)(?:/[^/]*)?$", 1)
     return (spark.read.schema(RUN_LOG_SCHEMA + ", _corrupt_record string").option("multiLine", True)
             .json(f"{path.rstrip('/')}/{glob}").withColumn("log", name).withColumn("config", config_label(F.col("log"))))
