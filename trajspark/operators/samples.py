@@ -92,26 +92,25 @@ def quota_split_number(named: int, other: int, limit: int) -> tuple[int, int]:
     return min(named, limit - kept), kept
 
 
-def line_sums(lined: str) -> Column:
-    """Lengths of the first 0, 1, 2, ... lines of an array with ``line``."""
-    none = F.array(F.lit(0))
-    return F.coalesce(F.aggregate(F.col(lined), none, lambda sums, e: F.concat(
-        sums, F.array(F.element_at(sums, -1) + F.length(e["line"])))), none)
+def first_lengths(lengths: str, n: Column) -> Column:
+    """Sum over the first ``n`` of an array."""
+    return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda total, x: total + x)
 
 
 def fit_by_length(df: DataFrame, around: list[Column], cost: Callable[[Column], Column], limits, budget: int) -> DataFrame:
-    """Add ``elements_shown`` from the lengths alone: prefix sums over ``_named`` and ``_other``, looked up once per limit."""
+    """Add ``elements_shown`` from the lengths of the lines of ``_named`` and ``_other`` alone; limits after the first that fits cost nothing."""
     fixed_part = reduce(lambda a, b: a + b, [F.length(t) for t in around])
-    d = (df.withColumn("_sums", line_sums("_named")).withColumn("_more", line_sums("_other"))
-         .withColumn("_base", fixed_part).withColumn("_answer", cost(F.coalesce(F.length("_plain"), F.lit(0)))))
+    d = df.withColumn("_base", fixed_part).withColumn("_answer", cost(F.coalesce(F.length("_plain"), F.lit(0))))
+    for name, lined in (("_lens", "_named"), ("_more", "_other")):
+        d = d.withColumn(name, F.coalesce(F.transform(lined, lambda e: F.length(e["line"])), F.array().cast("array<int>")))
 
     def cost_at(k):
-        first, kept = quota_split(F.size("_sums") - 1, F.size("_more") - 1, k)
-        listing = F.when(first + kept > 0, F.get("_sums", first) + F.get("_more", kept) + first + kept - 1).otherwise(
+        first, kept = quota_split(F.size("_lens"), F.size("_more"), k)
+        listing = F.when(first + kept > 0, first_lengths("_lens", first) + first_lengths("_more", kept) + first + kept - 1).otherwise(
             F.lit(len(V.ELEMENTS_EMPTY)))
         return cost(F.coalesce(F.col("_base") + listing * (len(around) - 1), F.lit(0))) + F.col("_answer")
 
-    return d.withColumn("elements_shown", fit_limit(cost_at, limits, budget)).drop("_sums", "_more", "_base", "_answer")
+    return d.withColumn("elements_shown", fit_limit(cost_at, limits, budget)).drop("_lens", "_more", "_base", "_answer")
 
 
 def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["base"], count=approx_tokens,
@@ -122,7 +121,7 @@ def to_element_samples(steps: DataFrame, template: str = V.PROMPT_TEMPLATES["bas
 
     steps: instruction, thought, action, history, elements (array), image and what else is to stay.
     ``listed`` is the limit that the arrays were pruned for (``screen_lists``); larger limits need longer arrays.
-    A counter that says what a text of some length costs (``of_length``) is asked with prefix sums of line lengths and no prompt is
+    A counter that says what a text of some length costs (``of_length``) is asked with sums of line lengths and no prompt is
     built to find the limit; one of ``token_counter`` gets all limits of a batch in one call; any other is called per limit.
     """
     if max(limits) > listed:
