@@ -257,3 +257,13 @@ def test_a_batch_run_again_adds_nothing(spark, log, tmp_path):
         L.write_events(events(spark, log, max_files=2), str(tmp_path / "table"), str(tmp_path / f"ck{k}"), time="at").awaitTermination()
     d = L.read_events(spark, str(tmp_path / "table"), SCHEMA)
     assert d.count() == 200 and d.select("run_id", "n").distinct().count() == 200
+
+
+def test_silence_in_a_log_is_a_session_window(spark, log):
+    """Replayed pauses need no state in Python, so a worker costs no calls between processes; a pause of just the timeout is none, to the microsecond."""
+    beats = L.stream_events(spark, log).select(F.col("run_id").alias("worker"), F.timestamp_seconds("t").alias("beat"))
+    plan = L.stream_silent_workers(beats, clock="event")._jdf.queryExecution().logical().toString()
+    assert "session_window" in plan and "TransformWithState" not in plan
+    d = spark.createDataFrame([("a", 0), ("a", 30_000_000), ("a", 60_000_001)], "worker string, us long").select("worker", F.timestamp_micros("us").alias("event_time"))
+    assert rows(L._pauses(d, "30 seconds", "1 minute").select(F.unix_micros("last_beat").alias("l"), F.unix_micros("gone_at").alias("g")), "l", "g") == \
+        [(30_000_000, 60_000_000), (60_000_001, 90_000_001)]
