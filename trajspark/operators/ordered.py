@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..session import pin
 
 HOT_ROWS = 2_000_000
+PIECE_ROWS = 500_000    # of a piece, about, once there are PIECES
+PIECES = 64
 SEG = "_segment"
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
@@ -55,7 +57,8 @@ class OrderedRows:
         hot = F.broadcast(hot.drop("_n"))
         cold = df.join(hot, same_keys(df, hot, self.keys), "left_anti")
         big = df.join(hot, same_keys(df, hot, self.keys), "left_semi")
-        pieces = max(2, 2 * -(-int(total) // hot_rows))
+        # the driver gets a sample and a row of carries per piece, so a low limit does not make ever more of them
+        pieces = max(2, min(2 * -(-int(total) // hot_rows), PIECES + int(total) // PIECE_ROWS))
         big = pin(big.repartitionByRange(pieces, *self.keys, *self.order).withColumn(SEG, F.spark_partition_id()))
         return [(cold, False), (big, True)]
 
