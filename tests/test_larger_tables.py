@@ -29,3 +29,20 @@ def status(spark, folder, table, name):
 def test_alerts_where_times_run_against_numbers(spark, tmp_path, name):
     duckdb.sql(f"COPY (SELECT * REPLACE (event_id + 1000 * c AS event_id) FROM '{SF}/events.parquet', range(3) t(c)) TO '{tmp_path}/events.parquet'")
     assert status(spark, tmp_path, "events", name) == ("ok", "")
+
+
+def test_session_files_and_folders_do_not_grow_with_documents_alone(spark, tmp_path):
+    from trajspark.plans.storage import read_text_documents, written_sessions
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id + 1000 * c AS event_id) FROM '{SF}/events.parquet', range(20) t(c)) TO '{tmp_path}/events.parquet'")
+    root = Path(written_sessions(spark, str(tmp_path)))
+    assert len(list(root.glob("part=*/name=*"))) == 4 and len(list(root.rglob("*.txt"))) <= 50      # 200 documents, 4 of them broken
+    assert read_text_documents(spark, str(root)).count() == 200
+
+
+def test_pieces_of_hot_groups_do_not_grow_with_the_limit_alone(spark):
+    from pyspark.sql import functions as F
+    from trajspark.operators.ordered import OrderedRows
+    d = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.col("id").alias("o"))
+    rows = OrderedRows(d, "k", "o", 10).position("p").previous("b", F.col("o"), 1)
+    assert rows._parts[1][0].select("_segment").distinct().count() <= 64
+    assert rows.df().filter("p <> o div 2 + 1 or size(b) <> if(p = 1, 0, 1) or (p > 1 and b[0] <> o - 2)").isEmpty()

@@ -27,7 +27,7 @@ def r(c, name=None):
 # --- session documents ------------------------------------------------------------
 
 def written_sessions(s, sf):
-    """One JSON file per document below train/ and test/, some of them broken."""
+    """JSON files in folders below train/ and test/: unreadable documents one by one, the others of ten numbers as an array."""
     root = scratch_path(s, "sessions")
     docs = documents_of_actions(s, sf, 100)
     split = F.when(F.col("doc") % 5 == 0, "test").otherwise("train")
@@ -35,10 +35,14 @@ def written_sessions(s, sf):
         F.when(F.col("doc") % 4 != 0, F.concat(F.lit("s"), F.expr("doc div 4").cast("string"))).alias("session_id"),
         F.lit(1024).alias("video_width"), F.lit(768).alias("video_height"), F.concat(F.col("doc").cast("string"), F.lit(".png")).alias("saved_image_name"),
         F.lit("task").alias("task_prompt"), "actions"))
-    text = F.when(F.col("doc") % 50 == 7, F.lit('{"session_id": "broken')).otherwise(body)
-    # a folder of its own per document makes one file per document; the partition folder is the session
-    (docs.select(split.alias("part"), F.concat(F.lit("d"), F.col("doc").cast("string")).alias("name"), text.alias("value"))
-     .repartition(8, "name").write.partitionBy("part", "name").text(root))
+    broken = F.col("doc") % 50 == 7
+    text = F.when(broken, F.lit('{"session_id": "broken')).otherwise(body)
+    # one record per file; the partition folder is the session. The driver moves and lists folders, so there are fewer of them than files
+    files = (docs.select(split.alias("part"), F.concat(F.lit("d"), F.expr("doc div 100").cast("string")).alias("name"), F.expr("doc div 10").alias("tens"),
+                         F.when(broken, F.col("doc")).alias("alone"), text.alias("value"))
+             .groupBy("part", "name", "tens", "alone").agg(F.collect_list("value").alias("v")))
+    whole = F.when(F.size("v") == 1, F.get("v", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("v", ","), F.lit("]")))
+    (files.select("part", "name", whole.alias("value")).repartition(64, "part", "name").write.option("maxRecordsPerFile", 1).partitionBy("part", "name").text(root))
     return root
 
 

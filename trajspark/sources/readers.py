@@ -42,7 +42,7 @@ def only_missing(e: AnalysisException) -> None:
 
 
 def read_sessions(spark: SparkSession, root: str, schema: str = DOCUMENT_SCHEMA, pattern: str = "*.json") -> DataFrame:
-    """One JSON document per file under ``root/<split>/.../<session>/<name>.json``.
+    """JSON documents under ``root/<split>/.../<session>/<name>.json``: a file holds one, or several as an array.
 
     Adds path, file_name, split and a session id (the folder's name where the document has
     none). A file that cannot be read comes through with ``_corrupt_record`` set.
