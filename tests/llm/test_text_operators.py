@@ -243,3 +243,13 @@ def test_words_before_a_span_get_their_worth_from_the_sample(judge):
     def score(text):
         return judge.probability(np.array([pii.features(text, *next(p for p in pii.proposals(text) if p[2] == "secret"))], float))[0]
     assert score("the token=9f3a77b1ab0042cd then") > 0.9 > 0.5 > score("the river=9f3a77b1ab0042cd then")
+
+
+def test_results_leave_in_small_lists():
+    """A task hands on what it made of some texts before it takes the next, so results of a whole batch are never held at once."""
+    import pyarrow as pa
+    from trajspark.llm import arrow
+    sizes, run = [], arrow.text_udf("string", pa.string(), lambda: lambda texts: [sizes.append(len(texts)) or t for t in texts])
+    out = run.func(iter([pa.array(["a"] * 1000)]))
+    assert [len(next(out)) for _ in range(2)] == [arrow.ROWS] * 2 and len(sizes) == 2 * arrow.ROWS
+    assert sum(map(len, out)) == 1000 - 2 * arrow.ROWS

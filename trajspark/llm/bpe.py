@@ -32,7 +32,7 @@ from .registry import query, table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED_WORDS = 250_000          # pieces kept per worker, twice; the older half goes
+CACHED_WORDS = 80_000           # pieces kept per worker, twice; the older half goes
 CACHED_LETTERS = 64             # longer pieces are never kept
 STEP = 1 << 16                  # characters split into pieces at a time
 SAFE_CUT = re.compile(r"[^\s] (?=[^\s])")
