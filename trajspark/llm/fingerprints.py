@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import ROWS
 from .hashing import mix
 from .registry import query, table
 
@@ -30,6 +32,7 @@ STRETCH = 120
 PARAGRAPH = re.compile(r"[^\n]{1,%d}(?=\s|$)|[^\n]{1,%d}" % (STRETCH, STRETCH))
 CELLS = 24                  # of a fingerprint; three parts
 ROWS_AT_ONCE = 512
+CHARS_AT_ONCE = 1 << 21     # a text more at most
 RANGE_ROWS = 400            # documents ordered together, about, until there are MAX_RANGES ranges
 MAX_RANGES = 4_000
 SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -163,31 +166,37 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
               .withColumn("range", F.when(F.col("range") < 0, -1 - F.pmod(F.xxhash64("text"), F.lit(997))).otherwise(F.col("range")).cast("int"))
               .repartition("range").sortWithinPartitions("range", "closing", "id", "text"))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, following = [], [], []
-        held = None
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, following, kind = [], [], [], None
+        held, chars = None, 0
 
         def done():
             out = compare(texts, following)
-            out.insert(0, "id", pd.Series(ids, dtype="object"))
+            arrays = [pa.array(ids, kind), *[pa.array(out[c]) for c in out.columns]]
             ids.clear(), texts.clear(), following.clear()
-            return out
+            return pa.RecordBatch.from_arrays(arrays, names=["id", *out.columns])
 
         for b in batches:
-            for i, text, closing, at in zip(b["id"], b["text"], b["closing"], b["range"], strict=True):
-                if held and held[2] == at:
-                    ids.append(held[0]), texts.append(held[1]), following.append(text)
-                held = None
-                if at < 0:
-                    ids.append(None), texts.append(text), following.append(text)
-                elif not closing:
-                    held = (int(i), text, at) if float(i).is_integer() else (i, text, at)
-                if len(ids) >= ROWS_AT_ONCE:
-                    yield done()
+            kind = b.schema.field("id").type
+            for k in range(0, b.num_rows, ROWS):
+                rows = b.slice(k, ROWS).to_pydict()
+                for i, text, closing, at in zip(rows["id"], rows["text"], rows["closing"], rows["range"], strict=True):
+                    if held and held[2] == at:
+                        ids.append(held[0]), texts.append(held[1]), following.append(text)
+                        chars += len(held[1])
+                    held = None
+                    if at < 0:
+                        ids.append(None), texts.append(text), following.append(text)
+                        chars += len(text)
+                    elif not closing:
+                        held = i, text, at
+                    if len(ids) >= ROWS_AT_ONCE or chars >= CHARS_AT_ONCE:
+                        yield done()
+                        chars = 0
         if ids:
             yield done()
 
-    return placed.mapInPandas(work, f"id {id_type}, {RESULT}").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(work, f"id {id_type}, {RESULT}").withColumnRenamed("id", id_col)
 
 
 @query("op9_paragraph_sketches")
