@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spatial
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, pin
 
 TILE_ROWS = 50_000
 MAX_DEPTH = 10          # 1024 tiles per side, about a pixel or two each
@@ -68,6 +68,7 @@ def _meet(points: DataFrame, boxes: DataFrame, screen: list[str], order: list[st
     boxes = boxes.filter(known & reduce_and([F.col(c).isNotNull() for c in SIDES]))
     sizes = points.select(*screen).unionByName(boxes.select(*screen)).groupBy(*screen).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TILE_ROWS)
     crowded = sizes.select(*screen, F.least(F.lit(MAX_DEPTH), F.ceil(F.log(F.col("_n") / TILE_ROWS) / F.log(F.lit(4.0)))).cast("int").alias("_depth"))
+    crowded = pin(crowded)          # counted once; what is asked below looks at few rows
     few = broadcast_if_small(crowded) is not None
     if few and crowded.isEmpty():
         crowded = None
