@@ -59,6 +59,37 @@ def test_parts_and_rounds(spark, monkeypatch, fold_pairs):
     assert merged(spark, boxes[:20], boxes[20:], fold_rows=50) == greedy(boxes[:20], boxes[20:], lambda a, b: True)
 
 
+@pytest.mark.parametrize("n_primary", [0, 700])
+def test_a_dense_pile_makes_few_pairs(spark, monkeypatch, n_primary):
+    """1,400 different boxes about one spot: pairs grow with the boxes, not with their square, and the greedy rule holds."""
+    pairs, whole = [], J._overlaps
+
+    def counted(*args):
+        found = whole(*args)
+        pairs.append(found.count())
+        return found
+    monkeypatch.setattr(J, "_overlaps", counted)
+    monkeypatch.setattr(J, "FIRST_BOXES", 50, raising=False)
+    r = random.Random(5)
+    boxes = [(x, y, x + w, y + h) for x, y, w, h in ((0.4 + r.random() / 10, 0.4 + r.random() / 10, 0.02 + r.random() / 8, 0.02 + r.random() / 8) for _ in range(1_400))]
+    got = merged(spark, boxes[:n_primary], boxes[n_primary:], fold_rows=100)
+    assert got == greedy(boxes[:n_primary], boxes[n_primary:], lambda a, b: True)
+    assert sum(pairs) < 20 * len(boxes)
+
+
+@pytest.mark.parametrize("limit", [0.3, 0.5, 0.05])
+def test_meeting_finds_all_pairs_once(spark, limit):
+    """Thin, flat, tiny, full-screen and outlying boxes, with edges on powers of two."""
+    r = random.Random(11)
+    side = lambda: r.choice([2.0 ** -r.randint(0, 12), r.random() / 3, 1e-7, 0.0])
+    boxes = [(x, y, x + side(), y + side()) for x, y in ((r.choice([0.0, 0.25, 0.5, r.random() / 2, -0.1]), r.choice([0.0, 0.5, r.random() / 4])) for _ in range(400))]
+    frame = spark.createDataFrame([("s", k, b) for k, b in enumerate(boxes)], f"screen_id string, ord int, bbox {BOX}")
+    got = [(x["a"], x["z"]) for x in J._overlaps(frame, "screen_id", limit).collect()]
+    solid = [k for k, b in enumerate(boxes) if b[2] > b[0] and b[3] > b[1]]
+    want = [(a, z) for a in solid for z in solid if a < z and iou(boxes[a], boxes[z]) > limit]
+    assert len(want) > 20 and sorted(got) == want
+
+
 def test_components(spark):
     r = random.Random(3)
     chain = [("g", k, k + 1) for k in range(0, 300)] + [("h", 300 - k, 299 - k) for k in range(300)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from .components import components
 from .ordered import HOT_ROWS, OrderedRows
 from .points import any_inside, first_box, sides
 
-MAX_LEVEL = 10          # finest grid: 1024 cells per side
+MAX_LEVEL = 20          # finest grid: about a million cells per side
 FOLD_PAIRS = 1_000_000  # of a connected part that is folded in one task
+FIRST_BOXES = 2_000     # of a screen that are settled at first; each step after it takes twice as many in all
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on, how: str = "left", max_rows: int = 200_000,
@@ -52,22 +55,24 @@ def _cell(v: Column, level: Column) -> Column:
     return F.floor(v * F.pow(F.lit(2.0), level))
 
 
-def box_cells(boxes: DataFrame, bbox: str = "bbox", pad: float = 0.0, level: Column | None = None) -> DataFrame:
-    """One row per grid cell a box touches: at the level of its own size, so at most about 2 x 2."""
-    b = F.col(bbox)
-    side = F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"]) + 2 * pad
-    d = boxes.withColumn("_lev", level if level is not None else _level(side))
-    lev = F.col("_lev")
+def box_cells(boxes: DataFrame, coarser: int, bbox: str = "bbox") -> DataFrame:
+    """One row per cell that a box with an area touches: at the levels of its width and of its height, and at up to ``coarser`` coarser ones of each.
 
+    Cells at a level are at least as wide (high) as the box, so a box touches about 2 x 2 of them, however thin it is.
+    """
+    b = F.col(bbox)
     # a box in pixels would touch millions of cells
     unit = F.greatest(*[F.abs(b[c]) for c in ("x1", "y1", "x2", "y2")]) <= 4
 
-    def span(a, z):
-        lo, hi = _cell(b[a] - pad, lev), _cell(b[z] + pad, lev)
-        cells = F.when(F.coalesce(unit, F.lit(True)), F.sequence(lo, F.greatest(lo, hi)))
+    def span(a, z, lev):
+        lo, hi = _cell(b[a], F.col(lev)), _cell(b[z], F.col(lev))
+        cells = F.when(F.coalesce(unit, F.lit(True)), F.sequence(lo, hi))
         return F.explode(F.coalesce(cells, F.raise_error(F.lit("a box is not given in shares of its screen")).cast("array<bigint>")))
 
-    return d.withColumn("_cx", span("x1", "x2")).withColumn("_cy", span("y1", "y2"))
+    d = boxes.filter((b["x2"] > b["x1"]) & (b["y2"] > b["y1"])).withColumns({"_lx": _level(b["x2"] - b["x1"]), "_ly": _level(b["y2"] - b["y1"])})
+    for own, lev in (("_lx", "_gx"), ("_ly", "_gy")):
+        d = d.withColumn(lev, F.explode(F.sequence(F.greatest(F.col(own) - coarser, F.lit(0)), F.col(own))))
+    return d.withColumn("_cx", span("x1", "x2", "_gx")).withColumn("_cy", span("y1", "y2", "_gy"))
 
 
 def locate_points(points: DataFrame, boxes: DataFrame, screen: str = "screen_id", pad: float = 0.0) -> DataFrame:
@@ -189,36 +194,66 @@ def _merge_folded(both: DataFrame, screen: str, limit: float) -> DataFrame:
     return g.select(screen, F.posexplode(kept).alias("id", "e")).select(screen, "id", "e.bbox", "e.text", "e.source")
 
 
-def _overlaps(both: DataFrame, screen: str, limit: float) -> DataFrame:
-    """Pairs (earlier, later) whose overlap is above the limit, via cells at the larger box's level."""
-    b = both.select(screen, F.struct("tier", "ord").alias("k"), "bbox")
-    own = box_cells(b).select(screen, "_lev", "_cx", "_cy", F.col("k").alias("k1"), F.col("bbox").alias("b1"))
-    side = F.greatest(F.col("bbox.x2") - F.col("bbox.x1"), F.col("bbox.y2") - F.col("bbox.y1"))
-    up = b.withColumn("_up", F.explode(F.sequence(F.lit(0), _level(side))))
-    up = box_cells(up, level=F.col("_up")).select(screen, "_lev", "_cx", "_cy",
-                                                  F.col("k").alias("k2"), F.col("bbox").alias("b2"))
-    pairs = own.join(up, [screen, "_lev", "_cx", "_cy"]).filter((F.col("k1") != F.col("k2"))
-                                                              & (G.iou("b1", "b2") > limit))
-    return pairs.select(screen, F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("z")).distinct()
+def _meeting(one: DataFrame, other: DataFrame, screen: str, limit: float, how: str) -> DataFrame:
+    """Join of ``one`` (screen, bbox, ...) to ``other`` (screen, bbox, ...; names get a ``2``) on an overlap above the limit.
 
+    Widths, and heights, of two such boxes are less than 1 / ``limit`` apart. They meet once: at the coarser of both levels, in the
+    cell where their overlap begins.
+    """
+    coarser = min(MAX_LEVEL, int(math.log2(1 / max(limit, 2.0 ** -MAX_LEVEL)) + 1e-9) + 1)
+    a, b = box_cells(one, coarser), box_cells(other, coarser)
+    b = b.select(*[F.col(c).alias(c + "2") for c in b.columns])
+    met = F.col(screen) == F.col(screen + "2")
+    for g in ("_gx", "_gy", "_cx", "_cy"):
+        met &= F.col(g) == F.col(g + "2")
+    for own, lev, cell, start in (("_lx", "_gx", "_cx", "x1"), ("_ly", "_gy", "_cy", "y1")):
+        met &= F.col(lev) == F.least(own, own + "2")
+        met &= F.col(cell) == _cell(F.greatest(F.col("bbox")[start], F.col("bbox2")[start]), F.col(lev))
+    return a.join(b, met & (G.iou("bbox", "bbox2") > limit), how)
 
-def _merge_parts(both: DataFrame, screen: str, limit: float, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
-    """Only overlapping pairs matter. What overlaps a primary is out; the rest falls into connected parts, each folded in a task by priority.
+
+def _overlaps(boxes: DataFrame, screen: str, limit: float) -> DataFrame:
+    """Pairs (a before z by ``ord``) whose overlap is above the limit."""
+    pairs = _meeting(boxes.select(screen, "ord", "bbox"), boxes.select(screen, "ord", "bbox"), screen, limit, "inner").filter("ord < ord2")
+    return pairs.select(screen, F.col("ord").alias("a"), F.col("ord2").alias("z"))
+
+
+def _free(boxes: DataFrame, kept: DataFrame, screen: str, limit: float) -> DataFrame:
+    """Those of ``boxes`` (screen, ord, bbox, ...) that overlap no box of ``kept`` (screen, bbox) above the limit.
+
+    Where boxes are dense, a kept box of about the same size and place settles most of them, one test each; only the rest
+    looks at all kept boxes around it.
+    """
+    def place(d, parts):
+        b, at = F.col("bbox"), {}
+        for axis in ("x", "y"):
+            lev = F.floor(F.log2(b[axis + "2"] - b[axis + "1"]) * parts)
+            at |= {"_l" + axis: lev, "_c" + axis: F.floor((b[axis + "1"] + b[axis + "2"]) * parts / F.pow(F.lit(2.0), lev / parts))}
+        return d.withColumns(at), [screen, *at]
+
+    solid = kept.select(screen, "bbox").filter("bbox.x2 > bbox.x1 and bbox.y2 > bbox.y1")
+    rest = boxes
+    for parts in (1, 2):
+        some, keys = place(solid, parts)
+        rest, _ = place(rest, parts)
+        rest = rest.join(some.groupBy(*keys).agg(F.min("bbox").alias("_seen")), keys, "left")
+        rest = rest.filter(F.col("_seen").isNull() | ~(G.iou("_seen", "bbox") > limit)).select(*boxes.columns)
+    rest = stage(rest)
+    hit = _meeting(rest.select(screen, "ord", "bbox"), solid, screen, limit, "left_semi").select(screen, "ord").distinct()
+    return stage(rest.join(hit, [screen, "ord"], "left_anti"))
+
+
+def _lost(boxes: DataFrame, screen: str, limit: float, fold_pairs: int) -> DataFrame:
+    """(screen, ord) of what the greedy choice among ``boxes`` leaves out: connected parts of the overlaps are folded, each in a task by priority.
 
     Parts are found in about as many steps as the logarithm of their length. A part of more than ``fold_pairs`` pairs is settled in rounds.
     """
-    both = pin(both.withColumn("k", F.struct("tier", "ord")))
-    pairs = pin(_overlaps(both, screen, limit).filter("z.tier = 1"))
-    beaten = pairs.filter("a.tier = 0").select(screen, F.col("z.ord").alias("ord")).distinct()
-    edges = pairs.filter("a.tier = 1").select(screen, F.col("a.ord").alias("a"), F.col("z.ord").alias("z"))
-    for end in ("a", "z"):
-        edges = edges.join(beaten.withColumnRenamed("ord", end), [screen, end], "left_anti")
-    edges = stage(edges)
+    edges = stage(_overlaps(boxes, screen, limit))
     label = components(edges.withColumnRenamed("z", "b"), screen)
     placed = stage(edges.join(label.withColumnRenamed("node", "a"), [screen, "a"]))
     sizes = placed.groupBy(screen, "root").agg(F.count(F.lit(1)).alias("_n"))
     huge = stage(sizes.filter(F.col("_n") > fold_pairs).select(screen, "root"))
-    kind, unit = both.schema[screen].dataType.simpleString(), both.schema["ord"].dataType.simpleString()
+    kind, unit = boxes.schema[screen].dataType.simpleString(), boxes.schema["ord"].dataType.simpleString()
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["z", "a"])
@@ -229,10 +264,27 @@ def _merge_parts(both: DataFrame, screen: str, limit: float, fold_pairs: int = F
         return pd.DataFrame({screen: [part[screen].iloc[0]] * len(out), "ord": sorted(out)})
 
     lost = (placed.join(huge, [screen, "root"], "left_anti").groupBy(screen, "root").applyInPandas(fold, f"`{screen}` {kind}, ord {unit}"))
-    lost = lost.unionByName(beaten)
     if not huge.isEmpty():
         lost = lost.unionByName(_lost_in_rounds(placed.join(huge, [screen, "root"], "left_semi").select(screen, "a", "z"), screen))
-    out = both.join(lost.withColumn("tier", F.lit(1)), [screen, "tier", "ord"], "left_anti")
+    return lost
+
+
+def _merge_parts(both: DataFrame, screen: str, limit: float, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
+    """What overlaps a primary is out. Of the rest, the first few of each screen are settled, then as many again, and so on: what is
+    kept thins out all that follows, so that pairs within a step stay few even where boxes are dense."""
+    both = pin(both)
+    rest = _free(both.filter("tier = 1").select(screen, "ord", "bbox"), both.filter("tier = 0").select(screen, "bbox").distinct(), screen, limit)
+    rest = stage(OrderedRows(rest, screen, ["ord"]).position("_p").df())
+    most, done = rest.agg(F.max("_p")).first()[0] or 0, 0
+    kept = rest.limit(0).select(screen, "ord")
+    while done < most:
+        done = max(FIRST_BOXES, 2 * done)
+        now = rest.filter(F.col("_p") <= done)
+        fresh = stage(now.join(_lost(now, screen, limit, fold_pairs), [screen, "ord"], "left_anti"))
+        kept = kept.unionByName(fresh.select(screen, "ord"))
+        if done < most:
+            rest = _free(rest.filter(F.col("_p") > done), fresh, screen, limit)
+    out = both.filter("tier = 0").unionByName(both.filter("tier = 1").join(kept, [screen, "ord"], "left_semi").select(*both.columns))
     ranked = OrderedRows(out, screen, ["tier", "ord"]).position("_p").df()
     return ranked.select(screen, (F.col("_p") - 1).cast("int").alias("id"), "bbox", "text", "source")
 
