@@ -180,6 +180,30 @@ def both():
     return bpe.Transducer(path), bpe.Reader(path), tokenizers.Tokenizer.from_file(path)
 
 
+def test_transducer_takes_a_step_per_byte(both):
+    """A piece is read once from left to right, without looking back over its bytes, and beginnings that pieces share are read once."""
+    t, _, library = both
+    for raw in "the rehearsal of naïveté".encode(), b"a" * 40:
+        state = 0
+        for i, b in enumerate(raw, 1):
+            state = t._step(state << 8 | b)
+            assert [n for _, n in t.endings[state]] == [i - k for k in range(i) if raw[k:i] in t.vocab]
+
+    class Counted(list):
+        read = 0
+
+        def __getitem__(self, k):
+            Counted.read += 1
+            return list.__getitem__(self, k)
+    words = [f" rehearsal{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    fresh = bpe.Transducer(bpe.vocabulary())
+    fresh.endings = Counted(fresh.endings)
+    got = [list(fresh.stream(w.encode())) for w in words]
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert Counted.read == bpe.HEAD + sum(len(w) - bpe.HEAD for w in words)
+
+
+
 def same(both, text):
     t, r, ref = both
     want = ref.encode(text, add_special_tokens=False).ids

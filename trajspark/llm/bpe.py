@@ -32,8 +32,9 @@ from .registry import query, table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED_WORDS = 80_000           # pieces kept per worker, twice; the older half goes
+CACHED_WORDS = 160_000          # pieces kept per worker, twice; the older half goes
 CACHED_LETTERS = 64             # longer pieces are never kept
+HEAD = 5                        # first bytes of a piece that many pieces share
 STEP = 1 << 16                  # characters split into pieces at a time
 SAFE_CUT = re.compile(r"[^\s] (?=[^\s])")
 
@@ -94,6 +95,7 @@ class Transducer:
         self.bytes_of = {i: t for t, i in self.vocab.items()}
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
+        self.size = {i: len(t) for i, t in self.bytes_of.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.order = {self.vocab[bytes([b])]: b for b in range(256)}           # when a token comes into being
         self.parts: dict[int, tuple[int, int]] = {}
@@ -107,12 +109,58 @@ class Transducer:
                 self.order[new] = 256 + n
                 self.parts[new] = pair
         self.lookahead = max(map(len, self.vocab)) - 1
-        self.tails = {t[k:] for t in self.vocab for k in range(len(t))}
+        self._machine()
         self.follows: dict[int, bool] = {}
         self.pieces = regex.compile(PIECES)
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.heads: dict[bytes, tuple[int, tuple]] = {}                        # where the first bytes of a piece lead to
         self.words = Words(self)
 
+    def _machine(self) -> None:
+        """A state for each beginning of a token: the longest one that the bytes so far end with. ``endings`` has all tokens that they end with, the longest first."""
+        self.edges: dict[int, int] = {}                  # state << 8 | byte: the beginning longer by this byte
+        own: list[int | None] = [None]
+        for raw, i in self.vocab.items():
+            state = 0
+            for b in raw:
+                key = state << 8 | b
+                state = self.edges.get(key)
+                if state is None:
+                    state = self.edges[key] = len(own)
+                    own.append(None)
+            own[state] = i
+        self.steps: dict[int, int] = {}
+        self.shorter, self.endings = [0] * len(own), [()] * len(own)       # shorter: the next longest beginning that a state ends with
+        level = [0]
+        longer: dict[int, list[int]] = {}
+        for key in self.edges:
+            longer.setdefault(key >> 8, []).append(key)
+        while level:                                     # by length, so that shorter ones are known
+            after = []
+            for state in level:
+                for key in longer.get(state, ()):
+                    new, b = self.edges[key], key & 255
+                    if state:
+                        self.shorter[new] = self._step(self.shorter[state] << 8 | b)
+                    rest = self.endings[self.shorter[new]]
+                    i = own[new]
+                    self.endings[new] = rest if i is None else ((i, self.size[i]), *rest)
+                    after.append(new)
+            level = after
+
+    def _step(self, key: int) -> int:
+        """The state after one more byte."""
+        state, b = key >> 8, key & 255
+        while True:
+            new = self.edges.get(state << 8 | b)
+            if new is not None or state == 0:
+                break
+            state = self.shorter[state]
+        if len(self.steps) >= 1 << 18:
+            self.steps.clear()
+        self.steps[key] = new = new or 0
+        return new
+
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the merges leave the tokens ``a b`` as they are.
 
@@ -145,37 +193,54 @@ class Transducer:
     def stream(self, raw: bytes) -> Iterator[int]:
         """The tokens of one piece, each as soon as nothing that follows can change it."""
         longest = self.lookahead + 1
-        done, before, ends = 0, None, [None]                 # ends[k]: last token of the encoding of the first done + k bytes
-        vocab, tails, follows, follow = self.vocab.get, self.tails, self.follows.get, self.may_follow
-        for i in range(1, len(raw) + 1):
-            start, floor = i - 1, max(done, i - longest)
-            while start > floor and raw[start - 1:i] in tails:
-                start -= 1
-            while start < i:                                 # the longest is the likeliest; exactly one can stand
-                token = vocab(raw[start:i])
-                if token is not None:
-                    if start == 0:
+        done, before, at = 0, None, 0
+        known = self.heads.get(raw[:HEAD])
+        if known is not None:
+            at = HEAD
+        state, ends = (known[0], [*known[1]]) if known else (0, [None])         # ends[k]: last token of the encoding of the first done + k bytes
+        steps, endings, follows, follow = self.steps.get, self.endings, self.follows.get, self.may_follow
+        while at < len(raw):
+            some = raw[at:HEAD if at < HEAD else max(at + longest, done + 4 * longest)]
+            for i, b in enumerate(some, at - done + 1):
+                key = state << 8 | b
+                state = steps(key)
+                if state is None:
+                    state = self._step(key)
+                for token, n in endings[state]:              # the longest is the likeliest; exactly one can stand
+                    if n < i:
+                        last = ends[i - n]
+                        if last is None:
+                            continue
+                    elif n > i:                              # reaches into what is settled
+                        continue
+                    elif done:
+                        last = before
+                    else:
+                        break
+                    stands = follows(last << 20 | token)
+                    if stands or (stands is None and follow(last, token)):
                         break
-                    last = ends[start - done] if start > done else before
-                    if last is not None:
-                        stands = follows(last << 20 | token)
-                        if stands or (stands is None and follow(last, token)):
-                            break
-                start += 1
-            ends.append(token if start < i else None)        # none: no encoding of the whole stops here
-            if i - done >= 4 * longest and i < len(raw):
-                cut = self._settled(ends, i - done, longest)
+                else:
+                    token = None                             # no encoding of the whole stops here
+                ends.append(token)
+            at += len(some)
+            if at == HEAD:
+                if len(self.heads) >= 1 << 16:
+                    self.heads.clear()
+                self.heads[some] = state, tuple(ends)
+            elif at < len(raw):
+                cut = self._settled(ends, at - done, longest)
                 if cut:
                     tokens = self._back(ends, cut)
                     yield from tokens
                     done, before, ends = done + cut, tokens[-1], [None, *ends[cut + 1:]]
-        yield from self._back(ends, len(raw) - done)
+        yield from self._back(ends, at - done)
 
     def _back(self, ends: list, at: int) -> list[int]:
         tokens = []
         while at > 0:
             tokens.append(ends[at])
-            at -= len(self.bytes_of[ends[at]])
+            at -= self.size[ends[at]]
         return tokens[::-1]
 
     def _settled(self, ends: list, at: int, longest: int) -> int:
@@ -187,7 +252,7 @@ class Transducer:
             cuts, q = set(), p
             while q > 0:
                 cuts.add(q)
-                q -= len(self.bytes_of[ends[q]])
+                q -= self.size[ends[q]]
             common = cuts if common is None else common & cuts
             if not common:
                 return 0
