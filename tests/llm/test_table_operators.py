@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -338,3 +339,39 @@ def test_repeats_query_equals_brute_force(spark, tmp_path):
         assert (got["n_bytes"], got["n_removed"], got["n_spans"]) == (len(raw), sum(gone), spans)
         assert got["kept_sha256"] == hashlib.sha256(kept).hexdigest() and got["kept_text"] == kept.decode("utf-8", "replace")
         assert got["removed_share"] == (sum(gone) / len(raw) if raw else 0)
+
+
+def brute_shared_words(texts, width):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    holders = collections.defaultdict(set)
+    for k, w in enumerate(split):
+        for i in range(len(w) - width + 1):
+            holders[tuple(w[i:i + width])].add(k)
+    out = []
+    for w in split:
+        hit = [i for i in range(len(w) - width + 1) if len(holders[tuple(w[i:i + width])]) > 1]
+        out.append(len({j for i in hit for j in range(i, i + width)}))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_passages_of_over_50_words(spark, crowd):
+    """Passages too short to be removed are counted where another row holds them too, whatever white space parts their words."""
+    short = [" ".join(f"{'abcdefg'[(k * j + j) % 7]}{j % 10}" for j in range(51 + k)) for k in range(3)]
+    assert all(len(p) < 200 for p in short)
+    rows = [(k, prose(500 + k, 12 + k) + " " + short[k % 3] + " " + prose(600 + k, 9)) for k in range(12)]
+    rows += [(20, short[0].replace(" ", "\n\t")), (21, " ".join(short[1].split()[:50])), (22, prose(77, 30) + " " + short[1][:-3])]
+    twice = " ".join(f"once{j}" for j in range(60))
+    rows += [(30, twice + " x " + twice), (31, prose(88, 60)), (32, prose(88, 60)), (33, None), (34, ""), (None, prose(89, 70)), (None, prose(89, 70) + " end"), (35, prose(89, 70)[1:])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowd=crowd, word_crowd=crowd).collect()
+    want = sorted(zip([str(r[0]) for r in rows], brute_shared_words([r[1] for r in rows], 51)))
+    assert sorted((str(r["doc_id"]), r["n_shared_words"]) for r in got) == want
+    counts = dict(want)
+    assert all(counts[str(k)] >= 51 for k in (*range(12), 20, 31, 32)) and not any(counts[str(k)] for k in (21, 30, 33, 34))
+    assert sorted(str((r["doc_id"], bytes(r["kept"]))) for r in got) == sorted(map(str, zip([r[0] for r in rows], brute_repeats([r[1] for r in rows], 400))))
+
+
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_short_runs_of_shared_words(edge, edge_rows, crowd):
+    got = suffix_dedup.remove_repeats(edge, length=60, gram=20, crowd=crowd, word_crowd=crowd, words=9).collect()
+    assert sorted((str(r["doc_id"]), r["n_shared_words"]) for r in got) == sorted(zip([str(r[0]) for r in edge_rows], brute_shared_words([r[1] for r in edge_rows], 9)))

@@ -7,7 +7,11 @@ only once cannot repeat and stop there. Equal contexts are folded, with their nu
 in a shard, where a suffix array (Larsson and Sadakane's doubling of sorted prefixes), and
 common prefixes in text order (Kasai) tell which windows are equal; shards are worked on in pieces of ``PIECE`` bytes, and
 windows of other pieces are found by binary search. An anchor with more than ``CROWD`` different contexts
-(a passage that very many documents share) is not put into one shard: its contexts are first cut down to single windows, which fold.
+(of words: ``WORD_CROWD``; a passage that very many documents share) is not put into one shard: its contexts are first cut down to single windows, which fold.
+
+Beside that, passages of at least ``WORDS`` words (what stands between white space) that some other row holds too are counted, not removed: most
+of them are shorter than ``LENGTH`` bytes. Their windows are runs of words, dealt by anchors of ``WORD_GRAM`` words in the same way; windows of
+one anchor are compared by 64-bit hashes.
 
 Null is the empty text. Texts shorter than ``LENGTH`` keep everything. Rows are counted one by one, so all copies of a
 long enough text lose all of it. Ids are only passed on (null ids too); other columns are left out. An empty table gives no rows.
@@ -25,57 +29,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .hashing import BYTE, PRIME, mix, pieces, powers
+from .hashing import BYTE, PRIME, SPACE, mix, pieces, powers
 from .registry import query, table
 
 LENGTH = 400
 GRAM = 128
+WORDS = 51
+WORD_GRAM = 16
 CROWD = 1_000
+WORD_CROWD = 50_000         # hashes are sorted, so their cost grows no faster than their number
 PIECE = 1 << 18
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
-def sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial over the bytes, and the powers that shift a difference of them to place 0."""
-    back = np.full(len(data) + 1, INVERSE, np.uint64)
-    back[0] = 1
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * powers(len(data))[:len(data)], out=total[1:])
-    return total, np.multiply.accumulate(back)
+def inverse_powers(n: int, _kept: list = []) -> np.ndarray:  # noqa: B006
+    if not _kept or len(_kept[0]) < n:
+        back = np.full(max(n, 1 << 12), INVERSE, np.uint64)
+        back[0] = 1
+        _kept[:] = [np.multiply.accumulate(back)]
+    return _kept[0]
+
+
+def sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial over hashes of bytes or words, and the powers that shift a difference of them to place 0."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values))[:len(values)], out=total[1:])
+    return total, inverse_powers(len(total))[:len(total)]
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
-    """Least of every ``width`` neighbours, from running leasts of blocks in both directions."""
-    n = len(keys) - width + 1
-    padded = np.full(-(-len(keys) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:len(keys)] = keys
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
-
-
-def contexts(raw: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, context, start, windows) of all runs of windows that share an anchor."""
-    sizes = np.array([len(r) for r in raw])
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    """Least of every ``width`` neighbours: of twice as many in each step, then of two stretches that overlap."""
+    n, least, reach = len(keys) - width + 1, keys, 1
+    while 2 * reach <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    return np.minimum(least[:n], least[width - reach:width - reach + n])
+
+
+def word_hashes(data: np.ndarray, sizes: np.ndarray, total: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words per text) of texts side by side, from the sums over their bytes."""
+    inside, first = ~SPACE[data], np.zeros(len(data) + 1, bool)
+    ends = np.cumsum(sizes)
+    first[ends - sizes] = first[ends] = True
+    begin = np.flatnonzero(inside & (first[:-1] | np.append(True, ~inside[:-1])))
+    end = np.flatnonzero(inside & (first[1:] | np.append(~inside[1:], True))) + 1
+    hashes = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64) * BYTE[7])
+    return hashes, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def contexts(total: np.ndarray, back: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, context, start, windows) of all runs of windows that share an anchor, from the sums over texts of ``sizes`` bytes or words side by side."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
-    if len(data) < length:
+    if len(total) <= length:
         return none
-    total, back = sums(data)
-    h = mix((total[gram:] - total[:-gram]) * back[:len(data) - gram + 1])
+    h = mix((total[gram:] - total[:-gram]) * back[:len(total) - gram])
     least = sliding_least((h & HIGH) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     at = (least & ~HIGH).astype(np.int64)
-    text = np.repeat(np.arange(len(raw)), sizes)[:len(at)]
+    text = np.repeat(np.arange(len(sizes)), sizes)[:len(at)]
     ends = np.cumsum(sizes)
-    inside = np.arange(len(at)) + length <= ends[text]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    starts = np.flatnonzero(new & inside)
+    starts = np.flatnonzero(new)
+    run_end = np.append(starts[1:], len(at))
+    starts = starts[starts + length <= ends[text[starts]]]
     if not len(starts):
         return none
-    run_end = np.append(np.flatnonzero(new)[1:], len(at))
     stop = np.minimum(run_end[np.searchsorted(run_end, starts, "right")], ends[text[starts]] - length + 1)
     whole = mix((total[stop + length - 1] - total[starts]) * back[starts] + BYTE[5] * (stop - starts).astype(np.uint64) + BYTE[6] * (at[starts] - starts).astype(np.uint64))
     return text[starts], h[at[starts]], whole, starts - (ends - sizes)[text[starts]], stop - starts
@@ -206,6 +225,21 @@ def repeated(bodies: list[bytes], weights: list[int], length: int = LENGTH, piec
     return [flags for one in done for flags in one.repeated()]
 
 
+def elsewhere(windows: list[np.ndarray], text: np.ndarray, shared: np.ndarray) -> list[np.ndarray]:
+    """For each context, which of its windows occur in more than one text; all windows of a ``shared`` context do."""
+    if not windows:
+        return []
+    context = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+    order = np.argsort(np.concatenate(windows), kind="stable")
+    sorted_ = np.concatenate(windows)[order]
+    fresh = np.append(True, sorted_[1:] != sorted_[:-1])
+    begins, texts = np.flatnonzero(fresh), text[context[order]]
+    several = (np.minimum.reduceat(texts, begins) != np.maximum.reduceat(texts, begins)) | np.logical_or.reduceat(shared[context[order]], begins)
+    flags = np.empty(len(order), bool)
+    flags[order] = several[np.cumsum(fresh) - 1]
+    return np.split(flags, np.flatnonzero(np.diff(context)) + 1)
+
+
 def ranges_of(flags: np.ndarray) -> bytes:
     """Runs of set flags as pairs (first, end) of 32-bit integers."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -217,66 +251,91 @@ def text_key(text) -> list:
     return [F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"), F.octet_length(F.coalesce(text, F.lit(""))).alias("size")]
 
 
-def removed_windows(docs: DataFrame, text_col: str, length: int, gram: int, crowd: int) -> DataFrame:
-    """(digest, size, start, ranges): repeated windows of each text, as runs from ``start``."""
-    rows = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("text")).filter(F.col("size") >= length)
+def repeated_windows(rows: DataFrame, length: int, gram: int, crowd: int, words: int, word_crowd: int) -> DataFrame:
+    """(digest, size, words, first, end): repeated windows of each text, as ranges of bytes or, if ``words``, of words that other rows hold."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digest, size = (b.column(k).to_numpy() for k in (0, 1))
             at = 0
             for raw in pieces(b.column(2).to_pylist()):
-                text, anchor, whole, start, n = contexts(raw, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[at + text]), pa.array(size[at + text]), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)),
-                                                  pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["digest", "size", "anchor", "context", "start", "n"])
+                data, sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+                total, back = sums(BYTE[data])
+                hashes, counts = word_hashes(data, sizes, total, back)
+                for by_words, (text, anchor, whole, start, n) in ((False, contexts(total, back, sizes, length, gram)), (True, contexts(*sums(hashes), counts, words, min(WORD_GRAM, words)))):
+                    counted = np.ones(len(text), bool)
+                    if by_words:            # an anchor of words counts once for each row
+                        order = np.lexsort((anchor, text))
+                        counted[order[1:]] = (text[order][1:] != text[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[at + text]), pa.array(size[at + text]), pa.array(np.full(len(text), by_words)), pa.array(anchor.view(np.int64)),
+                                                      pa.array(whole.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(counted)],
+                                                     ["digest", "size", "words", "anchor", "context", "start", "n", "counted"])
                 at += len(raw)
 
-    found = rows.mapInArrow(find, "digest long, size int, anchor long, context long, start int, n int")
+    found = (rows.filter(F.col("size") >= min(length, 2 * words - 1)).select("digest", "size", "text")
+             .mapInArrow(find, "digest long, size int, words boolean, anchor long, context long, start int, n int, counted boolean"))
     # written first, so that both sides of the join are exchanges and Spark can split an anchor of very many rows;
     # dealt anew after it, or those rows would stay in the tasks that joined them
-    again = pin(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"))
-    found = pin(found.join(again, "anchor").repartition("digest", "context", "start").groupBy("digest", "size", "anchor", "context", "start", "n").agg(F.count(F.lit(1)).alias("times")))
-    folded = found.groupBy("anchor", "context", "n").agg(F.sum("times").alias("times"), F.min(F.struct("digest", "size", "start")).alias("at"))
-    groups = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
-    folded = pin(folded.join(groups, "anchor").select("anchor", "context", "n", "times", "at.digest", "at.size", "at.start", "different"))
-    same = folded.filter("different = 1").select("anchor", "context", F.lit(0).alias("first"), F.col("n").alias("end"))
-
-    # the bytes of one copy of every context that has to be looked into
-    wanted = (folded.filter("different > 1").groupBy("digest", "size").agg(F.collect_list(F.struct(
-        "anchor", "context", "start", "n", "times", (F.col("different") > crowd).alias("crowded"))).alias("cuts")))
-    holder = docs.select(*text_key(F.col(text_col)), F.col(text_col).alias("text")).filter(F.col("size") >= length)
-
+    again = pin(found.filter("counted").groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"))
+    found = pin(found.join(again, "anchor").repartition("digest", "context", "start").groupBy("digest", "size", "words", "anchor", "context", "start", "n").agg(F.count(F.lit(1)).alias("times")))
+    text = F.struct("digest", "size")
+    folded = found.groupBy("words", "anchor", "context", "n").agg(
+        F.sum("times").alias("times"), F.min(F.struct("digest", "size", "start")).alias("at"), ((F.min(text) != F.max(text)) | (F.max("times") > 1)).alias("shared"))
+    groups = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.every("shared").alias("settled"))
+    folded = pin(folded.join(groups, "anchor").select("words", "anchor", "context", "n", "times", "shared", "at.digest", "at.size", "at.start",
+                                                      F.expr("different > 1 and not (words and settled)").alias("looked"), (F.col("different") > F.when(F.col("words"), word_crowd).otherwise(crowd)).alias("crowded")))
+    same = folded.filter("if(words, shared, not looked)").select("words", "anchor", "context", F.lit(0).alias("first"), F.col("n").alias("end"))
+
+    # the bytes, or hashes of the windows, of one copy of every context that has to be looked into
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for b in batches:
             out = []
-            for text, cuts in zip(b["text"], b["cuts"], strict=True):
-                raw = text.encode()
+            for digest, size, text, cuts in zip(b["digest"], b["size"], b["text"], b["cuts"], strict=True):
+                if last == (digest, size):
+                    continue
+                last, raw, of_words = (digest, size), text.encode(), None
                 for c in cuts:
-                    body = raw[c["start"]:c["start"] + c["n"] + length - 1]
-                    if not c["crowded"]:
-                        out.append((c["anchor"], c["context"], c["times"], body, None))
-                        continue
-                    total, back = sums(np.frombuffer(body, np.uint8))
-                    out.append((c["anchor"], c["context"], c["times"], None,
-                                mix((total[length:] - total[:-length]) * back[:c["n"]] + BYTE[8]).view(np.int64)))
-            yield pd.DataFrame(out, columns=["anchor", "context", "times", "body", "windows"])
-
-    one_copy = wanted.join(holder, ["digest", "size"])
-    bodies = pin(one_copy.mapInPandas(cut, "anchor long, context long, times long, body binary, windows array<long>").dropDuplicates(["anchor", "context"]))
+                    body, windows = None, None
+                    if c["words"]:
+                        if of_words is None:
+                            data = np.frombuffer(raw, np.uint8)
+                            of_words = sums(word_hashes(data, np.array([len(data)]), *sums(BYTE[data]))[0])
+                        (total, back), k = of_words, slice(c["start"], c["start"] + c["n"])
+                        windows = mix((total[words:][k] - total[k]) * back[k] + BYTE[9]).view(np.int64)
+                    else:
+                        body = raw[c["start"]:c["start"] + c["n"] + length - 1]
+                        if c["crowded"]:
+                            total, back = sums(BYTE[np.frombuffer(body, np.uint8)])
+                            body, windows = None, mix((total[length:] - total[:-length]) * back[:c["n"]] + BYTE[8]).view(np.int64)
+                    out.append((c["words"], c["anchor"], c["context"], c["times"], c["shared"], digest, body, windows))
+            yield pd.DataFrame(out, columns=["words", "anchor", "context", "times", "shared", "text", "body", "windows"])
+
+    def bodies(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy("digest", "size").agg(F.collect_list(F.struct("words", "anchor", "context", "start", "n", "times", "shared", "crowded")).alias("cuts"))
+        # all columns of the rows go in, so that their exchange is also that of the last join
+        return wanted.join(rows, ["digest", "size"]).mapInPandas(cut, "words boolean, anchor long, context long, times long, shared boolean, text long, body binary, windows array<long>")
+
     # about half a piece for each shard; an anchor stays in one
-    total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    shared_out = folded.filter("looked and not crowded")
+    total = shared_out.agg(F.sum(F.when(F.col("words"), 8 * F.col("n")).otherwise(F.col("n") + length - 1))).first()[0] or 0
     shards = max(1, 2 * total // PIECE)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def done() -> pd.DataFrame:
-            g = pd.concat(held)
-            flags = repeated(g["body"].tolist(), g["times"].tolist(), length)
+            g = pd.concat(held).drop_duplicates(["words", "anchor", "context"])
+            some, passages = g[~g["words"]], g[g["words"]]
+            flags = repeated(some["body"].tolist(), some["times"].tolist(), length)
+            shared = passages["shared"].to_numpy(bool)
+            flags += [f for f, s in zip(elsewhere(passages["windows"].tolist(), passages["text"].to_numpy(), shared), shared, strict=True) if not s]
+            g = pd.concat([some, passages[~shared]])
             runs = [np.frombuffer(ranges_of(f), "<i4").reshape(-1, 2) for f in flags]
             n = [len(r) for r in runs]
-            both = np.concatenate(runs)
-            return pd.DataFrame({"anchor": np.repeat(g["anchor"].to_numpy(), n), "context": np.repeat(g["context"].to_numpy(), n), "first": both[:, 0], "end": both[:, 1]})
+            both = np.concatenate([np.zeros((0, 2), "<i4"), *runs])
+            return pd.DataFrame({"words": np.repeat(g["words"].to_numpy(), n), "anchor": np.repeat(g["anchor"].to_numpy(), n),
+                                 "context": np.repeat(g["context"].to_numpy(), n), "first": both[:, 0], "end": both[:, 1]})
 
         for b in batches:
             shard = b["shard"].to_numpy()
@@ -289,28 +348,41 @@ def removed_windows(docs: DataFrame, text_col: str, length: int, gram: int, crow
         if held:
             yield done()
 
-    looked = (bodies.filter("body is not null").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-              .select("shard", "anchor", "context", "times", "body").repartition("shard").sortWithinPartitions("shard", "anchor")
-              .mapInPandas(look, "anchor long, context long, first int, end int"))
-    single = bodies.filter("windows is not null").select("anchor", "context", "times", F.posexplode("windows").alias("place", "window"))
-    shared = single.groupBy("anchor", "window").agg(F.sum("times").alias("sum")).filter("sum > 1")
-    crowded = single.join(shared, ["anchor", "window"]).select("anchor", "context", F.col("place").alias("first"), (F.col("place") + 1).alias("end"))
+    looked = (bodies(shared_out).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+              .repartition("shard").sortWithinPartitions("shard", "anchor")
+              .mapInPandas(look, "words boolean, anchor long, context long, first int, end int"))
+    single = (bodies(folded.filter("looked and crowded")).dropDuplicates(["words", "anchor", "context"])
+              .select("words", "anchor", "context", "times", "shared", "text", F.posexplode("windows").alias("place", "window")))
+    common = (single.groupBy("words", "anchor", "window").agg(F.sum("times").alias("sum"), (F.min("text") != F.max("text")).alias("several"), F.some("shared").alias("shared"))
+              .filter("if(words, several or shared, sum > 1)").select("words", "anchor", "window"))
+    crowded = single.join(common, ["words", "anchor", "window"]).select("words", "anchor", "context", F.col("place").alias("first"), (F.col("place") + 1).alias("end"))
     hits = same.unionByName(looked).unionByName(crowded)
-    return (found.join(hits, ["anchor", "context"])
-            .select("digest", "size", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end") - 1 + length).alias("end")))
+    return (found.join(hits, ["words", "anchor", "context"])
+            .select("digest", "size", "words", (F.col("start") + F.col("first")).alias("first"),
+                    (F.col("start") + F.col("end") - 1 + F.when(F.col("words"), words).otherwise(length)).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(id, n_bytes, removed runs as an array of (start, end) bytes, kept bytes) of every row."""
-    cuts = (removed_windows(docs.select(text_col), text_col, length, gram, crowd)
-            .groupBy("digest", "size").agg(F.collect_set(F.struct("first", "end")).alias("cuts")))
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, words: int = WORDS,
+                   word_crowd: int = WORD_CROWD) -> DataFrame:
+    """(id, n_bytes, removed runs as an array of (start, end) bytes, kept bytes, words in passages of at least ``words`` that another row holds too) of every row."""
     rows = docs.select(F.col(id_col), *text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    one = F.struct("first", "end")
+    cuts = (repeated_windows(rows, length, gram, crowd, words, word_crowd).groupBy("digest", "size")
+            .agg(F.collect_set(F.when(~F.col("words"), one)).alias("cuts"), F.array_sort(F.collect_set(F.when(F.col("words"), one))).alias("passages")))
+    # runs that overlap count once
+    n_shared = F.expr("""aggregate(passages, struct(0L as n, 0 as upto),
+        (done, p) -> struct(done.n + greatest(0, p.end - greatest(p.first, done.upto)) as n, greatest(done.upto, p.end) as upto), done -> done.n)""")
+    n_shared = F.coalesce(n_shared, F.lit(0)).alias("n_shared_words")
 
     @F.pandas_udf("struct<runs:array<struct<start:int,end:int>>,kept:binary>")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, cuts in batches:
             runs, kept = [], []
             for text, some in zip(texts, cuts, strict=True):
+                if text is None:
+                    runs.append([])
+                    kept.append(None)
+                    continue
                 raw, merged = text.encode(), []
                 for r in sorted((c["first"], c["end"]) for c in some):
                     if merged and r[0] <= merged[-1][1]:
@@ -325,12 +397,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join([*out, raw[at:]]))
             yield pd.DataFrame({"runs": runs, "kept": kept})
 
-    joined = rows.join(cuts, ["digest", "size"], "left")
-    clean = joined.filter("cuts is null").select(id_col, F.col("size").cast("long").alias("n_bytes"),
-                                                 F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("runs"), F.col("text").cast("binary").alias("kept"))
-    dirty = (joined.filter("cuts is not null").withColumn("new_", apply("text", "cuts"))
-             .select(id_col, F.col("size").cast("long").alias("n_bytes"), "new_.runs", "new_.kept"))
-    return clean.unionByName(dirty)
+    # only texts that lose something go to Python
+    joined = rows.join(cuts, ["digest", "size"], "left").withColumn("new_", apply(F.when(F.size("cuts") > 0, F.col("text")), "cuts"))
+    return joined.select(id_col, F.col("size").cast("long").alias("n_bytes"), "new_.runs", F.coalesce("new_.kept", F.col("text").cast("binary")).alias("kept"), n_shared)
 
 
 @query("op6_suffix_dedup")
@@ -339,4 +408,4 @@ def op6(spark, sf_dir):
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"),
                       F.coalesce((F.col("n_bytes") - F.octet_length("kept")) / F.nullif("n_bytes", F.lit(0)), F.lit(0.0)).alias("removed_share"),
-                      F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"), "n_shared_words")
