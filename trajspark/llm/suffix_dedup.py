@@ -39,6 +39,7 @@ WORD_GRAM = 16
 CROWD = 1_000
 WORD_CROWD = 50_000         # hashes are sorted, so their cost grows no faster than their number
 PIECE = 1 << 18
+STRETCH = 32                # places walked one after the other when common prefixes are found
 INVERSE = np.uint64(pow(int(PRIME), -1, 1 << 64))
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -139,16 +140,15 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, first: np.ndarray, dept
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    step = max(1, int(np.sqrt(n)))
+    step = max(1, min(STRETCH, int(np.sqrt(n))))
     begins = np.arange(0, n, step)
     shared, h = np.zeros(n, np.int64), np.zeros(len(begins), np.int64)
     padded, words = np.append(data, np.zeros(depth + 16, np.uint8)), np.append(first, np.zeros(depth + 16, np.uint64))
     for t in range(step):
         i = begins + t
-        live = np.flatnonzero((i < n))
-        live = live[before[i[live]] >= 0]
-        h = np.maximum(h - 1, 0)
-        h[np.setdiff1d(np.arange(len(h)), live, assume_unique=True)] = 0
+        has = before[np.minimum(i, n - 1)] >= 0
+        live = np.flatnonzero(has & (i < n))
+        h = np.where(has, np.maximum(h - 1, 0), 0)
         a, b, g = i[live], before[i[live]], h[live]
         room = np.minimum(n - np.maximum(a, b), depth)
         open_ = np.arange(len(live))
@@ -278,11 +278,12 @@ def repeated_windows(rows: DataFrame, length: int, gram: int, crowd: int, words:
     # dealt anew after it, or those rows would stay in the tasks that joined them
     again = pin(found.filter("counted").groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"))
     found = pin(found.join(again, "anchor").repartition("digest", "context", "start").groupBy("digest", "size", "words", "anchor", "context", "start", "n").agg(F.count(F.lit(1)).alias("times")))
-    text = F.struct("digest", "size")
     folded = found.groupBy("words", "anchor", "context", "n").agg(
-        F.sum("times").alias("times"), F.min(F.struct("digest", "size", "start")).alias("at"), ((F.min(text) != F.max(text)) | (F.max("times") > 1)).alias("shared"))
+        F.sum("times").alias("times"), F.max("times").alias("most"), F.min(F.struct("digest", "size", "start")).alias("at"), F.max(F.struct("digest", "size")).alias("last"))
+    # written too, or the counts below would fold everything once more
+    folded = pin(folded.withColumn("shared", F.expr("most > 1 or last <> struct(at.digest, at.size)")).select("words", "anchor", "context", "n", "times", "shared", "at.*"))
     groups = folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.every("shared").alias("settled"))
-    folded = pin(folded.join(groups, "anchor").select("words", "anchor", "context", "n", "times", "shared", "at.digest", "at.size", "at.start",
+    folded = pin(folded.join(groups, "anchor").select("words", "anchor", "context", "n", "times", "shared", "digest", "size", "start",
                                                       F.expr("different > 1 and not (words and settled)").alias("looked"), (F.col("different") > F.when(F.col("words"), word_crowd).otherwise(crowd)).alias("crowded")))
     same = folded.filter("if(words, shared, not looked)").select("words", "anchor", "context", F.lit(0).alias("first"), F.col("n").alias("end"))
 
