@@ -6,6 +6,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +268,79 @@ def test_silence_in_a_log_is_a_session_window(spark, log):
     d = spark.createDataFrame([("a", 0), ("a", 30_000_000), ("a", 60_000_001)], "worker string, us long").select("worker", F.timestamp_micros("us").alias("event_time"))
     assert rows(L._pauses(d, "30 seconds", "1 minute").select(F.unix_micros("last_beat").alias("l"), F.unix_micros("gone_at").alias("g")), "l", "g") == \
         [(30_000_000, 60_000_000), (60_000_001, 90_000_001)]
+
+
+ALERTS = {"failures": (L.stream_failures, lambda b: W.failure_runs(b, "run_id", "n", F.col("ok")), ("fail_run", "aborts"))}
+
+
+@pytest.mark.parametrize("by_time", [False, True])
+@pytest.mark.parametrize("name", list(ALERTS))
+def test_state_of_many_runs_is_a_bounded_number_of_groups(spark, tmp_path, name, by_time):
+    """A call and a state row for each run and batch took 1.6 ms a row; null is a run like others."""
+    alert, rule, names = ALERTS[name]
+    r = random.Random(5)
+    log = [event(r.choice([None, *map(str, range(1500))]), n, 1000 + n / 10, ok=r.random() > .6, changed=r.choice([None, True, False]),
+                 situation=r.choice(V.SITUATIONS + (V.RETRY,) * 4)) for n in range(1, 6001)]
+    for k in range(3):
+        put(tmp_path / "in", f"{k}.json", log[k * 2000:(k + 1) * 2000], k)
+    put(tmp_path / "in", "9.json", [{"t": 1e6, "event": "tick"}], 9)
+    stream = alert(L.stream_events(spark, str(tmp_path / "in"), max_files=1), by_time=by_time)
+    with L.stateful(spark):
+        q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert 0 < max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= L.BUCKETS
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).fillna("-", ["run_id"])
+    want = rule(steps(read_event_log(spark, str(tmp_path / "in")))).fillna("-", ["run_id"])
+    assert rows(got, "run_id", "n", *names) == rows(want, "run_id", "n", *names)
+
+
+class Kept:
+    """What a rule sees of the state store."""
+
+    exists, get, mark, timeout = False, None, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.mark
+        self.timeout = at
+
+
+@pytest.mark.parametrize("ttl", [None, 3_000_000])
+def test_a_bucket_in_pieces_and_its_timeouts(monkeypatch, ttl):
+    """A long run is taken in pieces; a timeout is set for the next row or the first run to end, and nothing is left of what is over."""
+    r = random.Random(2)
+    at = sorted(r.randrange(60_000) for _ in range(400))
+    log = pd.DataFrame({"run_id": [r.choice(["a", "a", "a", "b", None]) for _ in at], "n": range(400), "at": [1000 * t + 1 for t in at], "ended": [r.random() < .01 for _ in at],
+                        "ok": [r.choice([True, False, None]) for _ in at], "bucket": 0}).astype({"ok": object})
+    seen = []
+    for piece, sizes in ((1 << 16, [400]), (7, [400]), (3, [90, 0, 200, 110])):
+        monkeypatch.setattr(L, "PIECE", piece)
+        rules, kept, out, start = L.FailureBudget(2, ttl, True), Kept(), [], 0
+        for size in sizes:
+            kept.mark, kept.timeout = (int(log["at"][start - 1]) // 1000 if start else 0), None
+            out += list(rules.take(iter([log[start:start + size]]), kept))
+            start += size
+        while kept.timeout is not None:
+            kept.mark, kept.timeout = kept.timeout + 1, None
+            out += list(rules.take(iter([log[:0]]), kept))
+        assert kept.exists == (ttl is None) and all(len(o) <= piece for o in out)
+        seen.append(sorted(pd.concat(out).values.tolist(), key=lambda x: x[1]))
+    assert len(seen[0]) == 400 and seen[0] == seen[1] == seen[2]
+    fails, last = {}, {}
+    for run, n, t, ended, ok in log[["run_id", "n", "at", "ended", "ok"]].values.tolist():
+        if ttl is not None and t > last.get(run, t) + ttl:
+            fails.pop(run)
+        fails[run] = 0 if ok else fails.get(run, 0) + 1
+        assert seen[0][n] == [run, n, fails[run], fails[run] > 2]
+        last[run] = t
+        if ended:
+            fails.pop(run), last.pop(run)

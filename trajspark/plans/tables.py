@@ -32,7 +32,11 @@ TYPE_OF = {"click": "click", "view": "scroll", "signup": "type", "purchase": "ho
 
 def steps(spark: SparkSession, sf: str) -> DataFrame:
     """run, n, type, action, ok, changed, elapsed, error, k."""
-    e = table(spark, sf, "events").withColumn("k", number_in())
+    return steps_of(table(spark, sf, "events"))
+
+
+def steps_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", number_in())
     kind = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in TYPE_OF.items()])
     e = e.withColumn("type", kind)
     x = F.expr("cast(round(value * 100) as bigint) div 100") / 1000.0

@@ -81,9 +81,9 @@ def decode_lines(lines: DataFrame, schema: str = EVENT_SCHEMA, value: str = "val
     """Text lines to events; blank lines and lines that are not whole JSON are left out."""
     parsed = F.from_json(F.col(value), schema + ", _corrupt_record string", {"mode": "PERMISSIVE"})
     keep = [c for c in lines.columns if c != value]
-    return (lines.filter(F.trim(F.col(value)) != "").select(*keep, parsed.alias("e"))
-            .filter(F.col("e").isNotNull() & F.col("e._corrupt_record").isNull())
-            .select(*keep, "e.*").drop("_corrupt_record"))
+    # as a generator: a filter on the parsed columns would be pushed below them and parse every line again
+    whole = F.filter(F.array(parsed), lambda e: e.isNotNull() & e["_corrupt_record"].isNull())
+    return lines.filter(F.trim(F.col(value)) != "").select(*keep, F.inline(whole)).drop("_corrupt_record")
 
 
 def read_event_log(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
