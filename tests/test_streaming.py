@@ -114,6 +114,20 @@ def test_starting_a_stream_leaves_the_session_as_it_was(spark, log, tmp_path):
     assert spark.conf.get(L.PROVIDER) == before
 
 
+def test_a_stream_has_no_more_partitions_than_it_can_use(spark):
+    """Every partition opens its state store in every batch."""
+    before = spark.conf.get(L.PARTITIONS, None)
+    most = max(L.STATE_PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
+    try:
+        for asked in (5000, 4):
+            spark.conf.set(L.PARTITIONS, str(asked))
+            with L.stateful(spark):
+                assert int(spark.conf.get(L.PARTITIONS)) == min(asked, most)
+            assert int(spark.conf.get(L.PARTITIONS)) == asked
+    finally:
+        spark.conf.unset(L.PARTITIONS) if before is None else spark.conf.set(L.PARTITIONS, before)
+
+
 def test_running_summary_and_beats(spark, log, tmp_path, monkeypatch):
     monkeypatch.setattr(L, "COMPACT_EVERY", 3)
     batch = steps(read_event_log(spark, log))
@@ -270,7 +284,8 @@ def test_silence_in_a_log_is_a_session_window(spark, log):
         [(30_000_000, 60_000_000), (60_000_001, 90_000_001)]
 
 
-ALERTS = {"failures": (L.stream_failures, lambda b: W.failure_runs(b, "run_id", "n", F.col("ok")), ("fail_run", "aborts"))}
+ALERTS = {"failures": (L.stream_failures, lambda b: W.failure_runs(b, "run_id", "n", F.col("ok")), ("fail_run", "aborts")),
+          "stalls": (L.stream_stalls, lambda b: W.escalate_stalls(b, "run_id", "n"), ("effective",))}
 
 
 @pytest.mark.parametrize("by_time", [False, True])
