@@ -285,7 +285,8 @@ def test_silence_in_a_log_is_a_session_window(spark, log):
 
 
 ALERTS = {"failures": (L.stream_failures, lambda b: W.failure_runs(b, "run_id", "n", F.col("ok")), ("fail_run", "aborts")),
-          "stalls": (L.stream_stalls, lambda b: W.escalate_stalls(b, "run_id", "n"), ("effective",))}
+          "stalls": (L.stream_stalls, lambda b: W.escalate_stalls(b, "run_id", "n"), ("effective",)),
+          "stuck": (lambda ev, **how: L.stream_stuck(ev, F.col("action.type"), **how), lambda b: W.is_stuck(b, "run_id", "n", F.col("action.type")), ("stuck",))}
 
 
 @pytest.mark.parametrize("by_time", [False, True])
